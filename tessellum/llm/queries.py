@@ -6,7 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import bpe, packing, sentences
+from . import bpe, consensus, packing, sentences, topn
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_top_items(spark, sf).select("query_id", "method", "entry_item")
+
+
+def p3_top_items(spark: SparkSession, sf: str) -> DataFrame:
+    return topn.top_n(topn.list_rows(table(spark, sf, "ranking_entry")), ["query_id", "method"], "entry_item", "entry_score", 5)
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return consensus.person_labels(table(spark, sf, "assessments"), table(spark, sf, "assessment_metadata"))
+
+
+def p6_items(spark: SparkSession, sf: str) -> DataFrame:
+    return consensus.consensus(consensus.fit(_labels(spark, sf)))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_items(spark, sf).where("n_labels >= 3").select("query_id", "paragraph_id", "relevance")
+
+
+def p6_annotators(spark: SparkSession, sf: str) -> DataFrame:
+    return consensus.reliability(consensus.fit(_labels(spark, sf)))
+
+
+def p6_alpha(spark: SparkSession, sf: str) -> DataFrame:
+    return consensus.krippendorff(_labels(spark, sf))
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,5 +49,30 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_packing, p9_found)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p3_found, p3_top_items, p6_found, p6_items, p6_annotators, p6_alpha, p7_ids, p8_packing, p9_found)}
+
+_LISTS = """
+lists AS (
+  SELECT query_id, method, entry_item, max(entry_score) AS entry_score FROM (
+    SELECT query_id, unnest(entry_method_names) AS method, entry_item, entry_score FROM ranking_entry
+    WHERE entry_item IS NOT NULL AND entry_score IS NOT NULL AND NOT isnan(entry_score))
+  WHERE method IS NOT NULL AND method <> '' GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY entry_score DESC, entry_item) AS rank FROM lists)
+"""
+
+_LABELS = r"""
+people AS (SELECT DISTINCT session_id, annotator FROM (SELECT session_id, lower(regexp_replace(unnest(annotator_ids), '^\s+|\s+$', '', 'g')) AS annotator FROM assessment_metadata)
+           WHERE session_id IS NOT NULL AND annotator <> ''),
+labels AS (SELECT query_id, paragraph_id, annotator, relevance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, paragraph_id, annotator ORDER BY time_stamp DESC NULLS LAST, loaded_at DESC NULLS LAST, relevance DESC) AS rn
+  FROM assessments JOIN people USING (session_id) WHERE relevance IS NOT NULL AND query_id IS NOT NULL AND paragraph_id IS NOT NULL) WHERE rn = 1)
+"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"WITH {_LISTS} SELECT query_id, method, entry_item FROM ranked WHERE rank <= 5",
+    "p3_top_items": f"WITH {_LISTS} SELECT query_id, method, entry_item, entry_score + 0.0 AS entry_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5",
+    "p6_alpha": f"""WITH {_LABELS},
+        items AS (SELECT count(*) AS n, sum(relevance) AS s, sum(relevance * relevance) AS ss FROM labels GROUP BY query_id, paragraph_id HAVING count(*) > 1),
+        t AS (SELECT count(*) AS n_items, sum(n) AS n_labels, sum(s) AS s, sum(ss) AS ss, sum(2.0 * (n * ss - s * s) / (n - 1)) AS d FROM items)
+        SELECT n_items, CAST(n_labels AS BIGINT) AS n_labels, 1 - (d / n_labels) / (2.0 * (n_labels * ss - s * s) / (n_labels * (n_labels - 1.0))) AS alpha FROM t""",
+}
