@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import bpe, consensus, packing, sentences, topn
+from . import bpe, consensus, fusion, packing, sentences, topn
+
+
+def _lists(spark: SparkSession, sf: str) -> DataFrame:
+    return topn.list_rows(table(spark, sf, "ranking_entry"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.leaders(_lists(spark, sf), least_methods=3, least_items=5)
+
+
+def p2_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.fuse(_lists(spark, sf))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -14,7 +26,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_top_items(spark: SparkSession, sf: str) -> DataFrame:
-    return topn.top_n(topn.list_rows(table(spark, sf, "ranking_entry")), ["query_id", "method"], "entry_item", "entry_score", 5)
+    return topn.top_n(_lists(spark, sf), ["query_id", "method"], "entry_item", "entry_score", 5)
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +61,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_top_items, p6_found, p6_items, p6_annotators, p6_alpha, p7_ids, p8_packing, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranking, p3_found, p3_top_items, p6_found, p6_items, p6_annotators, p6_alpha, p7_ids, p8_packing, p9_found)}
 
 _LISTS = """
 lists AS (
@@ -68,7 +80,35 @@ labels AS (SELECT query_id, paragraph_id, annotator, relevance FROM (
   FROM assessments JOIN people USING (session_id) WHERE relevance IS NOT NULL AND query_id IS NOT NULL AND paragraph_id IS NOT NULL) WHERE rn = 1)
 """
 
+
+
+def _normal_quantile_sql(p: str) -> str:
+    def poly(c: tuple, x: str) -> str:
+        out = repr(c[-1])
+        for v in c[-2::-1]:
+            out = f"(({out}) * {x} + {v!r})"
+        return out
+
+    def ratio(t: tuple, x: str) -> str:
+        return f"({poly(t[0], x)} / {poly(t[1], x)})"
+
+    q, r = f"({p} - 0.5::DOUBLE)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    central, near, far = ratio(fusion.CENTRAL, f"(0.180625::DOUBLE - {q} * {q})"), ratio(fusion.TAIL, f"({r} - 1.6::DOUBLE)"), ratio(fusion.FAR_TAIL, f"({r} - 5.0::DOUBLE)")
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {central} ELSE sign({q}) * CASE WHEN {r} <= 5 THEN {near} ELSE {far} END END"
+
+
+_FUSED = f"""{_LISTS},
+placed AS (SELECT *, rank() OVER up AS lo, count(*) OVER up AS hi, count(*) OVER (PARTITION BY query_id, method) AS n FROM lists WINDOW up AS (PARTITION BY query_id, method ORDER BY entry_score)),
+percent AS (SELECT *, (((lo + hi) / 2.0::DOUBLE - 0.5::DOUBLE) / n)::DOUBLE AS p FROM placed),
+totals AS (SELECT query_id, entry_item, sum({_normal_quantile_sql("p")}) AS total FROM percent GROUP BY ALL),
+per_query AS (SELECT query_id, count(DISTINCT method) AS n_methods FROM lists GROUP BY ALL)
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": f"""WITH {_FUSED}, heads AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, entry_item) AS rn, count(*) OVER (PARTITION BY query_id) AS n_items FROM totals)
+        SELECT h.query_id, h.entry_item FROM heads h JOIN per_query q ON h.query_id IS NOT DISTINCT FROM q.query_id WHERE rn = 1 AND n_items >= 5 AND n_methods >= 3""",
+    "p2_ranking": f"""WITH {_FUSED}, means AS (SELECT t.query_id, t.entry_item, round(total / n_methods, 9) AS score FROM totals t JOIN per_query q ON t.query_id IS NOT DISTINCT FROM q.query_id)
+        SELECT query_id, entry_item, score, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM means""",
     "p3_found": f"WITH {_LISTS} SELECT query_id, method, entry_item FROM ranked WHERE rank <= 5",
     "p3_top_items": f"WITH {_LISTS} SELECT query_id, method, entry_item, entry_score + 0.0 AS entry_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5",
     "p6_alpha": f"""WITH {_LABELS},
