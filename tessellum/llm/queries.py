@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
-from . import bpe, consensus, fusion, packing, sentences, topn
+from . import bpe, consensus, fusion, neardup, packing, sentences, topn
 
 
 def _lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,6 +29,14 @@ def p3_top_items(spark: SparkSession, sf: str) -> DataFrame:
     return topn.top_n(_lists(spark, sf), ["query_id", "method"], "entry_item", "entry_score", 5)
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.pairs_of_ids(neardup.near_duplicates(table(spark, sf, "paragraphs")))
+
+
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.groups(neardup.near_duplicates(table(spark, sf, "paragraphs")))
+
+
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
     return consensus.person_labels(table(spark, sf, "assessments"), table(spark, sf, "assessment_metadata"))
 
@@ -61,7 +69,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranking, p3_found, p3_top_items, p6_found, p6_items, p6_annotators, p6_alpha, p7_ids, p8_packing, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranking, p3_found, p3_top_items, p4_found, p4_groups, p6_found, p6_items, p6_annotators, p6_alpha, p7_ids, p8_packing, p9_found)}
 
 _LISTS = """
 lists AS (
