@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import structure
+from . import corpus, retrieval, structure
 
-MODULES = (structure,)
-FLAGSHIP = structure.p1_hierarchy
+MODULES = (structure, retrieval, corpus)
+FLAGSHIP = retrieval.bm25_topk
 
 
 def queries() -> dict:
