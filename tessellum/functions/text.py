@@ -33,9 +33,12 @@ def stems(text: Column) -> Column:
 
 def adjacent_pairs(words: Column) -> Column:
     """Neighbouring pairs as "a b"; fewer than two words give none."""
-    n = F.size(words)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at(words, i.cast("int")), F.element_at(words, (i + 1).cast("int"))))
-    return F.when(n > 1, pairs).otherwise(F.array().cast("array<string>"))
+    # binding the words once: an expression inside a lambda would be evaluated for every pair
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: F.concat_ws(" ", x, y))
+
+    return F.element_at(F.transform(F.array(words), pairs), 1)
 
 
 def bigram_set(text: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, retrieval, structure
+from . import corpus, graphs, retrieval, structure
 
-MODULES = (structure, retrieval, corpus)
+MODULES = (structure, retrieval, corpus, graphs)
 FLAGSHIP = retrieval.bm25_topk
 
 
