@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import dedup, graph
 from ..operators.components import connected_components
+from ..storage import materialize
 from . import base
 from .tables import table
 
@@ -243,7 +244,8 @@ def minhash_approx(spark: SparkSession, sf: str) -> DataFrame:
     """Approximate self join of the paragraphs' bigram sets by library min-hashing."""
     from pyspark.ml.feature import HashingTF, MinHashLSH
 
-    rows = _sets(spark, sf).join(_classes(spark, sf).where("id = class_id").select("id"), "id", "left_semi")
+    # written first: else the optimiser may hash before it has dropped the empty sets
+    rows = materialize(_sets(spark, sf).join(_classes(spark, sf).where("id = class_id").select("id"), "id", "left_semi"), "sets")
     vectors = HashingTF(inputCol="set", outputCol="features", binary=True, numFeatures=1 << 20).transform(rows)
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=5, seed=1).fit(vectors)
     return model.approxSimilarityJoin(vectors, vectors, 0.2, "dist").where("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.round("dist", 6).alias("dist"))

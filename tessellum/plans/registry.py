@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, graphs, retrieval, structure
+from . import corpus, evaluation, graphs, retrieval, structure
 
-MODULES = (structure, retrieval, corpus, graphs)
+MODULES = (structure, retrieval, corpus, graphs, evaluation)
 FLAGSHIP = retrieval.bm25_topk
 
 
