@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assess
 from ..operators import evaluate as ev
+from ..storage import materialize
 from . import base
 from .retrieval import run_ranked
 from .tables import table
@@ -328,15 +329,15 @@ def svm_grid(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
     data = run_features_pivot(spark, sf).join(base.qrels(spark, sf).select("query_id", "doc_id", (F.col("rel") > 0).cast("int").alias("label")), ["query_id", "doc_id"])
-    data = VectorAssembler(inputCols=METHODS, outputCol="features").transform(data).select("query_id", "label", "features").persist()
+    data = VectorAssembler(inputCols=METHODS, outputCol="features").transform(data).select("query_id", "label", "features")
+    data = materialize(data, "features")
     held = F.pmod(F.xxhash64("query_id"), F.lit(4)) == 0
     out = []
-    for c in (0.01, 0.1, 1.0, 10.0):
-        model = LinearSVC(regParam=1 / (100 * c), maxIter=20).fit(data.where(~held))
+    for c in (0.1, 1.0, 10.0):
+        model = LinearSVC(regParam=1 / (100 * c), maxIter=8).fit(data.where(~held))
         r = model.transform(data.where(held)).agg(F.count_if(F.expr("prediction = 1 AND label = 1")).alias("tp"), F.count_if(F.expr("prediction = 1 AND label = 0")).alias("fp"), F.count_if(F.expr("prediction = 0 AND label = 1")).alias("fn")).first()
         total = 2 * r["tp"] + r["fp"] + r["fn"]
         out.append((c, 2 * r["tp"] / total if total else 0.0))
-    data.unpersist()
     return spark.createDataFrame(sorted(out, key=lambda x: (-x[1], x[0])), "c double, f1 double")
 
 
@@ -348,7 +349,8 @@ def coordinate_ascent(spark: SparkSession, sf: str) -> DataFrame:
     """
     features = METHODS[:4]
     rel = _relevant(spark, sf)
-    rows = run_features_pivot(spark, sf).join(rel.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "doc_id", *features).persist()
+    rows = run_features_pivot(spark, sf).join(rel.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "doc_id", *features)
+    rows = materialize(rows, "features")
     weights = {f: 1.0 for f in features}
     best = -1.0
     for f in features:
@@ -362,7 +364,6 @@ def coordinate_ascent(spark: SparkSession, sf: str) -> DataFrame:
             top = max(sorted(found), key=lambda i: (found[i], -abs(options[i] - weights[f])))
             if found[top] > best:
                 best, weights[f] = found[top], options[top]
-    rows.unpersist()
     return spark.createDataFrame([(f, w, best) for f, w in weights.items()], "feature string, weight double, map double")
 
 

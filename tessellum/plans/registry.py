@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, graphs, retrieval, structure
+from . import corpus, evaluation, graphs, retrieval, scalars, streams, structure
 
-MODULES = (structure, retrieval, corpus, graphs, evaluation)
+MODULES = (structure, retrieval, corpus, graphs, evaluation, scalars, streams)
 FLAGSHIP = retrieval.bm25_topk
 
 
