@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, graphs, retrieval, scalars, streams, structure
+from . import corpus, evaluation, graphs, imports, retrieval, scalars, streams, structure
 
-MODULES = (structure, retrieval, corpus, graphs, evaluation, scalars, streams)
+MODULES = (structure, retrieval, corpus, graphs, evaluation, scalars, streams, imports)
 FLAGSHIP = retrieval.bm25_topk
 
 

@@ -130,7 +130,7 @@ def interesting(pages: DataFrame) -> DataFrame:
 
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole files; the id is the base name without extension."""
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("id"), F.col("value").alias("text"))
 
 
 def span_annotations(spark: SparkSession, path: str) -> DataFrame:
