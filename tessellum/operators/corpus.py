@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Headings of sections without running text, lower case.
-PLAIN_HEADINGS = ["see also", "references", "external links", "notes", "bibliography", "gallery", "publications", "further reading", "track listing", "sources", "cast", "discography", "awards", "other"]
+PLAIN_HEADINGS = [
+    "see also", "references", "external links", "notes", "bibliography", "gallery", "publications", "further reading", "track listing", "sources",
+    "cast", "discography", "awards", "other", "external links and references", "notes and references",
+]
 
 
 def letters(text: Column) -> Column:

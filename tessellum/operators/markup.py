@@ -20,11 +20,18 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# What a template leaves: "drop", "first" (its first argument), "last", "list" (arguments joined), "pair" (two arguments with a blank), or a text with {{#n}} for argument n.
-DEFAULT_TEMPLATES = {
-    "nowrap": "first", "lang": "last", "small": "first", "big": "first", "abbr": "first", "tooltip": "first", "flag": "first", "flatlist": "list", "plainlist": "list", "unbulleted list": "list",
-    "convert": "pair", "cvt": "pair", "as of": "As of {{#1}}", "circa": "c. {{#1}}", "ndash": "–", "mdash": "—", "spaced ndash": " – ", "·": "·",
-}
+# Template names (lower case) by what they leave.
+LISTS = "bulleted list|blist|bulleted|ulist|unordered list|unbulleted list|ubl|ubt|ublist|unbullet|plainlist|ordered list|hlist|flatlist"
+FIRST = (
+    "small|smaller|midsize|larger|big|large|huge|resize|smallcaps|sc1|smallcaps2|sc2|sc|allcaps|caps|nocaps|linktext|cardinal to word|number to word|"
+    "ordinal to word|nowrap|mvar|format price|visible anchor|quotation|cquote"
+)
+SECOND = "lang|rtl-lang|transl|inflation"
+PAIRS = "convert|cvt"
+DROPPED = "citation needed|respell|ref|refn|r|zh|sfn"
+# list: its arguments as list items; first/second: that argument; pair: two arguments with a blank; drop: nothing; else a text with {{#n}} for argument n.
+# Templates without a rule are dropped; an argument alt= wins over dropping.
+DEFAULT_TEMPLATES = {name: rule for rule, names in (("list", LISTS), ("first", FIRST), ("second", SECOND), ("pair", PAIRS), ("drop", DROPPED)) for name in names.split("|")} | {"as of": "as of", "time ago": "time ago", "angbr": "⟨{{#1}}⟩"}
 DROPPED_TAGS = "ref|sub|sup|gallery|timeline|references"
 PAGE = "page_id string, page_name string, page_type string, redirect string, categories array<string>"
 LINK = "struct<target: string, section: string, target_id: string, anchor: string>"
@@ -79,6 +86,31 @@ def split_arguments(body: str) -> list[str]:
     return [*out, "".join(part)]
 
 
+def expand(rule: str, plain: list[str], named: dict[str, str]) -> str:
+    """What a template leaves by its rule; too few arguments leave nothing."""
+    at = lambda i: plain[i] if i < len(plain) else ""
+    match rule:
+        case "drop":
+            return named.get("alt", "")
+        case "first":
+            return at(0)
+        case "second":
+            return at(1)
+        case "list":
+            return "".join(f"\n* {p}" for p in plain) + "\n"
+        case "pair":
+            return f"{plain[0]} {plain[1]}" if len(plain) > 1 else ""
+        case "as of":
+            if not 1 <= len(plain) <= 3:
+                return ""
+            lead = "since" if named.get("since") == "y" else "as of"
+            return " ".join([lead if named.get("lc") == "y" else lead.capitalize(), *reversed(plain)])
+        case "time ago":
+            when = at(0).strip()
+            return f"{when[1:]} ago" if when.startswith("-") else f"{when[1:]}'s time" if when.startswith("+") else f"on {when}" if when else ""
+    return re.sub(r"\{\{#(\d+)\}\}", lambda a: at(int(a[1]) - 1), rule)
+
+
 def resolve_templates(text: str, config: Config, boxes: list[tuple[str, list[tuple[str, str]]]]) -> str:
     """Innermost templates first; infoboxes are put aside and leave a mark on a line of its own."""
     pattern = re.compile(r"\{\{([^{}]*)\}\}")
@@ -86,24 +118,12 @@ def resolve_templates(text: str, config: Config, boxes: list[tuple[str, list[tup
         parts = [p.strip() for p in split_arguments(m[1])]
         name = parts[0].lower().removeprefix("template:").strip()
         plain = [p for p in parts[1:] if not re.match(r"[\w\- ]+=", p)]
+        named = {k.strip(): v.strip() for k, _, v in (p.partition("=") for p in parts[1:] if p not in plain)}
         if name.startswith("infobox"):
-            pairs = [tuple(x.strip() for x in p.split("=", 1)) for p in parts[1:] if "=" in p]
-            boxes.append((parts[0], pairs))
+            boxes.append((parts[0], list(named.items())))
             new = f"\n\n\x00BOX{len(boxes) - 1}\x00\n\n"
         else:
-            rule = config.templates.get(name, "drop")
-            if rule == "drop":
-                new = ""
-            elif rule == "first":
-                new = plain[0] if plain else ""
-            elif rule == "last":
-                new = plain[-1] if plain else ""
-            elif rule == "list":
-                new = ", ".join(plain)
-            elif rule == "pair":
-                new = " ".join(plain[:2])
-            else:
-                new = re.sub(r"\{\{#(\d+)\}\}", lambda a: plain[int(a[1]) - 1] if int(a[1]) <= len(plain) else "", rule)
+            new = expand(config.templates.get(name) or ("first" if name.startswith("lang-") else "drop"), plain, named)
         text = text[: m.start()] + new + text[m.end() :]
     return text
 

@@ -117,15 +117,21 @@ def xml_topics(spark: SparkSession, path: str, row_tag: str, schema: str) -> Dat
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
-def wiki_dump(spark: SparkSession, path: str) -> DataFrame:
-    """title, ns, text of the pages of an XML dump, other namespaces left out before parsing."""
+def other_namespaces(spark: SparkSession, path: str) -> list[str]:
+    """Names of a dump's namespaces other than articles (0) and categories (14); one row a namespace."""
+    names = spark.read.format("xml").option("rowTag", "namespace").schema("_key int, _VALUE string").load(path)
+    return [r["_VALUE"] for r in names.where("_VALUE IS NOT NULL AND _key NOT IN (0, 14)").collect()]
+
+
+def wiki_dump(spark: SparkSession, path: str, namespaces: list[str] | None = None) -> DataFrame:
+    """title, ns, text of the pages of an XML dump, pages of other namespaces left out before parsing."""
     pages = spark.read.format("xml").option("rowTag", "page").schema("title string, ns int, id bigint, revision struct<text: string>").load(path)
-    return interesting(pages.select("title", "ns", "id", F.col("revision.text").alias("text")))
+    return interesting(pages.select("title", "ns", "id", F.col("revision.text").alias("text")), namespaces)
 
 
-def interesting(pages: DataFrame) -> DataFrame:
+def interesting(pages: DataFrame, namespaces: list[str] | None = None) -> DataFrame:
     prefix = F.substring_index("title", ":", 1)
-    return pages.where(~(F.col("title").contains(":") & prefix.isin(OTHER_NAMESPACES)))
+    return pages.where(~(F.col("title").contains(":") & prefix.isin(OTHER_NAMESPACES if namespaces is None else namespaces)))
 
 
 def text_documents(spark: SparkSession, path: str) -> DataFrame:

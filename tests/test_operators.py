@@ -122,6 +122,14 @@ def test_markup():
     assert markup.parse_page("S (disambiguation)", "", markup.Config()) == (("wiki:S%20(disambiguation)", "S (disambiguation)", "disambiguation", None, []), [])
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [("{{lang|fr|chat}}", "chat"), ("{{lang-de|Hund}}", "Hund"), ("{{as of|2001|May|lc=y}}", "as of May 2001"), ("{{time ago|-3 days}}", "3 days ago"), ("{{angbr|x}}", "⟨x⟩"), ("{{small|{{nowrap|a b}}}}", "a b"), ("{{what|alt=seen}}{{zh|x}}", "seen"), ("{{convert|5}}", "")],
+)
+def test_templates(source, want):
+    assert markup.resolve_templates(source, markup.Config(), []) == want
+
+
 def test_scalar_functions(spark):
     df = spark.createDataFrame([("Q12x", "ab/c/d", "<dbpedia:New_York>", "wkx:A%20b")], "q string, p string, e string, i string")
     passage, entity = text.passage_and_entity(F.col("p"))

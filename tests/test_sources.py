@@ -49,8 +49,10 @@ def test_json_and_lines(spark, tmp_path):
 
 
 def test_xml_dump(spark, tmp_path):
-    xml = "<mediawiki>" + "".join(f"<page><title>{t}</title><ns>0</ns><id>{i}</id><revision><text>x {i}</text></revision></page>" for i, t in enumerate(["Turtle", "Talk:Turtle", "Category:Animals", "Star: a story"])) + "</mediawiki>"
-    got = readers.wiki_dump(spark, put(tmp_path, "dump.xml", xml))
+    xml = '<mediawiki><siteinfo><namespaces><namespace key="0"/><namespace key="1">Talk</namespace><namespace key="14">Category</namespace></namespaces></siteinfo>' + "".join(f"<page><title>{t}</title><ns>0</ns><id>{i}</id><revision><text>x {i}</text></revision></page>" for i, t in enumerate(["Turtle", "Talk:Turtle", "Category:Animals", "Star: a story"])) + "</mediawiki>"
+    path = put(tmp_path, "dump.xml", xml)
+    assert readers.other_namespaces(spark, path) == ["Talk"]
+    got = readers.wiki_dump(spark, path, readers.other_namespaces(spark, path))
     assert {r["title"] for r in got.collect()} == {"Turtle", "Category:Animals", "Star: a story"}
 
 
