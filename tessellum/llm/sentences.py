@@ -340,7 +340,7 @@ def _ends_sentence(cand, points, kind, role, mark, white, t, follows, after_any,
     # only white space, no dash or opening sign, before a small letter
     small = inside & (k == LOWER)
     plain = small & blank & (_next_of(np.flatnonzero(~white), cand + 1, n) == place)
-    end = strong & (~small | plain) & ~comma
+    end = strong & (~small | plain | (here >= 0x80)) & ~comma
     beside = (near == UPPER) | (near == CASELESS) | np.isin(role[nxt], (R_OPEN2, R_CLOSE2, R_BOTH, R_OPEN1, R_CLOSE1, R_OPEN_B, R_CLOSE_B))
     end &= blank | beside | (here >= 0x80)
     # dots
@@ -355,7 +355,7 @@ def _ends_sentence(cand, points, kind, role, mark, white, t, follows, after_any,
     at = cand[single]
     res = np.zeros(len(at), bool)
     if len(at):
-        stop_sign = white | (role == R_OPEN_B) | (role == R_OPEN2) | (role == R_OPEN1) | (role == R_BOTH) | np.isin(points, [0x2014, 0x2013, 0x7C, 0x2F, 0x2019, 0x27])
+        stop_sign = white | (role == R_STRONG) | (role == R_OPEN_B) | (role == R_OPEN2) | (role == R_OPEN1) | (role == R_BOTH) | np.isin(points, [0x2014, 0x2013, 0x7C, 0x2F, 0x2019, 0x27])
         stops = np.flatnonzero(stop_sign)
         j = np.searchsorted(stops, at) - 1
         word_start = np.where(j >= 0, stops[np.maximum(j, 0)] + 1 if len(stops) else 0, 0)

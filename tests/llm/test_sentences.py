@@ -17,7 +17,7 @@ CASES = {
     "arabic": (" ", ["كتب أ. كوشا أن الخزانة أقدم.", "من بنى المكتبة؟!", "قال الحارس: «وصلنا إلى الواحة. لم نجد أحدا.»", "يبلغ ارتفاع المزرعة نحو 93.72 م."]),
     "hindi": (" ", ["प्रो. लाक बोले, “नदी टूट गई। हम लौट आए।”", "किसने बनाई यह मंडी?", "“मंडी कहाँ है?” पहरेदार ने पूछा।", "यह लगभग 57.83 कि.मी. दूर है।"]),
     "chinese": ("", ["“走吧！渡口要塌了！”青溪喊道。", "他写道：“织坊塌了。没有人知道。”", "为什么会倒塌呢？！", "该石桥（建于1657年。）由湖管理。", "据说……那里从前有一座驿站。"]),
-    "japanese": ("", ["彼は『製粉所が崩れた。誰もいない。』と書いた。", "「窯跡はどこですか。」と門番が尋ねた。", "記録によれば……そこには干潟があった。", "人口は9.12万人である。"]),
+    "japanese": ("", ["彼は『製粉所が崩れた。誰もいない。』と書いた。", "「窯跡はどこですか。」と門番が尋ねた。", "記録によれば……そこには干潟があった。", "ver. 21.2の地図には石橋が載っていない。", "なぜ消えたのか？", "ver. 2.2の地図。", "人口は9.12万人である。"]),
     "korean": (" ", ["인구는 24.7만 명이다.", "“가자! 무너진다!” 하고 그가 외쳤다.", "아무도 이야기를 하지 않았다...", "누가 만들었는가?"]),
     "thai": (" ", ["ในปี 1693 มีนาเกลือใหม่ถูกสร้างขึ้น", "คลองเก่ากับถ้ำอยู่ห่างกัน 2.33 เมตร", "ใครเป็นคนสร้างเขื่อนแห่งนี้"]),
     "missing blank": ("", ["They surveyed it there.", "The ridge fell.", "St. Ives rose."]),
