@@ -95,11 +95,11 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(labels: DataFrame) -> Fit:
     spark = labels.sparkSession
     labels = materialize(labels, "labels")
-    marginals = labels.groupBy("annotator", "relevance").agg(F.count("*").alias("n")).limit(MOST_COUNTS).collect()
+    marginals = labels.groupBy("annotator", "relevance").agg(F.count("*").alias("n")).limit(MOST_COUNTS + 1).collect()
     people = sorted({r["annotator"] for r in marginals})
     grades = sorted({r["relevance"] for r in marginals})
     a, k = len(people), len(grades)
-    if a * k * k > MOST_COUNTS:
+    if a * k * k > MOST_COUNTS or len(marginals) > MOST_COUNTS:
         raise ValueError(f"{a} annotators and {k} grades exceed {MOST_COUNTS} confusion counts")
     number = spark.createDataFrame(list(enumerate(people)), "person int, annotator string")
     position = F.array_position(F.array(*[F.lit(g) for g in grades]), F.col("relevance")) - 1 if grades else F.lit(0)
