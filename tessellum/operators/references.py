@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RANGE_KEYS = 200_000  # parents of one range at most, about
+RANGE_KEYS = 500_000  # parents of one range at most, about
 SALT_ROWS = 400_000  # references of one task at most, about
 SAMPLE_PER_RANGE = 60
 KEY_BYTES = 64

@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_stored: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def store(df: DataFrame, name: str = "table") -> str:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _stored.append(path)
     return path
 
 
@@ -57,5 +59,12 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table this process has stored; results that still read them become unusable."""
+    for path in _stored:
+        discard(spark, path)
+    _stored.clear()
+
+
 def local_path(url: str) -> str:
     return os.path.abspath(url.removeprefix("file://"))

@@ -137,3 +137,16 @@ def test_scalar_functions(spark):
     assert tuple(got) == (12, "ab", "c/d", "New York", "A b", "a%20b%2F%C3%BC", "Été")
     chunks = spark.range(1).select(text.overlapping_chunks(F.lit("abcdefghij"), 4, 2).alias("c")).first()["c"]
     assert [tuple(c) for c in chunks] == [(0, "abcdef"), (4, "efghij"), (8, "ij")]
+
+
+def test_stored_tables_live_in_the_shared_folder(spark, tmp_path):
+    from tessellum import storage
+
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        df = storage.materialize(spark.range(3), "t")
+        assert df.count() == 3 and len(list(tmp_path.iterdir())) == 1
+        storage.release(spark)
+        assert not list(tmp_path.iterdir())
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
