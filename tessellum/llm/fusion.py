@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 LONG_LIST = 200_000
-MOST_BROADCAST = 1_000_000  # bin bounds that may be broadcast
+MOST_BROADCAST = 200_000  # bins of long lists that may be broadcast (some 100 bytes each)
 
 # Coefficients of algorithm AS 241 (Wichura 1988), highest power last.
 CENTRAL = (
