@@ -139,14 +139,12 @@ def test_scalar_functions(spark):
     assert [tuple(c) for c in chunks] == [(0, "abcdef"), (4, "efghij"), (8, "ij")]
 
 
-def test_stored_tables_live_in_the_shared_folder(spark, tmp_path):
+def test_stored_tables_live_in_the_shared_folder(spark, tmp_path, monkeypatch):
     from tessellum import storage
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        df = storage.materialize(spark.range(3), "t")
-        assert df.count() == 3 and len(list(tmp_path.iterdir())) == 1
-        storage.release(spark)
-        assert not list(tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(storage, "_stored", [])
+    df = storage.materialize(spark.range(3), "t")
+    assert df.count() == 3 and len(list(tmp_path.glob("t-*"))) == 1
+    storage.release(spark)
+    assert not list(tmp_path.glob("t-*"))
