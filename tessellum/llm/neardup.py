@@ -10,12 +10,10 @@ pigeonhole principle fingerprints that differ in at most ``2 * BLOCKS - 1`` of t
 anchor.  So every fingerprint is replicated to its ``4 * BLOCKS`` anchors, texts are compared
 per anchor, and the sets of the pairs that meet are compared exactly.
 
-Texts with equal sets are one class and travel once.  Pairs of words in over ``COMMON`` of the
-texts are left out of the fingerprints of texts with more than ``SHORT`` pairs (not out of the
-comparison): they would draw unrelated texts together.  They are counted exactly over all
-texts.  Texts of up to ``2 * SHORT`` pairs also get a fingerprint of their whole set, as only
-such texts can be near those of up to ``SHORT``.  Anchors met by more than ``LONG_RUN`` classes
-are compared in square blocks spread over tasks, with a longer sketch as a first sieve.
+Texts with equal sets are one class and travel once.  Every text's fingerprint is of its whole
+set: word pairs that many texts have stay in, as a large family of edited copies has no others
+to meet by.  Anchors met by more than ``LONG_RUN`` classes are compared in square blocks spread
+over tasks, with a longer sketch as a first sieve.
 
 Defined results
 ---------------
@@ -46,7 +44,6 @@ BLOCKS = 10
 SYMBOLS = 4 * BLOCKS
 SKETCH = 64  # symbols of one byte for long runs
 SKETCH_LEAST = 16  # agreeing ones of them to stay a candidate (0.5 would give 32)
-SHORT = 8
 COMMON, COMMON_LEAST = 0.01, 50
 MOST_CANDIDATES = 1_000_000  # word pairs counted through the driver; beyond, all are counted by group-by
 LONG_RUN = 256
@@ -96,13 +93,13 @@ def _minima(pairs: np.ndarray, sizes: np.ndarray, which: range) -> np.ndarray:
     return out
 
 
-def _anchor_keys(symbols: np.ndarray, salt: int) -> np.ndarray:
+def _anchor_keys(symbols: np.ndarray) -> np.ndarray:
     """(texts, SYMBOLS): the anchor of each block that leaves one of its symbols free."""
     keys = np.empty((len(symbols), SYMBOLS), np.int64)
     s = symbols.astype(np.uint64)
     for b in range(BLOCKS):
         for free in range(4):
-            h = np.full(len(s), np.uint64(b * 4 + free + 1 + 1000 * salt))
+            h = np.full(len(s), np.uint64(b * 4 + free + 1))
             for j in range(4):
                 if j != free:
                     h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + s[:, b * 4 + j])
@@ -166,12 +163,10 @@ def _counted_everywhere(records: DataFrame, total: int) -> np.ndarray:
     return np.sort(np.array(often.toArrow()["pair"].to_numpy(), np.int64).view(np.uint64))  # at most mean size / COMMON pairs
 
 
-def fingerprints(records: DataFrame, common: np.ndarray) -> DataFrame:
-    """(id, k1, k2, near, whole): set key, fingerprint without common pairs, fingerprint of the whole set (null if not needed)."""
-    shared = records.sparkSession.sparkContext.broadcast(common)
+def fingerprints(records: DataFrame) -> DataFrame:
+    """(id, k1, k2, print): set key and fingerprint of the set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare_only = shared.value
         for batch in batches:
             for lo, hi in blocks(batch.column("text")):
                 pairs, sizes = word_pairs(batch.column("text").slice(lo, hi - lo))
@@ -181,29 +176,10 @@ def fingerprints(records: DataFrame, common: np.ndarray) -> DataFrame:
                 sizes = sizes[have]
                 begins = np.cumsum(sizes) - sizes
                 k1, k2 = np.add.reduceat(_mix(pairs + np.uint64(1)), begins), np.add.reduceat(_mix(pairs * np.uint64(3) + np.uint64(5)), begins)
-                own = np.repeat(np.arange(len(sizes)), sizes)
-                keep = np.ones(len(pairs), bool)
-                if len(rare_only):
-                    at = np.minimum(np.searchsorted(rare_only, pairs), len(rare_only) - 1)
-                    keep = rare_only[at] != pairs
-                left = np.bincount(own[keep], minlength=len(sizes))
-                near = np.flatnonzero((sizes > SHORT) & (left > 0))
-                whole = np.flatnonzero((sizes <= 2 * SHORT) | (left == 0))
-
-                def column(rows: np.ndarray, mask: np.ndarray) -> pa.Array:
-                    chosen = np.zeros(len(sizes), bool)
-                    chosen[rows] = True
-                    use = mask & chosen[own]
-                    out = np.zeros((len(sizes), SYMBOLS), np.uint32)
-                    if len(rows):
-                        out[rows] = _minima(pairs[use], np.bincount(own[use], minlength=len(sizes))[rows], range(SYMBOLS))
-                    raw = out.tobytes()
-                    width = 4 * SYMBOLS
-                    return pa.array([raw[i * width : (i + 1) * width] if c else None for i, c in enumerate(chosen)], pa.binary())
-
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo).take(pa.array(have)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), column(near, keep), column(whole, np.ones(len(pairs), bool))], names=["id", "k1", "k2", "near", "whole"])
-
-    return records.mapInArrow(work, "id string, k1 bigint, k2 bigint, near binary, whole binary")
+                symbols = _minima(pairs, sizes, range(SYMBOLS))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo).take(pa.array(have)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array([r.tobytes() for r in symbols], pa.binary())], names=["id", "k1", "k2", "print"])
+
+    return records.mapInArrow(work, "id string, k1 bigint, k2 bigint, print binary")
 
 
 def _meet(classes: DataFrame) -> DataFrame:
@@ -212,12 +188,8 @@ def _meet(classes: DataFrame) -> DataFrame:
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cid = batch.column("cid").to_numpy()
-            for salt, name in enumerate(("near", "whole")):
-                col = batch.column(name)
-                has = np.flatnonzero(np.asarray(col.is_valid()))
-                if len(has):
-                    symbols = np.frombuffer(b"".join(col.take(pa.array(has)).to_pylist()), np.uint32).reshape(len(has), SYMBOLS)
-                    yield pa.RecordBatch.from_arrays([pa.array(_anchor_keys(symbols, salt).ravel()), pa.array(np.repeat(cid[has], SYMBOLS))], names=["anchor", "cid"])
+            symbols = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint32).reshape(len(cid), SYMBOLS)
+            yield pa.RecordBatch.from_arrays([pa.array(_anchor_keys(symbols).ravel()), pa.array(np.repeat(cid, SYMBOLS))], names=["anchor", "cid"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of equal anchors, sorted; a run that goes on in the next batch waits, at most LONG_RUN of it."""
@@ -263,7 +235,7 @@ def _meet(classes: DataFrame) -> DataFrame:
             i, j = np.triu_indices(len(wait), 1)
             yield _pairs(wait[i], wait[j], np.full(len(i), wait_key, np.int64))
 
-    spread = classes.select("cid", "near", "whole").mapInArrow(replicate, "anchor bigint, cid bigint")
+    spread = classes.select("cid", "print").mapInArrow(replicate, "anchor bigint, cid bigint")
     return spread.repartition("anchor").sortWithinPartitions("anchor", "cid").mapInArrow(compare, "a bigint, b bigint, anchor bigint")
 
 
@@ -335,8 +307,8 @@ class Found:
 
 def near_duplicates(rows: DataFrame, id_col: str = "id", text_col: str = "content", threshold: float = 0.5) -> Found:
     records = _records(rows, id_col, text_col)
-    prints = materialize(fingerprints(records, common_pairs(records)), "prints")
-    classes = prints.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("near").alias("near"), F.first("whole").alias("whole"))
+    prints = materialize(fingerprints(records), "prints")
+    classes = prints.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("print").alias("print"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = prints.select("id", "k1", "k2").distinct().join(classes.select("k1", "k2", "cid"), ["k1", "k2"]).select("id", "cid", "k1", "k2")
     met = materialize(_meet(classes), "met")

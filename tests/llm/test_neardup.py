@@ -78,6 +78,18 @@ def test_long_runs_are_compared_in_squares(spark, monkeypatch):
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 500
 
 
+def test_large_family_of_edited_copies(spark):
+    """Over 1 % of more than 5 000 records are edited copies of one text, and over 1 % exact copies of another that has one edited copy."""
+    rng = random.Random(11)
+    base, other = ([rng.choice(WORDS) for _ in range(30)] for _ in range(2))
+    family = [(f"f{i:03d}", " ".join(edited(rng, base))) for i in range(80)]
+    copies = [(f"g{i:03d}", " ".join(other)) for i in range(80)] + [("h", " ".join(other[:9] + ["new"] + other[10:]))]
+    rest = [(f"r{i:04d}", " ".join(f"u{i}x{k}" for k in range(25))) for i in range(5300)]
+    want = brute(family + copies)
+    got = set(rows(neardup.pairs_of_ids(found(spark, family + copies + rest))))
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 5000 and ("g000", "h") in got
+
+
 def test_odd_rows(spark):
     text = "One two three four, FIVE!"
     data = [("b", text), ("a", "one  two three-four five"), ("a", "one  two three-four five"), ("c", None), (None, text), ("d", ""), ("e", "one"), ("f", "one one"), ("g", "one one one"), ("h", text + " six")]
