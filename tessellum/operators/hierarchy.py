@@ -122,3 +122,32 @@ def descendants(nodes: DataFrame) -> DataFrame:
     """(ancestor, id, distance) for every resolved node and each of its proper ancestors."""
     at = F.posexplode(F.slice("id_path", 1, F.size("id_path") - 1)).alias("pos", "ancestor")
     return nodes.where("depth > 0").select("id", "depth", at).select("ancestor", "id", (F.col("depth") - F.col("pos")).alias("distance"))
+
+
+def _ancestors_of_unreached(unreached: DataFrame) -> DataFrame:
+    """(id, ancestor, level) of the nodes that ``resolve`` leaves; levels double each round until no pair is new."""
+    spark = unreached.sparkSession
+    start = unreached.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("level"))
+    path = store(start, "ancestors")
+    state = load(spark, path, start)
+    total, before = state.count(), -1
+    while total > before:
+        up = state.select(F.col("id").alias("u_id"), F.col("ancestor").alias("u_ancestor"), F.col("level").alias("u_level"))
+        far = state.join(up, F.col("ancestor") == F.col("u_id")).select("id", F.col("u_ancestor").alias("ancestor"), (F.col("level") + F.col("u_level")).alias("level"))
+        new = store(state.unionByName(far).groupBy("id", "ancestor").agg(F.min("level").alias("level")), "ancestors")
+        discard(spark, path)
+        path, state = new, load(spark, new, start)
+        total, before = state.count(), total
+    return state
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(id, ancestor, level) for every node and everything above it, without a bound on the level.
+
+    A parent that is no node counts as an ancestor.  On or below a cycle each ancestor comes
+    once, at its smallest level; nodes on a cycle are their own ancestors.
+    """
+    h = resolve(nodes)
+    above = descendants(h.nodes).select("id", "ancestor", F.col("distance").alias("level"))
+    missing = h.nodes.where("orphan").join(nodes.select(F.col("id").alias("root"), F.col("parent").alias("ancestor")), "root").select("id", "ancestor", (F.col("depth") + 1).alias("level"))
+    return above.unionByName(missing).unionByName(_ancestors_of_unreached(h.unreached))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dedup, graph
+from ..operators import dedup, graph, hierarchy
 from ..operators.components import connected_components
 from ..storage import materialize
 from . import base
@@ -155,6 +155,12 @@ def ancestor_recursion(spark: SparkSession, sf: str) -> DataFrame:
         SELECT id, ancestor, level FROM up LIMIT ALL""")
 
 
+def ancestor_table(spark: SparkSession, sf: str) -> DataFrame:
+    """All ancestors of each fragment up to its root, each at its smallest level."""
+    rows = hierarchy.ancestors(hierarchy.latest_nodes(table(spark, sf, "fragments")))
+    return rows.select(F.col("id").cast("int").alias("id"), F.col("ancestor").cast("int").alias("ancestor"), "level")
+
+
 def method_grid(spark: SparkSession, sf: str) -> DataFrame:
     """All combinations of graph, edge weighting, walk and retrieval model."""
     frame = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
@@ -264,7 +270,7 @@ _HOPS = f"{_SEEDS}, e AS (SELECT DISTINCT src, dst FROM pedge), ends AS (SELECT
 
 QUERIES = {
     f.__name__: f
-    for f in (edge_docs, edge_graph, marginal_edges, degree_centrality, degree_stats, degree_hist, symmetric_edges, topn_edges, random_edges, pagerank, personalized_pagerank, attribute_rank, seed_distances, distance_hist, k_hop_paths, shortest_path_scores, ancestor_recursion, method_grid, graph_expansion_run, jaccard_dup_pairs, dup_classes, dup_components, dup_rewrite_table, dup_map_run, dup_rewrite_pages, lsh_buckets, bucket_counts, match_two_corpora, label_centroids, minhash_approx)
+    for f in (edge_docs, edge_graph, marginal_edges, degree_centrality, degree_stats, degree_hist, symmetric_edges, topn_edges, random_edges, pagerank, personalized_pagerank, attribute_rank, seed_distances, distance_hist, k_hop_paths, shortest_path_scores, ancestor_recursion, ancestor_table, method_grid, graph_expansion_run, jaccard_dup_pairs, dup_classes, dup_components, dup_rewrite_table, dup_map_run, dup_rewrite_pages, lsh_buckets, bucket_counts, match_two_corpora, label_centroids, minhash_approx)
 }
 
 SQL = {
@@ -285,6 +291,7 @@ SQL = {
     "k_hop_paths": f"WITH {_HOPS} SELECT a, b, array_to_string(p, '|') AS path FROM paths",
     "shortest_path_scores": f"WITH {_HOPS}, s AS (SELECT *, min(len(p)) OVER (PARTITION BY a, b) AS best FROM paths), n AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY a, b) AS w FROM s WHERE len(p) = best) SELECT p[2] AS node, round(sum(w), 9) AS score FROM n WHERE best = 3 GROUP BY 1",
     "ancestor_recursion": f"WITH RECURSIVE {base.FRAG}, up AS (SELECT id, parent AS ancestor, 1 AS level FROM frag WHERE parent IS NOT NULL UNION ALL SELECT u.id, f.parent, u.level + 1 FROM up u JOIN frag f ON f.id = u.ancestor WHERE f.parent IS NOT NULL AND u.level < 3) SELECT * FROM up",
+    "ancestor_table": f"WITH RECURSIVE {base.FRAG}, up AS (SELECT id, parent AS ancestor, 1 AS level, [parent] AS seen FROM frag WHERE parent IS NOT NULL UNION ALL SELECT u.id, f.parent, u.level + 1, list_append(u.seen, f.parent) FROM up u JOIN frag f ON f.id = u.ancestor WHERE f.parent IS NOT NULL AND NOT list_contains(u.seen, f.parent)) SELECT id, ancestor, level FROM up",
     "method_grid": "SELECT concat_ws('-', g, w, k, method) AS name, method AS model FROM (VALUES ('full'), ('top10'), ('top100')) a(g), (VALUES ('count'), ('score'), ('reciprocal')) b(w), (VALUES ('pagerank'), ('personal'), ('margin')) c(k), ranking_methods",
     "graph_expansion_run": f"""WITH {base.RUN}, {_EDOCS}, {base.FRAG}, top AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM run WHERE method = 'bm25') WHERE r <= 20),
         e AS (SELECT query_id, node AS entity, round(sum(1.0::DOUBLE / r), 9) AS score, arg_min(doc_id, r) AS passage FROM top JOIN edoc ON doc = doc_id GROUP BY ALL),

@@ -25,6 +25,22 @@ def test_cycles_and_what_hangs_below(spark):
     assert rows(hierarchy.cycles(h.unreached)) == [(1, 1), (1, 2), (1, 3), (5, 5)]
 
 
+def test_ancestors_at_every_level(spark):
+    deep = [(i, "t", i - 1 if i > 1 else None, None) for i in range(1, 41)]
+    data = [*deep, (50, "orphan", 99, None), (51, "o", 50, None), (60, "a", 62, None), (61, "b", 60, None), (62, "c", 61, None), (63, "tail", 60, None), (64, "tail2", 63, None), (70, "self", 70, None)]
+    parent = {i: p for i, _, p, _ in data}
+    want = set()
+    for i in parent:
+        at, level, seen = parent[i], 1, set()
+        while at is not None and at not in seen:
+            want.add((i, at, level))
+            seen.add(at)
+            at, level = parent.get(at), level + 1
+    nodes = hierarchy.latest_nodes(spark.createDataFrame(data, SCHEMA))
+    assert rows(hierarchy.ancestors(nodes)) == sorted(want, key=repr)
+    assert (40, 1, 39) in want and (51, 99, 2) in want and (60, 60, 3) in want
+
+
 def test_latest_delivery_counts_and_null_ids_do_not(spark):
     from datetime import datetime
 
