@@ -77,6 +77,57 @@ def distances(edges: DataFrame, seeds: DataFrame, limit: int = 20) -> DataFrame:
     return spark.read.schema(start.schema).parquet(*paths)
 
 
+def _weighted_distances(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, node, dist): least sum of weights from each seed, relaxed until nothing changes."""
+    spark = edges.sparkSession
+    start = seeds.select(F.col("node").alias("seed"), "node", F.lit(0.0).alias("dist"), F.lit(True).alias("fresh"))
+    path = store(start, "relax")
+    state = load(spark, path, start)
+    while state.where("fresh").limit(1).count():
+        steps = state.where("fresh").join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.lit(False).alias("old"))
+        both = state.select("seed", "node", "dist", F.lit(True).alias("old")).unionByName(steps).groupBy("seed", "node").agg(F.min("dist").alias("dist"), F.min(F.when(F.col("old"), F.col("dist"))).alias("was"))
+        new = store(both.select("seed", "node", "dist", (F.col("was").isNull() | (F.col("dist") < F.col("was"))).alias("fresh")), "relax")
+        discard(spark, path)
+        path, state = new, load(spark, new, start)
+    return state.select("seed", "node", "dist")
+
+
+def _path_counts(start: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, node, n): number of walks from the start rows (*keys, node, n) along the acyclic steps (seed, src, dst)."""
+    spark = start.sparkSession
+    paths = [store(start, "counts")]
+    frontier = load(spark, paths[0], start)
+    while frontier.limit(1).count():
+        ahead = frontier.join(steps, (frontier["seed"] == steps["seed"]) & (frontier["node"] == steps["src"]))
+        paths.append(store(ahead.groupBy(*[frontier[k] for k in keys], F.col("dst").alias("node")).agg(F.sum("n").alias("n")), "counts"))
+        frontier = load(spark, paths[-1], start)
+    return spark.read.schema(start.schema).parquet(*paths).groupBy(*keys, "node").agg(F.sum("n").alias("n"))
+
+
+def shortest_path_scores(edges: DataFrame, seeds: DataFrame, least: float = 0.001) -> DataFrame:
+    """(node, score): share of all shortest paths between different seeds that have the node inside.
+
+    Weights, at least ``least``, are distances; edges from seed to seed do not count; paths may
+    have any number of steps, and all of equal length count.
+    """
+    seeds = materialize(seeds.select("node").distinct(), "seeds")
+    marked = lambda c: seeds.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_seed"))
+    e = edges.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("w")).join(marked("src"), "src", "left").join(marked("dst"), "dst", "left")
+    e = materialize(e.where("src_seed IS NULL OR dst_seed IS NULL").select("src", "dst", F.greatest("w", F.lit(least)).alias("weight")), "lengths")
+    d = materialize(_weighted_distances(e, seeds), "dist")
+    to = d.select(F.col("seed").alias("t_seed"), F.col("node").alias("t_node"), F.col("dist").alias("t_dist"))
+    tight = d.join(e, F.col("node") == F.col("src")).join(to, (F.col("seed") == F.col("t_seed")) & (F.col("dst") == F.col("t_node"))).where(F.col("dist") + F.col("weight") == F.col("t_dist")).select("seed", "src", "dst")
+    tight = materialize(tight, "tight")
+    one = F.lit(1.0).alias("n")
+    ahead = materialize(_path_counts(seeds.select(F.col("node").alias("seed"), "node", one), tight, ["seed"]), "ahead")
+    ends = d.join(seeds, "node", "left_semi").where("seed <> node").select("seed", F.col("node").alias("end"), "node", one)
+    back = _path_counts(ends, tight.select("seed", F.col("dst").alias("src"), F.col("src").alias("dst")), ["seed", "end"])
+    through = materialize(back.select("seed", "end", "node", F.col("n").alias("m")).join(ahead, ["seed", "node"]).select("seed", "end", "node", (F.col("n") * F.col("m")).alias("n")), "through")
+    total = through.where("node = end").agg(F.sum("n").alias("total"))  # one row
+    inner = through.where("node <> seed AND node <> end").groupBy("node").agg(F.sum("n").alias("n"))
+    return inner.crossJoin(F.broadcast(total)).select("node", F.round(F.col("n") / F.col("total"), 9).alias("score"))
+
+
 def paths_up_to(edges: DataFrame, pairs: DataFrame, hops: int) -> DataFrame:
     """(a, b, path): simple paths of at most ``hops`` steps between the given ends."""
     edges = edges.select("src", "dst").distinct()

@@ -146,6 +146,11 @@ def shortest_path_scores(spark: SparkSession, sf: str) -> DataFrame:
     return inner.groupBy("node").agg(F.round(F.sum("w"), 9).alias("score"))
 
 
+def shortest_path_node_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Inner nodes of all shortest seed-to-seed paths of any length; weights are distances, edges between seeds are left out."""
+    return graph.shortest_path_scores(_page_edges(spark, sf), _seeds(spark, sf))
+
+
 def ancestor_recursion(spark: SparkSession, sf: str) -> DataFrame:
     """Parents up to three levels above each fragment by a recursive query."""
     base.fragments(spark, sf).select("id", "parent").createOrReplaceTempView("tessellum_frag")
@@ -270,7 +275,7 @@ _HOPS = f"{_SEEDS}, e AS (SELECT DISTINCT src, dst FROM pedge), ends AS (SELECT
 
 QUERIES = {
     f.__name__: f
-    for f in (edge_docs, edge_graph, marginal_edges, degree_centrality, degree_stats, degree_hist, symmetric_edges, topn_edges, random_edges, pagerank, personalized_pagerank, attribute_rank, seed_distances, distance_hist, k_hop_paths, shortest_path_scores, ancestor_recursion, ancestor_table, method_grid, graph_expansion_run, jaccard_dup_pairs, dup_classes, dup_components, dup_rewrite_table, dup_map_run, dup_rewrite_pages, lsh_buckets, bucket_counts, match_two_corpora, label_centroids, minhash_approx)
+    for f in (edge_docs, edge_graph, marginal_edges, degree_centrality, degree_stats, degree_hist, symmetric_edges, topn_edges, random_edges, pagerank, personalized_pagerank, attribute_rank, seed_distances, distance_hist, k_hop_paths, shortest_path_scores, shortest_path_node_scores, ancestor_recursion, ancestor_table, method_grid, graph_expansion_run, jaccard_dup_pairs, dup_classes, dup_components, dup_rewrite_table, dup_map_run, dup_rewrite_pages, lsh_buckets, bucket_counts, match_two_corpora, label_centroids, minhash_approx)
 }
 
 SQL = {

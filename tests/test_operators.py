@@ -148,3 +148,34 @@ def test_stored_tables_live_in_the_shared_folder(spark, tmp_path, monkeypatch):
     assert df.count() == 3 and len(list(tmp_path.glob("t-*"))) == 1
     storage.release(spark)
     assert not list(tmp_path.glob("t-*"))
+
+
+def test_shortest_path_scores_against_all_simple_paths(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(2)
+    weights = {(f"n{a}", f"n{b}"): float(rng.randint(1, 3)) for a, b in (rng.sample(range(12), 2) for _ in range(40))}
+    weights |= {("s", "n0"): 1.0, ("s", "n1"): 1.0, ("n5", "t"): 2.0, ("s", "t"): 1.0, ("t", "c1"): 0.0, ("u", "n3"): 1.0}
+    weights |= {(f"c{i}", f"c{i + 1}"): 1.0 for i in range(1, 6)} | {("c6", "u"): 1.0}
+    seeds = ["s", "t", "u"]
+    edge = {k: max(v, 0.001) for k, v in weights.items() if not (k[0] in seeds and k[1] in seeds)}
+
+    def walks(path, length, end):
+        if path[-1] == end:
+            yield length, path
+            return
+        for (a, b), w in edge.items():
+            if a == path[-1] and b not in path:
+                yield from walks([*path, b], length + w, end)
+
+    inner, total = Counter(), 0
+    for a in seeds:
+        for b in seeds:
+            every = list(walks([a], 0.0, b)) if a != b else []
+            best = [p for n, p in every if n == min(n for n, _ in every)]
+            total += len(best)
+            inner.update(x for p in best for x in p[1:-1])
+    got = graph.shortest_path_scores(spark.createDataFrame([(*k, v) for k, v in weights.items()], "src string, dst string, weight double"), spark.createDataFrame([(x,) for x in seeds], "node string"))
+    assert {r["node"]: r["score"] for r in got.collect()} == {k: round(n / total, 9) for k, n in inner.items()}
+    assert {"c1", "c6", "n0"} <= set(inner) and total > 2
