@@ -90,6 +90,17 @@ def test_large_family_of_edited_copies(spark):
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 5000 and ("g000", "h") in got
 
 
+def test_pairs_at_the_threshold(spark):
+    """600 pairs of texts that share 20 of 40 word pairs."""
+    data = []
+    for i in range(600):
+        words = [f"t{i}x{k}" for k in range(41)]
+        data += [(f"{i:03d}a", " ".join(words[:31])), (f"{i:03d}b", " ".join(words[:21] + words[31:]))]
+    want = {(f"{i:03d}a", f"{i:03d}b") for i in range(600)}
+    got = set(rows(neardup.pairs_of_ids(found(spark, data))))
+    assert got <= want and len(got) >= 0.995 * len(want)
+
+
 def test_odd_rows(spark):
     text = "One two three four, FIVE!"
     data = [("b", text), ("a", "one  two three-four five"), ("a", "one  two three-four five"), ("c", None), (None, text), ("d", ""), ("e", "one"), ("f", "one one"), ("g", "one one one"), ("h", text + " six")]
