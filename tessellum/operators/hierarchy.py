@@ -1,13 +1,17 @@
 """Parent-child rows to full hierarchies.
 
-Frontier joins from the roots, in bands of levels that double: before round ``k`` every node
-of depth below ``2**k`` is resolved, and each other node points at its ancestor ``2**k``
-levels up.  One join of the unresolved nodes with the whole state then either meets a
-resolved ancestor (path and depth are extended) or doubles the pointer.  A tree of depth
-``d`` takes ``log2(d)`` joins instead of ``d``.  When a round resolves nothing, the nodes
-left over were never reached from a root: they lie on a cycle or hang below one.  Among
-them, doubling goes on until the pointers have passed every tail; the nodes still pointed at
-are exactly those on cycles, and the smallest id seen on the way names the cycle.
+Frontier joins start from the roots.  Level by level the frontier (the nodes reached last)
+meets the nodes that still wait for their parent; those it reaches extend its paths and
+depths by one and are the next frontier.  The few nodes below level ``LEVELS`` are reached in
+bands that double, since a job for every level of a long chain would take hours: each waiting
+node knows its ancestor ``2**k`` levels up, so a frontier join reaches a band of ``2**k``
+levels at once, and nodes that no frontier meets double their reach (those whose path repeats
+a node leave: no root is above them).
+
+When a frontier is empty, the nodes that were never reached from a root lie on a cycle or
+hang below one.  From each of them a walk goes upwards, in steps that double, until
+it must have repeated itself; the nodes such walks still come by are exactly those on cycles,
+and the smallest id seen on the way names the cycle.
 
 Defined results
 ---------------
@@ -26,7 +30,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, load, store
+from ..storage import discard, load, store, store_counting
+
+LEVELS = 6  # levels reached one by one; beyond, in bands
 
 
 @dataclass(frozen=True)
@@ -59,7 +65,7 @@ def resolve(nodes: DataFrame, paths: bool = True) -> Hierarchy:
     parents = nodes.select(F.col("id").alias("p_id"))
     known = nodes.join(parents, nodes["parent"] == parents["p_id"], "left")
     is_root = F.col("p_id").isNull()
-    # top: the root if resolved, else the ancestor `hops` levels up; hops: the depth once resolved
+    # top: the root if reached, else the ancestor `hops` levels up; hops: the depth once reached
     start = known.select(
         "id",
         is_root.alias("done"),
@@ -68,13 +74,28 @@ def resolve(nodes: DataFrame, paths: bool = True) -> Hierarchy:
         (is_root & F.col("parent").isNotNull()).alias("orphan"),
         *([F.array("id").alias("ids"), F.array("title").alias("titles")] if paths else []),
     )
-    first = store(start, "hierarchy")
-    done_paths, open_path = [first], first
-    waiting = load(spark, first, start).where(~F.col("done"))
-    left = waiting.count()
-    while left:
-        reached = spark.read.schema(start.schema).parquet(*done_paths).where("done")
-        up = reached.unionByName(waiting)
+    path, n = store_counting(start, "level", waiting="NOT done")
+    written = [path]
+    frontier, waiting = _split(load(spark, path, start))
+    level, met_last = 0, True
+    while n["waiting"] and met_last and level < LEVELS:
+        f = frontier.select([F.col(c).alias(f"u_{c}") for c in frontier.columns])
+        met = F.col("u_id").isNotNull()
+        met_or = lambda c, new: F.when(met, new).otherwise(F.col(c)).alias(c)
+        moved = waiting.join(f, F.col("top") == F.col("u_id"), "left").select(
+            "id",
+            met.alias("done"),
+            met_or("top", F.col("u_top")),
+            met_or("hops", F.col("u_hops") + 1),
+            met_or("orphan", F.col("u_orphan")),
+            *([met_or("ids", F.concat("u_ids", "ids")), met_or("titles", F.concat("u_titles", "titles"))] if paths else []),
+        )
+        path, n = store_counting(moved, "level", waiting="NOT done", met="done")
+        written.append(path)
+        frontier, waiting = _split(load(spark, path, start))
+        level, met_last = level + 1, n["met"] > 0
+    while n["waiting"] and met_last:  # deeper than LEVELS: each round reaches a band as deep as all before it
+        up = spark.read.schema(start.schema).parquet(*written).where("done").unionByName(waiting)
         up = up.select([F.col(c).alias(f"u_{c}") for c in up.columns])
         moved = waiting.join(up, F.col("top") == F.col("u_id")).select(
             "id",
@@ -84,17 +105,18 @@ def resolve(nodes: DataFrame, paths: bool = True) -> Hierarchy:
             F.col("u_orphan").alias("orphan"),
             *([F.concat("u_ids", "ids").alias("ids"), F.concat("u_titles", "titles").alias("titles")] if paths else []),
         )
-        open_path, before = store(moved, "hierarchy"), left
-        done_paths.append(open_path)
-        waiting = load(spark, open_path, start).where(~F.col("done"))
-        left = waiting.count()
-        if left == before:  # the frontier is empty
-            break
-    state = spark.read.schema(start.schema).parquet(*done_paths)
-    done = state.where("done").select("id", F.col("hops").alias("depth"), F.col("top").alias("root"), "orphan", *([F.col("ids").alias("id_path"), F.col("titles").alias("title_path")] if paths else []))
-    rest = waiting.select("id")
-    unreached = nodes.join(rest, "id", "left_semi").select("id", "parent")
-    return Hierarchy(done, unreached)
+        if paths:  # a walk that meets a node again never meets a root; without this its path would double until the end
+            moved = moved.where("done OR NOT array_contains(ids, top)")
+        path, n = store_counting(moved, "level", waiting="NOT done", met="done")
+        written.append(path)
+        waiting, met_last = _split(load(spark, path, start))[1], n["met"] > 0
+    reached = spark.read.schema(start.schema).parquet(*written).where("done")
+    done = reached.select("id", F.col("hops").alias("depth"), F.col("top").alias("root"), "orphan", *([F.col("ids").alias("id_path"), F.col("titles").alias("title_path")] if paths else []))
+    return Hierarchy(done, nodes.select("id", "parent").join(reached.select("id"), "id", "left_anti"))
+
+
+def _split(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return state.where("done"), state.where(~F.col("done"))
 
 
 def cycles(unreached: DataFrame) -> DataFrame:

@@ -79,3 +79,23 @@ def test_random_forests_against_walking(spark):
             on_cycle.add((min(walk(i)[0]), i))
     assert {r["id"]: (r["depth"], r["root"]) for r in h.nodes.collect()} == want
     assert {tuple(r) for r in hierarchy.cycles(h.unreached).collect()} == on_cycle
+
+
+def test_long_chain_and_flat_page(spark):
+    n = 10_000
+    chain = spark.range(n).selectExpr("int(id) id", "'t' title", "if(id = 0, null, int(id - 1)) parent", "timestamp(null) loaded_at")
+    h = hierarchy.resolve(hierarchy.latest_nodes(chain), paths=False)
+    assert h.nodes.selectExpr("count(*)", "max(depth)", "sum(depth)", "max(root)").first()[:] == (n, n - 1, n * (n - 1) // 2, 0)
+    flat = spark.range(200_000).selectExpr("int(id) id", "'t' title", "if(id = 0, null, 0) parent", "timestamp(null) loaded_at")
+    h = hierarchy.resolve(hierarchy.latest_nodes(flat))
+    assert h.nodes.where("depth = 1 AND root = 0 AND size(id_path) = 2").count() == 199_999
+
+
+def test_long_cycle_with_paths_above_the_levels(spark):
+    n = 60
+    data = [(i, "t", i - 1 if i else None, None) for i in range(n)]  # a chain, so that bands are needed
+    data += [(100 + i, "c", 100 + (i + 1) % 50, None) for i in range(50)] + [(200 + i, "tail", 100 if i == 0 else 199 + i, None) for i in range(30)]
+    h = resolved(spark, data)
+    assert {r["id"]: len(r["id_path"]) for r in h.nodes.collect()} == {i: i + 1 for i in range(n)}
+    assert h.unreached.count() == 80
+    assert rows(hierarchy.cycles(h.unreached)) == sorted([(100, 100 + i) for i in range(50)], key=repr)

@@ -143,7 +143,7 @@ def test_stored_tables_live_in_the_shared_folder(spark, tmp_path, monkeypatch):
     from tessellum import storage
 
     monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
-    monkeypatch.setattr(storage, "_stored", [])
+    monkeypatch.setattr(storage, "_stored", {})
     df = storage.materialize(spark.range(3), "t")
     assert df.count() == 3 and len(list(tmp_path.glob("t-*"))) == 1
     storage.release(spark)
