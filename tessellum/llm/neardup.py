@@ -1,19 +1,20 @@
 """Near-duplicate records with small edits, by anchor points.
 
-A text's fingerprint is a word of ``BLOCKS * 4`` min-hash symbols over its set of neighbouring
+A text's fingerprint is a word of four min-hash symbols a block over its set of neighbouring
 word pairs: two fingerprints agree in a position with the probability of the sets' overlap
-(Jaccard).  The anchors are the words of a covering code: per block of four symbols all words
-with three symbols given and one free.  Every block word lies within distance 1 (the covering
-radius) of exactly four anchors, and two block words at distance 1 or less share one.  By the
-pigeonhole principle fingerprints that differ in at most ``2 * BLOCKS - 1`` of the
-``4 * BLOCKS`` symbols (threshold) have a block at distance 1 or less, hence meet at an
-anchor.  So every fingerprint is replicated to its ``4 * BLOCKS`` anchors, texts are compared
-per anchor, and the sets of the pairs that meet are compared exactly.
-
-Texts with equal sets are one class and travel once.  Every text's fingerprint is of its whole
-set: word pairs that many texts have stay in, as a large family of edited copies has no others
-to meet by.  Anchors met by more than ``LONG_RUN`` classes are compared in square blocks spread
-over tasks, with a longer sketch as a first sieve.
+(Jaccard).  The anchors are the words of a covering code: per block all words with three
+symbols given and one free.  Every block word lies within distance 1 (the covering radius) of
+exactly four anchors, and two block words at distance 1 or less share one.  By the pigeonhole
+principle fingerprints that differ in at most ``2 * blocks - 1`` of the ``4 * blocks`` symbols
+have a block at distance 1 or less, hence meet at an anchor; others meet with a probability
+that falls with their distance.  The number of blocks follows from the threshold, so that a
+pair right at it fails to meet with a probability of at most ``MISS`` (at 0.5: 20 blocks).
+
+Every fingerprint is replicated to its anchors and compared per anchor.  Pairs that meet pass
+a sieve (agreement of 64 short symbols, missed with at most ``MISS`` / 4 at the threshold),
+then their sets are compared exactly.  Texts with equal sets are one class and travel once.
+All word pairs count, however common.  Anchors met by more than ``LONG_RUN`` classes are
+compared in square blocks spread over tasks.
 
 Defined results
 ---------------
@@ -21,35 +22,69 @@ Defined results
   null ids and texts of fewer than two words are in no pair.
 * A repeated id is one record; if its rows differ in content, each content counts.
 * ``id_a < id_b``; each pair once.  Between two classes (and within one) all pairs of ids come
-  out while their number is at most ``MOST_COPIES``; larger ones link every id with its
-  class's smallest id and the smallest ids with each other.
-* Extra columns are ignored; an empty table gives no pairs.
+  out while their number is at most ``MOST_COPIES``, or always with ``all_pairs``.  Beyond,
+  every id is linked with its class's smallest id and the smallest ids with each other, which
+  names the same classes and links; ``Found`` has them as classes and members.
+* Thresholds from 0.2 to 1 are allowed.  Extra columns are ignored; an empty table gives no pairs.
 """
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import materialize
+from ..storage import load, materialize, scope, store_counting
 from .textbatch import Joined, SliceHasher, blocks
 
-BLOCKS = 20  # miss 0.06 % of the pairs at overlap 0.5; ten would miss 2.4 %
-SYMBOLS = 4 * BLOCKS
-SKETCH = 64  # symbols of one byte for long runs
-SKETCH_LEAST = 16  # agreeing ones of them to stay a candidate (0.5 would give 32)
-COMMON, COMMON_LEAST = 0.01, 50
-MOST_CANDIDATES = 1_000_000  # word pairs counted through the driver; beyond, all are counted by group-by
+MISS = 6e-4  # chance that a pair right at the threshold does not meet
+SKETCH = 64  # symbols of the sieves
 LONG_RUN = 256
 SQUARE = 1024
-MOST_COPIES = 10_000
-_ODD = np.random.default_rng(7).integers(1, 2**63, (SYMBOLS + SKETCH, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PART_ANCHORS = 2_000_000  # anchors compared at once, about
+MOST_COPIES = 1_000_000
+FILTER_BITS = 1 << 26  # of the filter that goes to the scan, at most
+_ODD = np.random.default_rng(7).integers(1, 2**63, (2048, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@dataclass(frozen=True)
+class Code:
+    """What follows from a threshold."""
+
+    threshold: float
+    blocks: int
+    least_nibbles: int  # agreeing symbols of 4 bits, of SKETCH
+    least_bytes: int  # agreeing symbols of 8 bits, of SKETCH
+
+    @property
+    def symbols(self) -> int:
+        return 4 * self.blocks
+
+
+def code_for(threshold: float) -> Code:
+    if not 0.2 <= threshold <= 1:
+        raise ValueError(f"threshold {threshold} is outside 0.2 .. 1")
+    t = threshold
+    meets = 4 * t**3 * (1 - t) + t**4
+    n = max(SKETCH // 4, math.ceil(math.log(MISS) / math.log(1 - meets))) if meets < 1 else SKETCH // 4
+
+    def least(bits: int) -> int:
+        agree, below = t + (1 - t) / 2**bits, 0.0
+        for k in range(SKETCH + 1):
+            below += math.comb(SKETCH, k) * agree**k * (1 - agree) ** (SKETCH - k)
+            if below > MISS / 4:
+                return k
+        return SKETCH
+
+    return Code(threshold, n, least(4), least(8))
 
 
 @lru_cache(1)
@@ -83,27 +118,25 @@ def word_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pair[new], np.bincount(own[new], minlength=len(texts)).astype(np.int64)
 
 
-def _minima(pairs: np.ndarray, sizes: np.ndarray, which: range) -> np.ndarray:
-    """(texts, len(which)) smallest 32-bit values; texts without pairs must not be given."""
+def _minima(pairs: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """(texts, n) symbols: low halves of the smallest 32-bit values; texts without pairs must not be given."""
     begins = np.cumsum(sizes) - sizes
-    out = np.empty((len(sizes), len(which)), np.uint32)
-    for col, k in enumerate(which):
+    out = np.empty((len(sizes), n), np.uint16)
+    for k in range(n):
         a, b = _ODD[k]
-        out[:, col] = np.minimum.reduceat(_mix((pairs ^ b) * a) >> np.uint64(32), begins)
+        out[:, k] = np.minimum.reduceat(((pairs * a + b) >> np.uint64(32)).astype(np.uint32), begins) & np.uint32(0xFFFF)
     return out
 
 
 def _anchor_keys(symbols: np.ndarray) -> np.ndarray:
-    """(texts, SYMBOLS): the anchor of each block that leaves one of its symbols free."""
-    keys = np.empty((len(symbols), SYMBOLS), np.int64)
+    """(texts, symbols): the 48-bit anchor of each block that leaves one of its symbols free."""
+    n = symbols.shape[1]
+    keys = np.empty(symbols.shape, np.uint64)
     s = symbols.astype(np.uint64)
-    for b in range(BLOCKS):
-        for free in range(4):
-            h = np.full(len(s), np.uint64(b * 4 + free + 1))
-            for j in range(4):
-                if j != free:
-                    h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + s[:, b * 4 + j])
-            keys[:, b * 4 + free] = h.view(np.int64)
+    for at in range(n):
+        first = at - at % 4
+        a, b, c = (j for j in range(first, first + 4) if j != at)
+        keys[:, at] = _mix(((s[:, a] << np.uint64(32)) | (s[:, b] << np.uint64(16)) | s[:, c]) + np.uint64(at + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
     return keys
 
 
@@ -111,132 +144,166 @@ def _records(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def common_pairs(records: DataFrame) -> np.ndarray:
-    """Word pairs in more than ``COMMON`` of the records, counted exactly.
+def _set_keys(pairs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begins = np.cumsum(sizes) - sizes
+    sums = lambda x: np.add.reduceat(x, begins).view(np.int64)
+    return sums(_mix(pairs + np.uint64(1))), sums(_mix(pairs * np.uint64(3) + np.uint64(5)))
+
 
-    Such a pair is in that share of the records of at least one part of the data, so only
-    those (a bounded number a part) are counted over all.
-    """
-    spark = records.sparkSession
+def fingerprints(records: DataFrame, code: Code) -> DataFrame:
+    """(id, k1, k2, print, q0..q3): set key, fingerprint of the set, and its 64 symbols of 4 bits."""
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in blocks(batch.column("text")):
-                pairs, _ = word_pairs(batch.column("text").slice(lo, hi - lo))
-                value, count = np.unique(pairs, return_counts=True)
-                often = count > COMMON * (hi - lo)
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[value[often].view(np.int64), np.int64(0)]), pa.array(np.r_[count[often], hi - lo])], names=["pair", "n"])
-
-    # pair 0 counts the records; one row more than the bound tells that there are too many
-    maybe = records.select("text").mapInArrow(local, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.col("pair") != 0).limit(MOST_CANDIDATES + 2).toArrow()
-    pair, n = maybe["pair"].to_numpy(), maybe["n"].to_numpy()
-    total = int(n[pair == 0].sum())
-    candidates = pair[pair != 0]
-    if total <= COMMON_LEAST or not len(candidates):
-        return np.empty(0, np.uint64)
-    if len(candidates) > MOST_CANDIDATES:  # parts differ too much: count every pair, summed up part by part
-        return _counted_everywhere(records, total)
-    shared = spark.sparkContext.broadcast(np.sort(candidates.view(np.uint64)))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        count = np.zeros(len(known), np.int64)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in blocks(batch.column("text")):
-                pairs, _ = word_pairs(batch.column("text").slice(lo, hi - lo))
-                at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
-                count += np.bincount(at[known[at] == pairs], minlength=len(known))
-        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(count)], names=["pair", "n"])
+                pairs, sizes = word_pairs(batch.column("text").slice(lo, hi - lo))
+                have = np.flatnonzero(sizes)
+                if not len(have):
+                    continue
+                k1, k2 = _set_keys(pairs, sizes[have])
+                symbols = _minima(pairs, sizes[have], code.symbols)
+                nibbles = (symbols[:, :SKETCH] & np.uint16(15)).astype(np.uint8)
+                quads = np.ascontiguousarray(nibbles[:, 0::2] | (nibbles[:, 1::2] << 4)).view(np.int64)
+                size = symbols.shape[1] * 2
+                prints = pa.Array.from_buffers(pa.binary(size), len(have), [None, pa.py_buffer(np.ascontiguousarray(symbols))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(lo, hi - lo).take(pa.array(have)), pa.array(k1), pa.array(k2), prints, *(pa.array(quads[:, i]) for i in range(4))],
+                    names=["id", "k1", "k2", "print", "q0", "q1", "q2", "q3"],
+                )
 
-    counted = records.select("text").mapInArrow(exact, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > max(COMMON_LEAST, COMMON * total))
-    return np.sort(np.array(counted.toArrow()["pair"].to_numpy(), np.int64).view(np.uint64))
+    return records.mapInArrow(work, "id string, k1 bigint, k2 bigint, print binary, q0 bigint, q1 bigint, q2 bigint, q3 bigint")
 
 
-def _counted_everywhere(records: DataFrame, total: int) -> np.ndarray:
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in blocks(batch.column("text")):
-                value, count = np.unique(word_pairs(batch.column("text").slice(lo, hi - lo))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count)], names=["pair", "n"])
+def _symbols(prints: pa.Array, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(prints.to_pylist()), np.uint16).reshape(len(prints), n)
 
-    often = records.select("text").mapInArrow(every, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > max(COMMON_LEAST, COMMON * total))
-    return np.sort(np.array(often.toArrow()["pair"].to_numpy(), np.int64).view(np.uint64))  # at most mean size / COMMON pairs
 
+# Anchors travel packed: a row holds those of one batch and one part of the anchors' range.
+ENTRIES, MARKS, MEMBERS = range(3)
 
-def fingerprints(records: DataFrame) -> DataFrame:
-    """(id, k1, k2, print): set key and fingerprint of the set."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in blocks(batch.column("text")):
-                pairs, sizes = word_pairs(batch.column("text").slice(lo, hi - lo))
-                have = np.flatnonzero(sizes)
-                if not len(have):
-                    continue
-                sizes = sizes[have]
-                begins = np.cumsum(sizes) - sizes
-                k1, k2 = np.add.reduceat(_mix(pairs + np.uint64(1)), begins), np.add.reduceat(_mix(pairs * np.uint64(3) + np.uint64(5)), begins)
-                symbols = _minima(pairs, sizes, range(SYMBOLS))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo).take(pa.array(have)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array([r.tobytes() for r in symbols], pa.binary())], names=["id", "k1", "k2", "print"])
+def _pack(kind: int, anchors: np.ndarray, cids: np.ndarray) -> bytes:
+    """Sorted anchors as differences and classes as distances from the least, each in the fewest bytes."""
+    base, first = int(cids.min()), int(anchors[0])
+    gaps, places = np.diff(anchors), cids - base
+    narrow = lambda x, kinds: next(i for i, k in enumerate(kinds) if not len(x) or int(x.max()) <= np.iinfo(k).max)
+    g, p = narrow(gaps, _WIDTHS), narrow(places, _WIDTHS)
+    return struct.pack("<BBBqq", kind, g, p, base, first) + gaps.astype(_WIDTHS[g]).tobytes() + places.astype(_WIDTHS[p]).tobytes()
+
+
+_WIDTHS = (np.uint16, np.uint32, np.uint64)
+
+
+def _unpack(blob: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    kind, g, p, base, first = struct.unpack_from("<BBBqq", blob)
+    wide, head = np.dtype(_WIDTHS[g]).itemsize, struct.calcsize("<BBBqq")
+    n = (len(blob) - head + wide) // (wide + np.dtype(_WIDTHS[p]).itemsize)
+    gaps = np.frombuffer(blob, _WIDTHS[g], n - 1, head).astype(np.uint64)
+    places = np.frombuffer(blob, _WIDTHS[p], n, head + (n - 1) * wide)
+    return kind, np.cumsum(np.r_[np.uint64(first), gaps]), places.astype(np.int64) + base
+
+
+def _run_pairs(anchors: np.ndarray, cids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within runs of equal anchors."""
+    at, span = np.arange(len(anchors)), 1
+    out_a, out_b = [], []
+    while True:
+        at = at[at + span < len(anchors)]
+        at = at[anchors[at] == anchors[at + span]]
+        if not len(at):
+            break
+        out_a.append(cids[at])
+        out_b.append(cids[at + span])
+        span += 1
+    if not out_a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return np.minimum(a, b), np.maximum(a, b)
 
-    return records.mapInArrow(work, "id string, k1 bigint, k2 bigint, print binary")
 
+def _meet(classes: DataFrame, n_classes: int, code: Code) -> DataFrame:
+    """(a, b, anchor): pairs of classes at an anchor, or (a, null, anchor) for members of long runs.
 
-def _meet(classes: DataFrame) -> DataFrame:
-    """(a, b, anchor): pairs of classes at an anchor, or (a, null, anchor) for members of long runs."""
+    A batch sends each part of the anchors' range one packed row.  Members of an anchor that is
+    long within the batch alone do not go to its part but come out at once; the part gets a mark.
+    So a part holds at most ``LONG_RUN`` members of an anchor from each batch.
+    """
+    spark = classes.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffles, -(-n_classes * code.symbols // PART_ANCHORS))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cid = batch.column("cid").to_numpy()
-            symbols = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint32).reshape(len(cid), SYMBOLS)
-            yield pa.RecordBatch.from_arrays([pa.array(_anchor_keys(symbols).ravel()), pa.array(np.repeat(cid, SYMBOLS))], names=["anchor", "cid"])
+            symbols = _symbols(batch.column("print"), code.symbols)
+            cuts = np.flatnonzero(np.diff(cid >> 33)) + 1  # numbers of one writing task are near each other
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(cid)]):
+                if hi > lo:
+                    yield packed(symbols[lo:hi], cid[lo:hi])
+
+    def packed(symbols: np.ndarray, cid: np.ndarray) -> pa.RecordBatch:
+        keys = _anchor_keys(symbols).ravel()
+        order = np.argsort(keys, kind="stable")
+        keys, cids = keys[order], np.repeat(cid, code.symbols)[order]
+        begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        size = np.diff(np.r_[begins, len(keys)])
+        place = (keys >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)
+        to, blobs = [], []
+        long_ = size > LONG_RUN
+        if long_.any():
+            for b, n in zip(begins[long_], size[long_]):
+                to += [int(place[b]), int(cids[b]) % parts]
+                blobs += [_pack(MARKS, keys[b : b + 1], cids[b : b + 1]), _pack(MEMBERS, keys[b : b + n], cids[b : b + n])]
+            fine = ~np.repeat(long_, size)
+            keys, cids, place = keys[fine], cids[fine], place[fine]
+        cuts = np.flatnonzero(place[1:] != place[:-1]) + 1
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
+            if hi > lo:
+                to.append(int(place[lo]))
+                blobs.append(_pack(ENTRIES, keys[lo:hi], cids[lo:hi]))
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of equal anchors, sorted; a run that goes on in the next batch waits, at most LONG_RUN of it."""
-        wait_key, wait, long_ = None, np.empty(0, np.int64), False
+        at, entries, marks = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not entries:
+                return
+            keys, cids = (np.concatenate(x) for x in zip(*entries))
+            order = np.argsort(keys, kind="stable")
+            keys, cids = keys[order], cids[order]
+            begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            size = np.diff(np.r_[begins, len(keys)])
+            long_ = size > LONG_RUN
+            if marks:
+                long_ |= np.isin(keys[begins], np.concatenate(marks))
+            several = np.repeat((size > 1) & ~long_, size)
+            a, b = _run_pairs(keys[several], cids[several])
+            if len(a):
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+                yield _pairs(a[new], b[new], np.zeros(int(new.sum()), np.int64))
+            if long_.any():
+                hot = np.repeat(long_, size)
+                yield _pairs(cids[hot], None, keys[hot].view(np.int64))
+
         for batch in batches:
-            key, cid = batch.column("anchor").to_numpy(), batch.column("cid").to_numpy()
-            if not len(key):
-                continue
-            key = np.r_[np.full(len(wait), wait_key if wait_key is not None else 0, np.int64), key]
-            cid = np.r_[wait, cid]
-            begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[begins, len(key)])
-            was_long = long_ and key[0] == wait_key
-            last = begins[-1]
-            out_a, out_b, out_k = [], [], []
-            for span in range(1, min(LONG_RUN, int(size.max()))):  # members `span` apart in their run
-                i = np.arange(len(key) - span)
-                ok = key[i] == key[i + span]
-                ok &= i < last
-                if not ok.any():
-                    break
-                out_a.append(cid[i[ok]])
-                out_b.append(cid[i[ok] + span])
-                out_k.append(key[i[ok]])
-            big = np.flatnonzero(size > LONG_RUN)
-            drop = set(key[begins[big]].tolist()) | ({int(wait_key)} if was_long else set())
-            a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
-            b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
-            k = np.concatenate(out_k) if out_k else np.empty(0, np.int64)
-            if drop:
-                fine = ~np.isin(k, np.array(list(drop)))
-                a, b, k = a[fine], b[fine], k[fine]
-            yield _pairs(a, b, k)
-            for start, n in zip(begins, size):
-                tail = start == last
-                if n > LONG_RUN or (was_long and start == 0):
-                    yield _pairs(cid[start : start + n], None, key[start : start + n])
-                    if tail:
-                        wait_key, wait, long_ = key[start], np.empty(0, np.int64), True
-                elif tail:
-                    wait_key, wait, long_ = key[start], cid[start:], False
-        if len(wait) > 1:
-            i, j = np.triu_indices(len(wait), 1)
-            yield _pairs(wait[i], wait[j], np.full(len(i), wait_key, np.int64))
-
-    spread = classes.select("cid", "print").mapInArrow(replicate, "anchor bigint, cid bigint")
-    return spread.repartition("anchor").sortWithinPartitions("anchor", "cid").mapInArrow(compare, "a bigint, b bigint, anchor bigint")
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
+                if part != at:
+                    yield from close()
+                    at, entries, marks = part, [], []
+                kind, keys, cids = _unpack(blob)
+                if kind == ENTRIES:
+                    entries.append((keys, cids))
+                elif kind == MARKS:
+                    marks.append(keys)
+                else:
+                    yield _pairs(cids, None, keys.view(np.int64))
+        yield from close()
+
+    spread = classes.select("cid", "print").mapInArrow(replicate, "part bigint, blob binary")
+    return spread.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(compare, "a bigint, b bigint, anchor bigint")
 
 
 def _pairs(a: np.ndarray, b: np.ndarray | None, anchor: np.ndarray) -> pa.RecordBatch:
@@ -244,24 +311,13 @@ def _pairs(a: np.ndarray, b: np.ndarray | None, anchor: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), second, pa.array(anchor, pa.int64())], names=["a", "b", "anchor"])
 
 
-def _long_runs(members: DataFrame, contents: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) among the classes of long runs, compared in squares of SQUARE classes."""
+def _long_runs(members: DataFrame, classes: DataFrame, code: Code) -> DataFrame:
+    """Candidate pairs (a, b) among the members (anchor, a) of long runs, compared in squares of SQUARE classes."""
     runs = members.groupBy("anchor").agg((F.floor((F.count("*") - 1) / SQUARE) + 1).cast("int").alias("parts"))
     placed = members.join(runs, "anchor").withColumn("own", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     to = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     tasks = placed.select("anchor", "a", "own", to).select("anchor", "a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in blocks(batch.column("text")):
-                pairs, sizes = word_pairs(batch.column("text").slice(lo, hi - lo))
-                have = np.flatnonzero(sizes)
-                if len(have):
-                    rows = (_minima(pairs, sizes[have], range(SYMBOLS, SYMBOLS + SKETCH)) & 255).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([batch.column("cid").slice(lo, hi - lo).take(pa.array(have)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["cid", "sketch"])
-
-    sketches = contents.mapInArrow(sketch, "cid bigint, sketch binary")
-    rows = tasks.join(sketches, tasks["a"] == sketches["cid"]).select("anchor", "i", "j", "own", "a", "sketch")
+    rows = tasks.join(classes.select("cid", "print"), F.col("a") == F.col("cid")).select("anchor", "i", "j", "own", "a", "print")
 
     def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -269,14 +325,13 @@ def _long_runs(members: DataFrame, contents: DataFrame) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             t = pa.concat_tables(held)
             own, cid = t["own"].to_numpy(), t["a"].to_numpy()
-            s = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(cid), SKETCH)
-            left, right = (own == at[1]), (own == at[2])
-            li, ri = np.flatnonzero(left), np.flatnonzero(right)
+            s = (_symbols(t["print"].combine_chunks(), code.symbols)[:, :SKETCH] & np.uint16(255)).astype(np.uint8)
+            li, ri = np.flatnonzero(own == at[1]), np.flatnonzero(own == at[2])
             for lo in range(0, len(li), 128):
                 agree = np.zeros((len(li[lo : lo + 128]), len(ri)), np.uint8)
                 for c in range(SKETCH):
                     agree += s[li[lo : lo + 128], c][:, None] == s[ri, c][None, :]
-                x, y = np.nonzero(agree >= SKETCH_LEAST)
+                x, y = np.nonzero(agree >= code.least_bytes)
                 a, b = cid[li[lo + x]], cid[ri[y]]
                 fine = a < b if at[1] == at[2] else a != b
                 yield _pairs(np.minimum(a, b)[fine], np.maximum(a, b)[fine], np.full(int(fine.sum()), at[0], np.int64))
@@ -298,76 +353,123 @@ def _long_runs(members: DataFrame, contents: DataFrame) -> DataFrame:
     return rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(squares, "a bigint, b bigint, anchor bigint").select("a", "b")
 
 
+def _alike(code: Code) -> Column:
+    """Whether at least ``least_nibbles`` of the 64 symbols of 4 bits in q0..q3 and r0..r3 agree."""
+    differ = F.lit(0)
+    for i in range(4):
+        x = F.col(f"q{i}").bitwiseXOR(F.col(f"r{i}"))
+        low = x
+        for k in (1, 2, 3):
+            low = low.bitwiseOR(F.shiftrightunsigned(x, k))
+        differ = differ + F.bit_count(low.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= SKETCH - code.least_nibbles
+
+
+def _sets(records: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """(cid, pairs) of the ``wanted`` classes (cid, rep, c1, c2): the sets of their smallest ids' texts.
+
+    A bit filter of the wanted ids, of bounded size, goes to the scan, so few texts are cut into
+    words and only sets travel; a full filter lets more through and changes nothing else.
+    """
+    spark = records.sparkSession
+    bits = min(FILTER_BITS, 1 << max(10, (16 * n_wanted).bit_length()))
+    marked = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("bit"))
+
+    def collect_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            np.bitwise_or.at(own, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        word = np.flatnonzero(own.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(own.view(np.int64)[word])], names=["at", "word"])
+
+    words = marked.mapInArrow(collect_bits, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()  # at most FILTER_BITS / 64 rows
+    field = np.zeros(bits // 64, np.int64)
+    field[words["at"].to_numpy()] = words["word"].to_numpy()
+    shared = spark.sparkContext.broadcast(field.view(np.uint8))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((known[bit >> 3] >> (bit & 7)) & 1 == 1))
+            for lo, hi in blocks(batch.column("text")):
+                own, sizes = word_pairs(batch.column("text").slice(lo, hi - lo))
+                have = np.flatnonzero(sizes)
+                if not len(have):
+                    continue
+                k1, k2 = _set_keys(own, sizes[have])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes[have])].astype(np.int32)), pa.array(own.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo).take(pa.array(have)), pa.array(k1), pa.array(k2), lists], names=["id", "k1", "k2", "pairs"])
+
+    rows = records.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(bits))).mapInArrow(work, "id string, k1 bigint, k2 bigint, pairs array<bigint>")
+    # an id may come with other contents
+    same = (F.col("id") == F.col("rep")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
+    return rows.join(wanted, same).select("cid", "pairs").dropDuplicates(["cid"])
+
+
 class Found:
-    """``members``: id, cid; ``links``: a, b (classes of overlap at least the threshold)."""
+    """``members``: id, cid of the classes with several rows or a link; ``links``: a, b (classes of overlap at least the threshold)."""
 
     def __init__(self, members: DataFrame, links: DataFrame) -> None:
         self.members, self.links = members, links
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "id", text_col: str = "content", threshold: float = 0.5) -> Found:
+    spark, code = rows.sparkSession, code_for(threshold)
     records = _records(rows, id_col, text_col)
-    prints = materialize(fingerprints(records), "prints")
-    classes = prints.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("print").alias("print"))
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    members = prints.select("id", "k1", "k2").distinct().join(classes.select("k1", "k2", "cid"), ["k1", "k2"]).select("id", "cid", "k1", "k2")
-    met = materialize(_meet(classes), "met")
-    pairs = met.where("b IS NOT NULL").select("a", "b")
-
-    def contents(cids: DataFrame) -> DataFrame:
-        """(cid, text): the smallest id's text of each class."""
-        reps = classes.join(cids, "cid", "left_semi").select("cid", "rep", F.col("k1").alias("c1"), F.col("k2").alias("c2"))
-        return records.join(reps, F.col("id") == F.col("rep")).select("cid", "text", "c1", "c2")
-
-    long_ = met.where("b IS NULL")
-    if long_.limit(1).count():
-        pairs = pairs.unionByName(_long_runs(long_.select("anchor", "a"), contents(long_.select(F.col("a").alias("cid")).distinct()).select("cid", "text")))
-    pairs = materialize(pairs.distinct(), "candidates")
-    involved = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in blocks(batch.column("text")):
-                own, sizes = word_pairs(batch.column("text").slice(lo, hi - lo))
-                begins = np.cumsum(sizes) - sizes
-                k1 = np.add.reduceat(np.r_[_mix(own + np.uint64(1)), np.uint64(0)], begins).view(np.int64) if len(sizes) else np.empty(0, np.int64)
-                part = batch.slice(lo, hi - lo)
-                fine = pa.array((k1 == part.column("c1").to_numpy()) & (sizes > 0))  # an id may come with other contents
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(own.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("cid").filter(fine), lists.filter(fine)], names=["cid", "pairs"])
-
-    grams = materialize(contents(involved).mapInArrow(sets, "cid bigint, pairs array<bigint>").dropDuplicates(["cid"]), "sets")
-    left = grams.select(F.col("cid").alias("a"), F.col("pairs").alias("pa"))
-    right = grams.select(F.col("cid").alias("b"), F.col("pairs").alias("pb"))
-    shared = F.size(F.array_intersect("pa", "pb"))
-    checked = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("s"), (F.size("pa") + F.size("pb") - shared).alias("u"))
-    return Found(members.select("id", "cid"), checked.where(F.col("s") >= threshold * F.col("u")).select("a", "b"))
-
-
-def pairs_of_ids(found: Found) -> DataFrame:
+    with scope(spark) as keep:
+        prints = materialize(fingerprints(records, code), "prints")
+        one = prints.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("print", "q0", "q1", "q2", "q3")])
+        one = one.withColumn("cid", F.monotonically_increasing_id())
+        path, n = store_counting(one, "classes", all="true")
+        classes = load(spark, path, one)
+        met_rows = _meet(classes, n["all"], code)
+        path, n = store_counting(met_rows, "met", long="b IS NULL")
+        met = load(spark, path, met_rows)
+        pairs = met.where("b IS NOT NULL").select("a", "b")
+        if n["long"]:
+            pairs = pairs.unionByName(_long_runs(met.where("b IS NULL").select("anchor", "a"), classes, code))
+        quads = lambda c, p: classes.select(F.col("cid").alias(c), *[F.col(f"q{i}").alias(f"{p}{i}") for i in range(4)])
+        pairs = materialize(pairs.distinct().join(quads("a", "q"), "a").join(quads("b", "r"), "b").where(_alike(code)).select("a", "b"), "candidates")
+        involved = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        wanted_rows = classes.join(involved, "cid", "left_semi").select("cid", "rep", F.col("k1").alias("c1"), F.col("k2").alias("c2"))
+        path, n = store_counting(wanted_rows, "wanted", all="true")
+        grams = materialize(_sets(records, load(spark, path, wanted_rows), n["all"]), "sets")
+        left = grams.select(F.col("cid").alias("a"), F.col("pairs").alias("pa"))
+        right = grams.select(F.col("cid").alias("b"), F.col("pairs").alias("pb"))
+        shared = F.size(F.array_intersect("pa", "pb"))
+        checked = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("s"), (F.size("pa") + F.size("pb") - shared).alias("u"))
+        links = keep(checked.where(F.col("s") >= threshold * F.col("u")).select("a", "b"), "links")
+        linked = links.select(F.explode(F.array("a", "b")).alias("cid")).distinct().withColumn("linked", F.lit(True))
+        told = classes.select("cid", "n", "k1", "k2").join(linked, "cid", "left").where("n > 1 OR linked").select("cid", "k1", "k2")
+        members = keep(prints.select("id", "k1", "k2").join(told, ["k1", "k2"]).select("id", "cid").distinct(), "members")
+    return Found(members, links)
+
+
+def pairs_of_ids(found: Found, all_pairs: bool = False) -> DataFrame:
     """(id_a, id_b)."""
-    members = materialize(found.members, "members")
-    size = members.groupBy("cid").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
-    links = found.links.select("a", "b")
+    members, links = found.members, found.links
+    size = materialize(members.groupBy("cid").agg(F.count("*").alias("n"), F.min("id").alias("rep")), "sizes")
     inside = size.where("n > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
     sides = lambda c, p: size.select(F.col("cid").alias(c), F.col("n").alias(f"n{p}"), F.col("rep").alias(f"r{p}"))
-    all_ = materialize(links.unionByName(inside).join(sides("a", "a"), "a").join(sides("b", "b"), "b"), "class_links")
-    small = all_.where(F.col("na") * F.col("nb") <= MOST_COPIES)
-    big = all_.where(F.col("na") * F.col("nb") > MOST_COPIES)
+    all_ = materialize(links.select("a", "b").unionByName(inside).join(sides("a", "a"), "a").join(sides("b", "b"), "b"), "class_links")
+    few = F.lit(True) if all_pairs else F.col("na") * F.col("nb") <= MOST_COPIES
+    small, big = all_.where(few), all_.where(~few)
     full = small.join(members.select(F.col("cid").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("cid").alias("b"), F.col("id").alias("y")), "b")
     full = full.where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).select("x", "y")
-    star = members.join(size.where(F.col("n") * F.col("n") > MOST_COPIES), "cid").select(F.col("id").alias("x"), F.col("rep").alias("y"))
+    ordered = lambda rows: rows.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    if all_pairs or not big.limit(1).count():
+        return ordered(full.where("x <> y")).distinct()
     reps = big.where("a <> b").select(F.col("ra").alias("x"), F.col("rb").alias("y"))
-    # small classes linked with a large one: their members hang on their smallest id
-    hang = members.join(big.where("a <> b").select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").join(size, "cid").select(F.col("id").alias("x"), F.col("rep").alias("y"))
-    every = full.unionByName(star).unionByName(reps).unionByName(hang).where("x <> y")
-    return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    # the members of large classes, and of those linked with one, hang on their smallest id
+    hang = members.join(big.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").join(size, "cid").select(F.col("id").alias("x"), F.col("rep").alias("y"))
+    return ordered(full.unionByName(reps).unionByName(hang).where("x <> y")).distinct()
 
 
 def groups(found: Found) -> DataFrame:
     """(id, group_id, n_links): every record with a copy or near copy; the group is named by its smallest id, n_links counts linked classes."""
-    members = materialize(found.members, "members")
-    links = materialize(found.links, "links")
+    members, links = found.members, found.links
     parts = connected_components(links).withColumnRenamed("node", "cid")
     degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
     copies = members.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select("cid")
@@ -375,3 +477,11 @@ def groups(found: Found) -> DataFrame:
     named = named.select("id", F.coalesce("component", "cid").alias("part"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     names = named.groupBy("part").agg(F.min("id").alias("group_id"))
     return named.join(names, "part").select("id", "group_id", "n_links")
+
+
+def classes_and_links(found: Found) -> DataFrame:
+    """(id, class_id, linked_class): each record with its class of equal sets (named by its smallest id) and every class linked to that one; null without links."""
+    names = found.members.groupBy("cid").agg(F.min("id").alias("class_id"))
+    both = found.links.select("a", "b").unionByName(found.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ties = both.join(names.select(F.col("cid").alias("b"), F.col("class_id").alias("linked_class")), "b").select(F.col("a").alias("cid"), "linked_class")
+    return found.members.join(names, "cid").join(ties, "cid", "left").select("id", "class_id", "linked_class").where("id <> class_id OR linked_class IS NOT NULL")

@@ -37,6 +37,11 @@ def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(neardup.near_duplicates(table(spark, sf, "paragraphs")))
 
 
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of equal sets with their members and the links between classes."""
+    return neardup.classes_and_links(neardup.near_duplicates(table(spark, sf, "paragraphs")))
+
+
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
     return consensus.person_labels(table(spark, sf, "assessments"), table(spark, sf, "assessment_metadata"))
 
@@ -69,7 +74,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranking, p3_found, p3_top_items, p4_found, p4_groups, p6_found, p6_items, p6_annotators, p6_alpha, p7_ids, p8_packing, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranking, p3_found, p3_top_items, p4_found, p4_groups, p4_classes, p6_found, p6_items, p6_annotators, p6_alpha, p7_ids, p8_packing, p9_found)}
 
 _LISTS = """
 lists AS (
@@ -112,6 +117,14 @@ totals AS (SELECT query_id, entry_item, sum({_normal_quantile_sql("p")}) AS tota
 per_query AS (SELECT query_id, count(DISTINCT method) AS n_methods FROM lists GROUP BY ALL)
 """
 
+# each id of the test tables has one content
+_LIKE = r"""
+w AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM paragraphs WHERE id IS NOT NULL AND content IS NOT NULL),
+m AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1)),
+sets AS (SELECT id, list_sort(list(g)) AS s FROM m GROUP BY id),
+shared AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS k FROM m x JOIN m y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id),
+alike AS (SELECT id_a, id_b FROM shared JOIN sets a ON a.id = id_a JOIN sets b ON b.id = id_b WHERE 2 * k >= len(a.s) + len(b.s) - k)"""
+
 SQL: dict[str, str] = {
     "p2_found": f"""WITH {_FUSED}, heads AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, entry_item) AS rn, count(*) OVER (PARTITION BY query_id) AS n_items FROM totals)
         SELECT h.query_id, h.entry_item FROM heads h JOIN per_query q ON h.query_id IS NOT DISTINCT FROM q.query_id WHERE rn = 1 AND n_items >= 5 AND n_methods >= 3""",
@@ -119,6 +132,11 @@ SQL: dict[str, str] = {
         SELECT query_id, entry_item, score, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM means""",
     "p3_found": f"WITH {_LISTS} SELECT query_id, method, entry_item FROM ranked WHERE rank <= 5",
     "p3_top_items": f"WITH {_LISTS} SELECT query_id, method, entry_item, entry_score + 0.0 AS entry_score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5",
+    "p4_found": f"WITH {_LIKE} SELECT id_a, id_b FROM alike",
+    "p4_groups": f"""WITH RECURSIVE {_LIKE}, ends AS (SELECT id_a AS x, id_b AS y FROM alike UNION SELECT id_b, id_a FROM alike),
+        reach AS (SELECT x, y FROM ends UNION SELECT r.x, e.y FROM reach r JOIN ends e ON e.x = r.y),
+        n AS (SELECT k.id, count(DISTINCT o.s) AS n_links FROM sets k JOIN alike p ON k.id IN (p.id_a, p.id_b) JOIN sets o ON o.id IN (p.id_a, p.id_b) AND o.id <> k.id AND o.s <> k.s GROUP BY ALL)
+        SELECT x AS id, least(x, min(y)) AS group_id, coalesce(any_value(n_links), 0) AS n_links FROM reach LEFT JOIN n ON n.id = x GROUP BY x""",
     "p6_alpha": f"""WITH {_LABELS},
         items AS (SELECT count(*) AS n, sum(relevance) AS s, sum(relevance * relevance) AS ss FROM labels GROUP BY query_id, paragraph_id HAVING count(*) > 1),
         t AS (SELECT count(*) AS n_items, sum(n) AS n_labels, sum(s) AS s, sum(ss) AS ss, sum(2.0 * (n * ss - s * s) / (n - 1)) AS d FROM items)

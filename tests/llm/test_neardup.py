@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import rows
 
@@ -57,18 +58,6 @@ def test_edited_copies(spark):
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 50
 
 
-@pytest.mark.parametrize("most", [1_000_000, 3])
-def test_common_pairs_are_counted_exactly(spark, monkeypatch, most):
-    monkeypatch.setattr(neardup, "MOST_CANDIDATES", most)
-    monkeypatch.setattr(neardup, "COMMON_LEAST", 2)
-    data = [(f"r{i}", f"u{i} v{i} common pair {'often seen' if i % 10 == 0 else ''}") for i in range(400)]
-    records = neardup._records(spark.createDataFrame(data, "id string, content string").repartition(3), "id", "content")
-    import pyarrow as pa
-
-    want = {int(x) for x in neardup.word_pairs(pa.array(["common pair often seen"]))[0]}
-    assert {int(x) for x in neardup.common_pairs(records)} == want
-
-
 def test_long_runs_are_compared_in_squares(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LONG_RUN", 8)
     monkeypatch.setattr(neardup, "SQUARE", 16)
@@ -109,12 +98,62 @@ def test_odd_rows(spark):
     assert rows(neardup.groups(f)) == [("a", "a", 1), ("b", "a", 1), ("f", "f", 0), ("g", "f", 0), ("h", "a", 1)]
 
 
-def test_many_copies_are_linked_without_all_pairs(spark, monkeypatch):
+def test_many_copies(spark, monkeypatch):
+    data = [(f"c{i}", "x y z") for i in range(5)] + [("d", "x y z z"), ("e", "p q"), ("e2", "p q")]
+    f = found(spark, data)
+    assert set(rows(neardup.pairs_of_ids(f))) == brute(data)
     monkeypatch.setattr(neardup, "MOST_COPIES", 9)
-    data = [(f"c{i}", "x y z") for i in range(5)] + [("d", "x y z z")]
-    got = set(rows(neardup.pairs_of_ids(found(spark, data))))
-    assert {("c0", f"c{i}") for i in range(1, 5)} <= got and len(got) < len(brute(data))
-    assert {r["group_id"] for r in neardup.groups(found(spark, data)).collect()} == {"c0"}
+    assert set(rows(neardup.pairs_of_ids(f, all_pairs=True))) == brute(data)
+    got = set(rows(neardup.pairs_of_ids(f)))
+    assert {("c0", f"c{i}") for i in range(1, 5)} <= got and ("c0", "d") in got and ("e", "e2") in got and len(got) < len(brute(data))
+    assert {r["group_id"] for r in neardup.groups(f).collect()} == {"c0", "e"}
+    want = [(f"c{i}", "c0", "d") for i in range(5)] + [("d", "d", "c0"), ("e2", "e", None)]
+    assert rows(neardup.classes_and_links(f)) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.2])
+def test_boilerplate_groups(spark, share):
+    """Texts of a 30-word boilerplate and 8 words of their own among others, above any share of all texts."""
+    rng = random.Random(13)
+    n = 2400
+    stock = [f"s{i}" for i in range(30)]
+    family = [(f"b{i:04d}", " ".join(stock + [rng.choice(WORDS) for _ in range(8)])) for i in range(max(60, int(share * n)))]
+    rest = [(f"r{i:04d}", " ".join(f"u{i}x{k}" for k in range(25))) for i in range(n - len(family))]
+    want = brute(family)
+    got = set(rows(neardup.pairs_of_ids(found(spark, family + rest))))
+    assert got <= want and len(got) >= 0.995 * len(want) and len(want) == len(family) * (len(family) - 1) // 2
+
+
+@pytest.mark.parametrize("threshold", [0.35, 0.5, 0.8])
+def test_recall_in_every_band_of_overlap(spark, threshold):
+    """Pairs that share 20 to 40 of their word pairs, by band; the code follows from the threshold."""
+    data, bands = [], {}
+    for i in range(700):
+        own = i % 21
+        words = [f"t{i}x{k}" for k in range(41 + own)]
+        data += [(f"{i:03d}a", " ".join(words[:41])), (f"{i:03d}b", " ".join(words[own:]))]
+        overlap = (40 - own) / (40 + own)
+        if overlap >= threshold:
+            bands.setdefault(int(overlap * 10), set()).add((f"{i:03d}a", f"{i:03d}b"))
+    f = neardup.near_duplicates(spark.createDataFrame(data, "id string, content string"), threshold=threshold)
+    got = set(rows(neardup.pairs_of_ids(f)))
+    assert got <= set().union(*bands.values())
+    for band in bands.values():
+        assert len(got & band) >= 0.97 * len(band)
+
+
+def test_thresholds_out_of_range_are_refused(spark):
+    with pytest.raises(ValueError):
+        found_at = spark.createDataFrame([("a", "x y")], "id string, content string")
+        neardup.near_duplicates(found_at, threshold=0.1)
+
+
+def test_packed_anchors_come_back():
+    rng = np.random.default_rng(1)
+    for wide in (10, 1 << 20, 1 << 40):
+        keys, cids = np.sort(rng.integers(0, 1 << 48, 500).astype(np.uint64)), rng.integers(0, wide, 500)
+        kind, k, c = neardup._unpack(neardup._pack(neardup.ENTRIES, keys, cids))
+        assert kind == neardup.ENTRIES and (k == keys).all() and (c == cids).all()
 
 
 @pytest.mark.parametrize("data", [[], [("a", "x y")]])
