@@ -12,9 +12,17 @@ from pyspark.sql import types as T
 STOPWORDS = "a an and are as at be by for from has in is it its of on or that the to was were with".split()
 
 
-def tokens(text: Column, pattern: str = "[a-z]+") -> Column:
-    """Lower-cased words; null gives an empty array."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})")), F.array().cast("array<string>"))
+WORD = r"[\p{L}\p{M}\p{N}]+"  # runs of letters, their marks, and digits of any script
+
+
+def tokens(text: Column, pattern: str = WORD) -> Column:
+    """Lower-cased words of any script; both small sigmas are one letter. Null gives an empty array."""
+    return F.coalesce(F.regexp_extract_all(F.translate(F.lower(text), "ς", "σ"), F.lit(f"({pattern})")), F.array().cast("array<string>"))
+
+
+def tokens_sql(text: str) -> str:
+    """The same in the SQL of the comparison."""
+    return f"regexp_extract_all(translate(lower({text}), 'ς', 'σ'), '{WORD}')"
 
 
 def content_tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:

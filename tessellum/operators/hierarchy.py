@@ -94,8 +94,9 @@ def resolve(nodes: DataFrame, paths: bool = True) -> Hierarchy:
         written.append(path)
         frontier, waiting = _split(load(spark, path, start))
         level, met_last = level + 1, n["met"] > 0
-    while n["waiting"] and met_last:  # deeper than LEVELS: each round reaches a band as deep as all before it
-        up = spark.read.schema(start.schema).parquet(*written).where("done").unionByName(waiting)
+    while n["waiting"] and met_last:  # deeper than LEVELS: each round reaches a band as deep as all bands before it
+        # what waiting nodes point at is never above the last level
+        up = spark.read.schema(start.schema).parquet(*written[level:]).where("done").unionByName(waiting)
         up = up.select([F.col(c).alias(f"u_{c}") for c in up.columns])
         moved = waiting.join(up, F.col("top") == F.col("u_id")).select(
             "id",

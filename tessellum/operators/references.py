@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import load, materialize, store_counting
+
 RANGE_KEYS = 500_000  # parents of one range at most, about
 SALT_ROWS = 400_000  # references of one task at most, about
 SAMPLE_PER_RANGE = 60
@@ -47,11 +49,23 @@ def _key(col: Column, text: bool) -> Column:
 
 
 def _as_array(col: pa.Array | pa.ChunkedArray, text: bool) -> np.ndarray:
+    """Keys as a NumPy array: integers, or byte strings of fixed width straight from Arrow's buffers."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if not text:
         return col.to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.array(col.to_pylist(), dtype=f"S{KEY_BYTES + 1}") if len(col) else np.empty(0, f"S{KEY_BYTES + 1}")
+    width, n = KEY_BYTES + 1, len(col)
+    if not n:
+        return np.empty(0, f"S{width}")
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
+    flat = np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[-1]]
+    size = np.diff(at)
+    out = np.zeros((n, width), np.uint8)
+    if (size == size[0]).all():
+        out[:, : size[0]] = flat.reshape(n, size[0])
+    else:
+        out.ravel()[np.repeat(np.arange(n) * width - (at[:-1] - at[0]), size) + np.arange(len(flat))] = flat
+    return out.view(f"S{width}").ravel()
 
 
 def _micros(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +88,8 @@ def reference_rows(rows: DataFrame, table: str, field: str, id_col: str, text: b
 def find_orphans(references: DataFrame, parents: DataFrame, text: bool) -> DataFrame:
     """Misses of ``references`` (see ``reference_rows``) among ``parents`` (see ``parent_keys``)."""
     spark = references.sparkSession
-    n_parents = parents.count()
+    path, n = store_counting(parents, "parents", all="true")
+    parents, n_parents = load(spark, path, parents), n["all"]
     n_ranges = max(1, -(-n_parents // RANGE_KEYS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_parents // 1000))
     share = min(1.0, n_ranges * SAMPLE_PER_RANGE / max(1, n_parents))
     sample = parents.select("key") if share == 1.0 else parents.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key")
@@ -82,25 +97,24 @@ def find_orphans(references: DataFrame, parents: DataFrame, text: bool) -> DataF
     bounds = keys[(np.arange(1, n_ranges) * len(keys)) // n_ranges] if len(keys) else keys
     shared = spark.sparkContext.broadcast(bounds)  # one key a range
 
-    @F.pandas_udf(T.IntegerType())
-    def range_of(key):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        b = shared.value
-        k = key.to_numpy() if not text else np.array(key.tolist(), dtype=b.dtype)
-        return pd.Series(np.searchsorted(b, k, side="right").astype(np.int32))
-
-    refs = references.withColumn("rng", range_of("key"))
-    counts = {r["rng"]: r["n"] for r in refs.groupBy("rng").agg(F.count("*").alias("n")).collect()}  # one row a range
-    salts = {r: -(-n // SALT_ROWS) for r, n in counts.items()}
-    hot = {r: s for r, s in salts.items() if s > 1}
-    n_salts = F.lit(1)
-    if hot:
-        n_salts = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for kv in hot.items() for x in kv]), F.col("rng")), F.lit(1))
-    refs = refs.select("rng", F.pmod(F.xxhash64("row_id"), n_salts).cast("int").alias("salt"), F.lit(1).alias("tag"), "key", F.col("at").alias("a"), F.lit(None).cast("bigint").alias("b"), "source", "row_id")
-    held = parents.withColumn("rng", range_of("key")).select("rng", F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("salt"), F.lit(0).alias("tag"), "key", F.col("first").alias("a"), F.col("gone").alias("b"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("row_id"))
+    @F.arrow_udf(T.IntegerType())
+    def range_of(key: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(shared.value, _as_array(key, text), side="right").astype(np.int32))
+
+    references = materialize(references.withColumn("rng", range_of("key")), "references")
+    counts = references.groupBy("rng").agg(F.count("*").alias("n")).toArrow()  # one row a range
+    parts = np.ones(n_ranges, np.int64)
+    parts[counts["rng"].to_numpy()] = -(-counts["n"].to_numpy() // SALT_ROWS)
+    salted = spark.sparkContext.broadcast(np.maximum(parts, 1).astype(np.int32))  # one number a range
+
+    @F.arrow_udf(T.IntegerType())
+    def salts_of(rng: pa.Array) -> pa.Array:
+        return pa.array(salted.value[rng.to_numpy(zero_copy_only=False)])
+
+    refs = references.select("rng", F.pmod(F.xxhash64("row_id"), salts_of("rng")).cast("int").alias("salt"), F.lit(1).alias("tag"), "key", F.col("at").alias("a"), F.lit(None).cast("bigint").alias("b"), "source", "row_id")
+    held = parents.withColumn("rng", range_of("key")).withColumn("salts", salts_of("rng")).select("rng", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("tag"), "key", F.col("first").alias("a"), F.col("gone").alias("b"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("row_id"))
     mixed = held.unionByName(refs)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(salts.values()))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(parts.sum()))
     mixed = mixed.repartition(tasks, "rng", "salt").sortWithinPartitions("rng", "salt", "tag")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,14 +53,14 @@ def shared_page_names(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (structured_queries, highlight_spans, low_edges_dropped, path_file_names, dup_edge_recall, shared_page_names)}
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
-_WORDS = f"list_filter(regexp_extract_all(lower(url_decode(regexp_replace(query_id, '^[^:]*:', ''))), '[a-z]+'), lambda x: len(x) > 1 AND NOT list_contains({_STOP}, x))"
+_WORDS = f"list_filter({text.tokens_sql("url_decode(regexp_replace(query_id, '^[^:]*:', ''))")}, lambda x: len(x) > 1 AND NOT list_contains({_STOP}, x))"
 _STEM = "CASE WHEN len(w) < 5 THEN w ELSE regexp_replace(w, '(ies|ing|ed|es|s)$', '') END"
 
 SQL = {
     "structured_queries": f"""WITH q AS (SELECT DISTINCT query_id FROM assessments WHERE query_id IS NOT NULL), w AS (SELECT query_id, {_WORDS} AS w FROM q)
         SELECT query_id, CASE WHEN len(w) = 0 THEN '#combine()' ELSE '#combine(#sdm(' || array_to_string(w, ' ') || ') #rm(' || array_to_string(list_transform(w, lambda x: x || '.title'), ' ') || '))' END AS query FROM w""",
     "highlight_spans": f"""WITH {base.QREL}, {base.PARA}, k AS (SELECT DISTINCT id, {_STEM} AS stem FROM (SELECT doc_id AS id, unnest({_WORDS}) AS w FROM qrel)),
-        t AS (SELECT id, {_STEM} AS stem FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[a-z]+')) AS w FROM para)) SELECT id, stem, count(*) AS n, 'query' AS source FROM t JOIN k USING (id, stem) GROUP BY id, stem""",
+        t AS (SELECT id, {_STEM} AS stem FROM (SELECT id, unnest({text.tokens_sql('content')}) AS w FROM para)) SELECT id, stem, count(*) AS n, 'query' AS source FROM t JOIN k USING (id, stem) GROUP BY id, stem""",
     "low_edges_dropped": f"WITH {base.RUN} SELECT query_id, doc_id, score FROM run WHERE method = 'walk_pagerank' AND score > 1e-7",
     "path_file_names": "SELECT DISTINCT query_id, translate(query_id, '/:%~', '-__.') AS name FROM assessments WHERE query_id IS NOT NULL",
     "dup_edge_recall": f"WITH {_PAIRS}, f AS (SELECT id, array_to_string(w[:10], ' ') AS k FROM w) SELECT a, b FROM pairs JOIN f x ON x.id = a JOIN f y ON y.id = b WHERE x.k <> y.k",

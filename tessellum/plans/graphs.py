@@ -262,7 +262,7 @@ def minhash_approx(spark: SparkSession, sf: str) -> DataFrame:
     return model.approxSimilarityJoin(vectors, vectors, 0.2, "dist").where("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.round("dist", 6).alias("dist"))
 
 
-_SETS = f"{base.PARA}, w AS (SELECT id, regexp_extract_all(lower(content), '[a-z]+') AS w FROM para), sets AS (SELECT id, list_sort(list_distinct(list(w[i] || ' ' || w[i + 1]))) AS s FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1) GROUP BY id), classes AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM sets)"
+_SETS = f"{base.PARA}, w AS (SELECT id, {text.tokens_sql('content')} AS w FROM para), sets AS (SELECT id, list_sort(list_distinct(list(w[i] || ' ' || w[i + 1]))) AS s FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1) GROUP BY id), classes AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id FROM sets)"
 _PAIRS = f"""{_SETS}, m AS (SELECT id, len(s) AS n, unnest(s) AS g FROM sets WHERE id IN (SELECT class_id FROM classes)),
 shared AS (SELECT x.id AS a, y.id AS b, count(*) AS k, any_value(x.n) AS na, any_value(y.n) AS nb FROM m x JOIN m y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id),
 pairs AS (SELECT a, b, round(k / (na + nb - k), 9) AS similarity FROM shared WHERE k / (na + nb - k) > 0.8)"""

@@ -182,9 +182,8 @@ def text_overlap_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (bm25_topk, ql_dirichlet_topk, ql_dirichlet_small_mu, freq_term_drop, corpus_stats, corpus_stats_merged, inverted_index, bag_of_words, tokenize_stats, stem_counts, bigrams, run_ranked, run_rank_cutoff, run_pool_topk, run_method_counts, run_nub, run_partition_recombine, run_line_format, run_reciprocal_distribution, rank_relative_score, edge_rank_weights, entity_rank_by_passage, lead_passage_attach, run_append_unmentioned, run_dummy_for_empty, section_recommend, text_overlap_chunks)}
 
-_TOK = "regexp_extract_all(lower({0}), '[a-z]+')"
-_POSTS = f"toks AS (SELECT doc_id, {_TOK.format('text')} AS w FROM documents), docs AS (SELECT doc_id, w, len(w) AS len FROM toks WHERE len(w) > 0), posts AS (SELECT term, doc_id, count(*) AS tf, CAST(max(len) AS INTEGER) AS len FROM (SELECT doc_id, len, unnest(w) AS term FROM docs) GROUP BY term, doc_id), stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posts GROUP BY term), size AS (SELECT count(*) AS n_docs, sum(len) AS n_tokens FROM docs)"
-_TERMS = f"topics AS (SELECT DISTINCT {HEADING} AS query_id FROM assessments), terms AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOK.format('url_decode(query_id)')}) AS term FROM topics WHERE query_id <> '') GROUP BY ALL)"
+_POSTS = f"toks AS (SELECT doc_id, {text.tokens_sql('text')} AS w FROM documents), docs AS (SELECT doc_id, w, len(w) AS len FROM toks WHERE len(w) > 0), posts AS (SELECT term, doc_id, count(*) AS tf, CAST(max(len) AS INTEGER) AS len FROM (SELECT doc_id, len, unnest(w) AS term FROM docs) GROUP BY term, doc_id), stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posts GROUP BY term), size AS (SELECT count(*) AS n_docs, sum(len) AS n_tokens FROM docs)"
+_TERMS = f"topics AS (SELECT DISTINCT {HEADING} AS query_id FROM assessments), terms AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({text.tokens_sql('url_decode(query_id)')}) AS term FROM topics WHERE query_id <> '') GROUP BY ALL)"
 
 
 def _ql(mu: float) -> str:
@@ -208,16 +207,16 @@ SQL = {
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {DEPTH}""",
     "ql_dirichlet_topk": _ql(1000.0),
     "ql_dirichlet_small_mu": _ql(100.0),
-    "freq_term_drop": f"""WITH terms AS (SELECT source AS query_id, term, count(*) AS qtf FROM (SELECT source, unnest({_TOK.format('text')}) AS term FROM documents WHERE source IS NOT NULL) GROUP BY ALL),
+    "freq_term_drop": f"""WITH terms AS (SELECT source AS query_id, term, count(*) AS qtf FROM (SELECT source, unnest({text.tokens_sql('text')}) AS term FROM documents WHERE source IS NOT NULL) GROUP BY ALL),
         marked AS (SELECT *, qtf <= 2.0 * avg(qtf) OVER (PARTITION BY query_id) AS ok FROM terms)
         SELECT query_id, term, qtf FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_ok FROM marked) WHERE ok OR NOT any_ok""",
     "corpus_stats": f"WITH {_POSTS} SELECT term, df, cf FROM stats",
     "corpus_stats_merged": f"WITH {_POSTS} SELECT term, df, cf FROM stats",
     "inverted_index": f"WITH {_POSTS} SELECT * FROM posts",
-    "bag_of_words": f"WITH {base.PARA} SELECT id AS doc_id, term, count(*) AS tf FROM (SELECT id, unnest({_TOK.format('content')}) AS term FROM para) GROUP BY ALL",
-    "tokenize_stats": f"WITH {base.PARA}, w AS (SELECT id, coalesce(list_filter({_TOK.format('content')}, lambda x: len(x) > 1 AND NOT list_contains({_STOP}, x)), []) AS w FROM para) SELECT id, CAST(len(w) AS INTEGER) AS n_tokens, CAST(len(list_distinct(w)) AS INTEGER) AS n_types FROM w",
-    "stem_counts": f"WITH {base.PARA}, w AS (SELECT unnest(list_filter({_TOK.format('content')}, lambda x: len(x) > 1 AND NOT list_contains({_STOP}, x))) AS w FROM para) SELECT CASE WHEN len(w) < 5 THEN w ELSE regexp_replace(w, '(ies|ing|ed|es|s)$', '') END AS stem, count(*) AS n FROM w GROUP BY 1",
-    "bigrams": f"WITH {base.PARA}, w AS (SELECT {_TOK.format('content')} AS w FROM para) SELECT w[i] || ' ' || w[i + 1] AS bigram, count(*) AS n FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1) GROUP BY 1",
+    "bag_of_words": f"WITH {base.PARA} SELECT id AS doc_id, term, count(*) AS tf FROM (SELECT id, unnest({text.tokens_sql('content')}) AS term FROM para) GROUP BY ALL",
+    "tokenize_stats": f"WITH {base.PARA}, w AS (SELECT id, coalesce(list_filter({text.tokens_sql('content')}, lambda x: len(x) > 1 AND NOT list_contains({_STOP}, x)), []) AS w FROM para) SELECT id, CAST(len(w) AS INTEGER) AS n_tokens, CAST(len(list_distinct(w)) AS INTEGER) AS n_types FROM w",
+    "stem_counts": f"WITH {base.PARA}, w AS (SELECT unnest(list_filter({text.tokens_sql('content')}, lambda x: len(x) > 1 AND NOT list_contains({_STOP}, x))) AS w FROM para) SELECT CASE WHEN len(w) < 5 THEN w ELSE regexp_replace(w, '(ies|ing|ed|es|s)$', '') END AS stem, count(*) AS n FROM w GROUP BY 1",
+    "bigrams": f"WITH {base.PARA}, w AS (SELECT {text.tokens_sql('content')} AS w FROM para) SELECT w[i] || ' ' || w[i + 1] AS bigram, count(*) AS n FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1) GROUP BY 1",
     "run_ranked": f"WITH {_RANKED} SELECT * FROM ranked",
     "run_rank_cutoff": f"WITH {_RANKED} SELECT * FROM ranked WHERE rank <= 20",
     "run_pool_topk": f"WITH {_POOL} SELECT * FROM pool",
