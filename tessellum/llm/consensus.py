@@ -24,6 +24,7 @@ Defined results
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,13 +96,12 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(labels: DataFrame) -> Fit:
     spark = labels.sparkSession
     labels = materialize(labels, "labels")
-    marginals = labels.groupBy("annotator", "relevance").agg(F.count("*").alias("n")).limit(MOST_COUNTS + 1).collect()
-    people = sorted({r["annotator"] for r in marginals})
-    grades = sorted({r["relevance"] for r in marginals})
-    a, k = len(people), len(grades)
-    if a * k * k > MOST_COUNTS or len(marginals) > MOST_COUNTS:
+    a, k = labels.agg(F.count_distinct("annotator"), F.count_distinct("relevance")).first()
+    if a * k * k > MOST_COUNTS:
         raise ValueError(f"{a} annotators and {k} grades exceed {MOST_COUNTS} confusion counts")
-    number = spark.createDataFrame(list(enumerate(people)), "person int, annotator string")
+    people = sorted(labels.select("annotator").distinct().toArrow()["annotator"].to_pylist())
+    grades = sorted(labels.select("relevance").distinct().toArrow()["relevance"].to_pylist())
+    number = spark.createDataFrame(pa.table({"person": pa.array(range(a), pa.int32()), "annotator": pa.array(people, pa.string())}))
     position = F.array_position(F.array(*[F.lit(g) for g in grades]), F.col("relevance")) - 1 if grades else F.lit(0)
     items = (
         labels.join(number, "annotator")
@@ -144,6 +144,8 @@ def fit(labels: DataFrame) -> Fit:
         shared.unpersist()
         if moved < TOLERANCE / a:
             break
+    else:
+        warnings.warn(f"no convergence after {MOST_ROUNDS} rounds; the counts last moved by {moved:.2g} of the items", stacklevel=2)
     return Fit(items, people, grades, class_counts, counts, _expected_difference(items, grades))
 
 

@@ -136,7 +136,7 @@ def _anchor_keys(symbols: np.ndarray) -> np.ndarray:
     for at in range(n):
         first = at - at % 4
         a, b, c = (j for j in range(first, first + 4) if j != at)
-        keys[:, at] = _mix(((s[:, a] << np.uint64(32)) | (s[:, b] << np.uint64(16)) | s[:, c]) + np.uint64(at + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
+        keys[:, at] = _mix(((s[:, a] << np.uint64(32)) | (s[:, b] << np.uint64(16)) | s[:, c]) + np.uint64((at + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(16)
     return keys
 
 
