@@ -50,3 +50,35 @@ def run(symbols: np.ndarray, delta: np.ndarray, start: int = 0, chunk: int = CHU
         seen[i] = at
         at = flat[col.astype(np.intp) * width + at]
     return seen.T.reshape(-1)[:n]
+
+
+LONG_PIECE = 4096
+
+
+def run_pieces(symbols: np.ndarray, delta: np.ndarray, resets: np.ndarray, start: int = 0) -> np.ndarray:
+    """As ``run``, where every symbol at ``resets`` (sorted) leads to ``start`` from any state.
+
+    The pieces behind them run side by side, each from ``start``; only pieces of more than
+    ``LONG_PIECE`` symbols need the functions of chunks.
+    """
+    n, states = len(symbols), delta.shape[1]
+    begins = np.r_[0, resets + 1]
+    size = np.diff(np.r_[begins, n])
+    out = np.empty(n, np.uint8)
+    for i in np.flatnonzero(size > LONG_PIECE):
+        out[begins[i] : begins[i] + size[i]] = run(symbols[begins[i] : begins[i] + size[i]], delta, start)
+    order = np.argsort(-size, kind="stable")
+    order = order[(size[order] <= LONG_PIECE) & (size[order] > 0)]
+    at, size = begins[order], size[order]
+    if not len(at):
+        return out
+    flat, width = delta.astype(np.uint8).ravel(), np.intp(states)
+    now = np.full(len(at), start, np.uint8)
+    # how many pieces (the longest first) have more than k symbols
+    alive = len(size) - np.searchsorted(size[::-1], np.arange(size[0]), side="right")
+    for k, m in enumerate(alive.tolist()):
+        place = at[:m] + k
+        now = now[:m]
+        out[place] = now
+        now = flat[symbols[place].astype(np.intp) * width + now]
+    return out

@@ -1,13 +1,20 @@
 """Sentence boundaries across languages and scripts.
 
-The boundary rules are compiled into a finite transducer.  Its input is one symbol per code
-point.  A symbol says what the point is and what stands right beside it (after this period a
-capital follows; this closing mark follows a sentence mark; ...); vectorised passes over the
-whole block find the symbols, so they look at bounded neighbourhoods only.  What has no bound
-is the transducer's state: whether a sentence has begun, and whether a quotation or bracket is
-open and was opened at the start of its sentence.  A stretch of text is a function from states
-to states; the functions of all chunks are composed by the parallel prefix scan of ``scan``,
-so a long text is no longer path than a short one.
+The boundary rules are compiled into a finite transducer.  Its input is one class per code
+point: what the point is, and what lies beside it (the word before a period is an
+abbreviation, a name's title, a short number; a closing mark stands behind a sentence mark).
+Vectorised passes find the classes; they look at neighbours and at the word before a period
+only.  Every rule about what follows is a state.  A sentence mark makes the end pending, and
+the next telling point decides: a small letter takes it back, a capital confirms it, a digit
+or a month's name takes it back after "No." or "3.", while blanks, dashes and opening signs
+keep it pending (and are remembered, as they belong to the new sentence).  The other states
+say whether a sentence has begun and which quotation or bracket is open, and how it was
+opened.
+
+The transducer writes two marks: where an end became pending and where it was confirmed; the
+latest pending place before a confirmation is the boundary.  Texts run side by side; a text
+without empty lines for long is cut into chunks, whose functions from states to states are
+composed by the parallel prefix scan of ``scan``.
 
 Rules
 -----
@@ -43,16 +50,19 @@ from .textbatch import Joined, SliceHasher, blocks
 
 # kinds of code points
 OTHER, SPACE, LOWER, UPPER, CASELESS, DIGIT = range(6)
-# input symbols
+# input classes
 (
-    X, WS, END, GAP,
-    OPEN2, CLOSE2, CLOSE2_UP, CLOSE2_ANY, BOTH2, BOTH2_UP, BOTH2_ANY,
-    OPEN1, CLOSE1, CLOSE1_UP, CLOSE1_ANY,
-    OPEN_B, CLOSE_B, CLOSE_B_NEW,
-    OPEN2_SAYS, BOTH2_SAYS, CLOSE2_LOW, BOTH2_LOW,
-) = range(22)
-# states; 2: double quotation marks, 1: single ones, B: brackets; S: opened at the sentence's start, M: later, C: behind a colon
-START, MID, Q2S, Q2M, Q1S, Q1M, BS, BM, Q2C = range(9)
+    X, WS, GAP, CUT, LOW, UP, UP_ORDINAL, NOCASE, NUMBER, COMMA, LEAD, DASH, OPEN_QUOTE,
+    M_ANY, M_LOW, M_WIDE, M_NUMBER, M_SHORT,
+    OPEN2, OPEN2_SAYS, OPEN1, OPEN_B,
+    CLOSE2, CLOSE2_END, CLOSE2_END_WS, BOTH2, BOTH2_END, BOTH2_END_WS, BOTH2_SAYS,
+    CLOSE1, CLOSE1_END, CLOSE_B, CLOSE_B_END,
+) = range(33)
+CLASSES = 33
+MARKS = (M_ANY, M_LOW, M_WIDE, M_NUMBER, M_SHORT)  # the end is pending unless: small letter or comma; the same, but a small letter right behind a blank confirms; comma; as the first or digit; as the first or month
+OPENS = {OPEN2: 2, OPEN1: 1, OPEN_B: 3, BOTH2: 2, BOTH2_END: 2, BOTH2_END_WS: 2, BOTH2_SAYS: 2}
+CLOSES2, CLOSES1, CLOSES_B = (CLOSE2, CLOSE2_END, CLOSE2_END_WS), (CLOSE1, CLOSE1_END), (CLOSE_B, CLOSE_B_END)
+FIRST, LATER, SAID = range(3)  # how a quotation was opened: at the sentence's start, later, behind a colon
 
 # The sentence marks of the scripts, and abbreviations, as they are written (lower case).
 STRONG = "!?。！？｡؟۔।॥‼⁇⁈⁉։።။។"
@@ -76,38 +86,82 @@ BEFORE_SMALL = (
 ORDINAL_NOUNS = "jahrhundert jahrhunderts jahrhunderte jh januar februar märz april mai juni juli august september oktober november dezember kapitel auflage".split()
 
 
-def _machine() -> tuple[np.ndarray, np.ndarray]:
-    """(delta, ends): the next state and whether a sentence ends behind the symbol."""
-    delta, ends = np.zeros((22, 9), np.uint8), np.zeros((22, 9), bool)
-    for s in range(9):
-        outside = s in (START, MID)
-        onward = MID if s == START else s
-        for sym in range(22):
-            delta[sym, s] = onward
-        delta[WS, s] = s
-        delta[GAP, s], ends[GAP, s] = START, True
-        if s == MID:
-            delta[END, s], ends[END, s] = START, True
-        for opener, at_start, later in ((OPEN2, Q2S, Q2M), (OPEN1, Q1S, Q1M), (OPEN_B, BS, BM), (BOTH2, Q2S, Q2M), (BOTH2_UP, Q2S, Q2M), (BOTH2_ANY, Q2S, Q2M), (BOTH2_LOW, Q2S, Q2M), (OPEN2_SAYS, Q2C, Q2C), (BOTH2_SAYS, Q2C, Q2C)):
-            if outside:
-                delta[opener, s] = at_start if s == START else later
-        for first, last, closers in (((Q2S,), (Q2M, Q2C), ((CLOSE2, CLOSE2_UP, CLOSE2_ANY), (BOTH2, BOTH2_UP, BOTH2_ANY))), ((Q1S,), (Q1M,), ((CLOSE1, CLOSE1_UP, CLOSE1_ANY),))):
-            if s in first + last:
-                for plain, up, any_ in closers:
-                    delta[plain, s] = MID
-                    delta[up, s], ends[up, s] = START, True
-                    delta[any_, s], ends[any_, s] = (START, True) if s in last else (MID, False)
-        if s in (Q2S, Q2M, Q2C):
-            delta[BOTH2_SAYS, s] = MID
-            for low in (CLOSE2_LOW, BOTH2_LOW):
-                delta[low, s], ends[low, s] = (START, True) if s == Q2C else (MID, False)
-        if s in (BS, BM):
-            delta[CLOSE_B, s] = MID
-            delta[CLOSE_B_NEW, s], ends[CLOSE_B_NEW, s] = (START, True) if s == BS else (MID, False)
-    return delta, ends
-
-
-DELTA, ENDS = _machine()
+def _opened(sign: int, begins: bool) -> tuple:
+    return ("quote", sign, FIRST if begins else LATER) if sign else (("start",) if begins else ("inside",))
+
+
+def _step(state: tuple, c: int) -> tuple[tuple, bool, str]:
+    """(next state, whether an end becomes pending here, "" or the end that is confirmed: "here" or "pending")."""
+    if c == GAP:
+        return ("start",), False, "here"
+    if c == WS or (c == CUT and state[0] != "inside"):
+        return state, False, ""
+    if c == CUT:
+        return ("start",), False, "here"
+    what = state[0]
+    if what in ("start", "inside"):
+        if c in OPENS and c != BOTH2_SAYS:
+            return _opened(OPENS[c], what == "start"), False, ""
+        if c in (OPEN2_SAYS, BOTH2_SAYS):
+            return ("quote", 2, SAID), False, ""
+        if c in MARKS and what == "inside":
+            return ("pending", c, 0), True, ""
+        return ("inside",), False, ""
+    if what == "quote":
+        _, sign, how = state
+        if sign == 3:
+            if c == CLOSE_B_END and how == FIRST:
+                return ("closed", LATER), True, ""
+            return (("inside",) if c in CLOSES_B else state), False, ""
+        plain, ended, spaced = {2: ((CLOSE2, BOTH2, BOTH2_SAYS), (CLOSE2_END, BOTH2_END), (CLOSE2_END_WS, BOTH2_END_WS)), 1: ((CLOSE1,), (CLOSE1_END,), ())}[sign]
+        if c in ended:
+            return ("closed", FIRST if how == FIRST else LATER), True, ""
+        if c in spaced:
+            return ("closed", how), True, ""
+        return (("inside",) if c in plain else state), False, ""
+    if what == "pending":
+        _, mark, sign = state
+        softer = M_ANY if mark == M_LOW else mark
+        if c in OPENS:
+            return ("pending", softer, sign or OPENS[c]), False, ""
+        if c in (LEAD, DASH, OPEN_QUOTE, *CLOSES2, *CLOSES1, *CLOSES_B):
+            return ("pending", softer, sign), False, ""
+        no = c == COMMA or (c == LOW and mark not in (M_LOW, M_WIDE)) or (c == NUMBER and mark == M_NUMBER) or (c == UP_ORDINAL and mark == M_SHORT)
+        return _step(_opened(sign, not no), c)[0], False, "" if no else "pending"
+    # a quotation or bracket closed behind a mark; signs seen since: nothing, a quotation's, a dash, another
+    _, how, *seen = state
+    since, sign = seen if seen else ("", 0)
+    if c in OPENS or c in (LEAD, DASH, OPEN_QUOTE):
+        if not since:
+            since = "quote" if c == OPEN_QUOTE or OPENS.get(c) in (1, 2) else "dash" if c == DASH else "other"
+        kept = how if since == "other" else LATER
+        return ("closed", FIRST if kept == FIRST else LATER, since, sign or OPENS.get(c, 0)), False, ""
+    sure = c in (UP, UP_ORDINAL) or (c == NUMBER and since != "dash") or (c == NOCASE and since == "quote")
+    maybe = (c == NOCASE and since in ("", "other") and how != FIRST) or (c == LOW and not since and how == SAID)
+    end = sure or maybe
+    after, pending, _ = _step(_opened(sign, end), c)
+    return after, pending, "pending" if end else ""
+
+
+def _machine() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(delta, pends, ends) by class and state, the start being state 0; ends: 0 none, 1 behind this point, 2 at the pending place."""
+    states, at = [("start",)], {("start",): 0}
+    rows = []
+    for state in states:  # grows while new states are met
+        row = []
+        for c in range(CLASSES):
+            nxt, pends, ends = _step(state, c)
+            if nxt not in at:
+                at[nxt] = len(states)
+                states.append(nxt)
+            row.append((at[nxt], pends, ("", "here", "pending").index(ends)))
+        rows.append(row)
+    table = np.array(rows).transpose(2, 1, 0)
+    return table[0].astype(np.uint8), table[1].astype(bool), table[2].astype(np.uint8)
+
+
+DELTA, PENDS, ENDS = _machine()
+STATES = DELTA.shape[1]
 
 
 class _Tables:
@@ -137,6 +191,9 @@ class _Tables:
         for i, signs in enumerate((STRONG, DOTS, OPENERS2, CLOSERS2, BOTH, OPENERS1, CLOSERS1, OPENERS_B, CLOSERS_B, DASHES + "¿¡'#|>{"), 1):
             self.role[[ord(c) for c in signs]] = i
         self.role[[0x3B, 0x37E]] = 11
+        self.dash, self.comma = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+        self.dash[[ord(c) for c in "-–—―"]] = True
+        self.comma[[ord(c) for c in ",;:،؛、，；："]] = True
         self.names = _hashes(BEFORE_NAMES)
         self.numbers = _hashes(BEFORE_NUMBERS)
         self.ordinals = _hashes(ORDINAL_NOUNS)
@@ -205,20 +262,15 @@ def boundaries(points: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
     if not len(solid):
         return np.empty(0, np.int64), np.empty(0, np.int64)
 
-    # -- what follows a mark -------------------------------------------------------------
-    closing = (role == R_CLOSE2) | (role == R_CLOSE1) | (role == R_CLOSE_B)
-    leading = white | (role == R_OPEN2) | (role == R_OPEN1) | (role == R_OPEN_B) | (role == R_LEAD) | (role == R_BOTH)
-    after_open = np.flatnonzero(~leading)
-    after_any = np.flatnonzero(~(leading | closing))
-
-    def follows(at: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(kind of the first point of ``stops`` behind ``at``, its place, whether it is in the same block)."""
-        place = _next_of(stops, at + 1, n)
-        inside = (place < n) & (block(np.minimum(place, n - 1)) == block(at))
-        k = np.where(inside, kind[np.minimum(place, n - 1)], OTHER)
-        second = np.minimum(place + 1, n - 1)
-        k = np.where((k == LOWER) & (kind[second] == UPPER) & (place + 1 < n), UPPER, k)  # pH
-        return k, place, inside
+    # -- letters and signs -----------------------------------------------------------------
+    second = np.r_[kind[1:], np.uint8(OTHER)]
+    letter = np.array([X, WS, LOW, UP, NOCASE, NUMBER], np.uint8)[kind]
+    solid_sym = (sym == X) & (letter != WS)
+    sym[solid_sym] = letter[solid_sym]
+    sym[(kind == LOWER) & (second == UPPER)] = UP  # pH
+    sym[(role == R_LEAD)] = LEAD
+    sym[t.dash[points] & (role == R_LEAD)] = DASH
+    sym[t.comma[points]] = COMMA
 
     # -- sentence marks ------------------------------------------------------------------
     mark = (role == R_STRONG) | (role == R_DOT)
@@ -228,11 +280,17 @@ def boundaries(points: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
         greek = _script_range(before, (0x370, 0x3FF), (0x1F00, 0x1FFF)) & (semi > 0)
         mark[semi[greek]] = True
         role[semi[greek]] = R_STRONG
+        sym[semi[greek]] = X
     last = mark.copy()
     last[:-1] &= ~mark[1:]
     cand = np.flatnonzero(last)
     if len(cand):
-        sym[cand[_ends_sentence(cand, points, kind, role, mark, white, t, follows, after_any, block, n)]] = END
+        sym[cand] = _mark_classes(cand, points, kind, role, mark, white, t)
+        capital = np.flatnonzero((kind == UPPER) & ~np.r_[False, (kind[:-1] == UPPER) | (kind[:-1] == LOWER)])
+        if len(capital):
+            stop = _next_of(np.flatnonzero(~((kind == LOWER) | (kind == UPPER))), capital, n)
+            noun = np.isin(SliceHasher(t.lower[points]).of(capital, stop), t.ordinals)
+            sym[capital[noun]] = UP_ORDINAL
 
     # -- headings and table rows -----------------------------------------------------------
     edge = np.r_[-1, gaps, n]
@@ -268,43 +326,22 @@ def boundaries(points: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
     ends2 = np.sort(np.r_[close2, both])
     colon = np.r_[False, points[:-1] == 0x3A] | np.r_[False, points[:-1] == 0xFF1A]
     colon[1:] |= white[:-1] & colon[:-1]
-    ok2 = open2[paired(open2, ends2)]
-    sym[ok2] = np.where(colon[ok2], OPEN2_SAYS, OPEN2)
-    sym[open1[paired(open1, close1)]] = OPEN1
-    sym[open_b[paired(open_b, close_b)]] = OPEN_B
+    for at, closers, own, alone in ((open2, ends2, OPEN2, OPEN_QUOTE), (open1, close1, OPEN1, OPEN_QUOTE), (open_b, close_b, OPEN_B, LEAD)):
+        sym[at] = np.where(paired(at, closers), own, alone)
+    sym[open2[(sym[open2] == OPEN2) & colon[open2]]] = OPEN2_SAYS
 
-    def after_close(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For closing signs behind a mark: a new sentence surely follows, a sentence or its report, a small letter."""
-        prev = np.maximum(at - 1, 0)
-        spaced = white[prev]  # « Oui ! »
-        prev = np.where(spaced, np.maximum(prev - 1, 0), prev)
-        ended = mark[prev]
-        k, place, inside = follows(at, after_open)
-        direct = np.minimum(at + 1, n - 1)
-        nxt = _next_of(solid, at + 1, n)
-        quote_next = np.isin(role[np.minimum(nxt, n - 1)], (R_OPEN2, R_OPEN1, R_BOTH)) & (nxt < n)
-        dash_next = np.isin(points[np.minimum(nxt, n - 1)], [ord(c) for c in "-–—―"]) & (nxt < n)
-        kana = _script_range(points[direct], (0x3041, 0x309F)) & ((points[at] == 0x300D) | (points[at] == 0x300F))
-        up = ended & inside & ((k == UPPER) | (k == DIGIT) | ((k == CASELESS) & quote_next)) & ~(dash_next & (k != UPPER))
-        other = ended & inside & (k == CASELESS) & ~up & ~kana & ~dash_next
-        small = ended & inside & (k == LOWER) & (place == nxt) & white[direct]
-        return up, other, small
-
-    for at, plain, sure, maybe, low in ((close2, CLOSE2, CLOSE2_UP, CLOSE2_ANY, CLOSE2_LOW), (both, BOTH2, BOTH2_UP, BOTH2_ANY, BOTH2_LOW), (close1, CLOSE1, CLOSE1_UP, CLOSE1_ANY, CLOSE1)):
+    for at, plain, ended, spaced in ((close2, CLOSE2, CLOSE2_END, CLOSE2_END_WS), (both, BOTH2, BOTH2_END, BOTH2_END_WS), (close1, CLOSE1, CLOSE1_END, CLOSE1_END), (close_b, CLOSE_B, CLOSE_B_END, CLOSE_B_END)):
         if not len(at):
             continue
-        up, other, small = after_close(at)
-        sym[at] = np.where(up, sure, np.where(other, maybe, np.where(small, low, plain)))
+        prev = np.maximum(at - 1, 0)
+        prev = np.where(white[prev], np.maximum(prev - 1, 0), prev)  # « Oui ! »
+        beside = np.minimum(at + 1, n - 1)
+        kana = _script_range(points[beside], (0x3041, 0x309F)) & ((points[at] == 0x300D) | (points[at] == 0x300F))
+        sym[at] = np.where(mark[prev] & ~kana, np.where(white[beside], spaced, ended), plain)
     if len(both):  # the last of a block opens nothing
         alone = ~paired(both, ends2)
-        at = both[alone]
-        own = sym[at]
-        sym[at] = np.where(own == BOTH2_UP, CLOSE2_UP, np.where(own == BOTH2_ANY, CLOSE2_ANY, np.where(own == BOTH2_LOW, CLOSE2_LOW, CLOSE2)))
-        at = both[~alone & colon[both]]
-        sym[at] = np.where(sym[at] == BOTH2, BOTH2_SAYS, sym[at])
-    if len(close_b):
-        up, other, _ = after_close(close_b)
-        sym[close_b] = np.where(up | other, CLOSE_B_NEW, CLOSE_B)
+        sym[both[alone]] -= BOTH2 - CLOSE2
+        sym[both[~alone & colon[both] & (sym[both] == BOTH2)]] = BOTH2_SAYS
 
     # -- scripts without sentence marks --------------------------------------------------------
     thai = _script_range(points, (0xE01, 0xE4E), (0xE81, 0xECD))
@@ -313,98 +350,73 @@ def boundaries(points: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.n
         nxt = _next_of(solid, at, n)
         ok = (nxt < n) & thai[np.minimum(nxt, n - 1)] & (points[np.minimum(nxt, n - 1)] != 0xE46) & (sym[at] == WS)
         ok &= block(np.minimum(nxt, n - 1)) == block(at)
-        sym[at[ok]] = END
+        sym[at[ok]] = CUT
     if frozen is not None:
         sym[frozen & (sym != WS)] = X
 
     # -- run ---------------------------------------------------------------------------------
-    state = scan.run(sym, DELTA, START)
-    ends = np.flatnonzero(ENDS.ravel()[sym.astype(np.int64) * 9 + state]) + 1
+    state = scan.run_pieces(sym, DELTA, gaps)
+    cell = sym.astype(np.int64) * STATES + state
+    pending, what = np.flatnonzero(PENDS.ravel()[cell]), ENDS.ravel()[cell]
+    late = np.flatnonzero(what == 2)
+    ends = np.sort(np.r_[np.flatnonzero(what == 1), pending[np.searchsorted(pending, late) - 1]]) + 1
     edge = np.r_[0, ends, n]
     k = np.searchsorted(solid, edge)
     has = k[1:] > k[:-1]
     return solid[k[:-1][has]], solid[k[1:][has] - 1] + 1
 
 
-def _ends_sentence(cand, points, kind, role, mark, white, t, follows, after_any, block, n):  # noqa: ANN001, ANN202
-    """Which of the marks (the last of each run of marks) end a sentence if no quotation or bracket is open."""
-    k, place, inside = follows(cand, after_any)
-    here = points[cand]
-    strong = role[cand] == R_STRONG
+def _mark_classes(cand, points, kind, role, mark, white, t) -> np.ndarray:  # noqa: ANN001
+    """The input class of each mark that is the last of its run: from the mark, its neighbours and the word before it."""
+    n = len(points)
+    out = np.full(len(cand), X, np.uint8)
     nxt = np.minimum(cand + 1, n - 1)
+    here = points[cand]
     blank = white[nxt] | (cand + 1 >= n)
     near = np.where(blank, OTHER, kind[nxt])
-    follow_point = points[np.minimum(place, n - 1)]
-    comma = inside & np.isin(follow_point, [ord(c) for c in ",;:،؛、，；："])
-    # marks that end whatever follows, but for a small letter
-    # only white space, no dash or opening sign, before a small letter
-    small = inside & (k == LOWER)
-    plain = small & blank & (_next_of(np.flatnonzero(~white), cand + 1, n) == place)
-    end = strong & (~small | plain | (here >= 0x80)) & ~comma
-    beside = (near == UPPER) | (near == CASELESS) | np.isin(role[nxt], (R_OPEN2, R_CLOSE2, R_BOTH, R_OPEN1, R_CLOSE1, R_OPEN_B, R_CLOSE_B))
-    end &= blank | beside | (here >= 0x80)
-    # dots
-    dot = ~strong
-    run_before = np.maximum(cand - 1, 0)
-    ellipsis = dot & ((here == 0x2026) | ((cand > 0) & mark[run_before] & (role[run_before] == R_DOT)))
-    after_strong = dot & (cand > 0) & mark[run_before] & (role[run_before] == R_STRONG)
-    direct_caseless = ~blank & (near == CASELESS)
-    ell_end = ellipsis & ~(inside & (k == LOWER)) & ~comma & ~direct_caseless & (blank | (near != DIGIT))
-    # the word before a single period
-    single = dot & ~ellipsis & ~after_strong
+    closer = ~blank & np.isin(role[nxt], (R_CLOSE2, R_CLOSE1, R_CLOSE_B, R_BOTH))
+    opener = ~blank & np.isin(role[nxt], (R_OPEN2, R_OPEN1))
+    prev = np.maximum(cand - 1, 0)
+    strong = role[cand] == R_STRONG
+    after_strong = ~strong & (cand > 0) & mark[prev] & (role[prev] == R_STRONG)
+    ellipsis = ~strong & ~after_strong & ((here == 0x2026) | ((cand > 0) & mark[prev] & (role[prev] == R_DOT)))
+    beside = (near == UPPER) | (near == CASELESS) | closer | opener | (~blank & (role[nxt] == R_OPEN_B))
+    out[strong] = np.where(here >= 0x80, M_WIDE, np.where(blank, M_LOW, np.where(beside, M_ANY, X)))[strong]
+    out[after_strong | (ellipsis & (near != CASELESS) & (near != DIGIT))] = M_ANY
+    single = ~strong & ~after_strong & ~ellipsis
     at = cand[single]
-    res = np.zeros(len(at), bool)
-    if len(at):
-        stop_sign = white | (role == R_STRONG) | (role == R_OPEN_B) | (role == R_OPEN2) | (role == R_OPEN1) | (role == R_BOTH) | np.isin(points, [0x2014, 0x2013, 0x7C, 0x2F, 0x2019, 0x27])
-        stops = np.flatnonzero(stop_sign)
-        j = np.searchsorted(stops, at) - 1
-        word_start = np.where(j >= 0, stops[np.maximum(j, 0)] + 1 if len(stops) else 0, 0)
-        low = t.lower[points]
-        hasher, exact = SliceHasher(low), SliceHasher(points)
-        h = hasher.of(word_start, at)
-        size = at - word_start
-        prev_kind = kind[np.maximum(at - 1, 0)]
-        prev2_kind = kind[np.maximum(at - 2, 0)]
-        kk, pp, ins, bl, ne = k[single], place[single], inside[single], blank[single], near[single]
-        cm = comma[single]
-        letter_prev2 = (prev2_kind == LOWER) | (prev2_kind == UPPER) | (prev2_kind == CASELESS)
-        initial = (prev_kind == UPPER) & ~(letter_prev2 & (at - 2 >= word_start))
-        # behind a missing blank ("there.St. X"): the capitalised rest of the word
-        inner = np.flatnonzero((points == 0x2E) & np.r_[(kind[1:] == UPPER), False])
-        j = np.searchsorted(inner, at) - 1
-        rest = np.where(j >= 0, inner[np.maximum(j, 0)] + 1 if len(inner) else 0, 0)
-        rest_size = np.where(rest > word_start, at - rest, 0)
-        rest = np.maximum(rest, word_start)
-        name = np.isin(exact.of(word_start, at), t.names) | ((rest_size >= 2) & np.isin(exact.of(rest, at), t.names))
-        number = np.isin(h, t.numbers) & (kk == DIGIT)
-        gram = np.isin(h, t.gram)
-        if gram.any():
-            before = np.maximum(word_start - 2, 0)
-            gram &= kind[before] != DIGIT
-        # German ordinals, and numbering at the start of a line
-        short_number = (prev_kind == DIGIT) & (size <= 2) & (kind[np.minimum(word_start, n - 1)] == DIGIT)
-        ordinal = np.zeros(len(at), bool)
-        idx = np.flatnonzero(short_number & (kk == UPPER))
-        if len(idx):
-            not_word = np.flatnonzero(~((kind == LOWER) | (kind == UPPER)))
-            stop = _next_of(not_word, pp[idx], n)
-            ordinal[idx] = np.isin(hasher.of(pp[idx], stop), t.ordinals)
-        blocked = (name | number | initial | gram | ordinal) & ins
-        prev_point = points[np.maximum(at - 1, 0)]
-        indic = _script_range(prev_point, (0x900, 0xDFF), (0xE00, 0xEFF))
-        unabbreviated = ((prev_kind == LOWER) & (prev2_kind != OTHER) & (size >= 2) & ~np.isin(h, t.small)) | ((prev_kind == DIGIT) & (size >= 3))
-        with_blank = bl & (~(ins & (kk == LOWER)) | (plain[single] & unabbreviated)) & ~indic
-        closer_next = ~bl & np.isin(role[np.minimum(at + 1, n - 1)], (R_CLOSE2, R_CLOSE1, R_CLOSE_B, R_BOTH))
-        after_closer = closer_next & ~(ins & (kk == LOWER))
-        # no blank: a capitalised word behind a word of small letters or a number, or letters of a script without case
-        second = kind[np.minimum(at + 2, n - 1)]
-        glued = (ne == UPPER) & ((second == LOWER) | (second == SPACE)) & (((prev_kind == LOWER) & ((size >= 2) | (kind[np.maximum(at - 3, 0)] == DIGIT))) | (prev_kind == DIGIT) | (prev_kind == CASELESS))
-        glued |= (ne == CASELESS) & (prev_kind == CASELESS) & (size >= 2) & ~indic & ~_script_range(prev_point, (0x3040, 0x30FF), (0x4E00, 0x9FFF))
-        opener_next = ~bl & np.isin(role[np.minimum(at + 1, n - 1)], (R_OPEN2, R_OPEN1)) & (kk != LOWER)
-        res = (with_blank | after_closer | glued | opener_next) & ~blocked & ~cm
-        res |= ~ins & ~indic  # the last of its block
-    out = end | ell_end | (after_strong & ~(inside & (k == LOWER)) & ~comma)
-    out[single] = res
+    if not len(at):
+        return out
+    stop_sign = white | (role == R_STRONG) | (role == R_OPEN_B) | (role == R_OPEN2) | (role == R_OPEN1) | (role == R_BOTH) | np.isin(points, [0x2014, 0x2013, 0x7C, 0x2F, 0x2019, 0x27])
+    stops = np.flatnonzero(stop_sign)
+    j = np.searchsorted(stops, at) - 1
+    word_start = np.where(j >= 0, stops[np.maximum(j, 0)] + 1 if len(stops) else 0, 0)
+    hasher, exact = SliceHasher(t.lower[points]), SliceHasher(points)
+    h = hasher.of(word_start, at)
+    size = at - word_start
+    prev_kind, prev2_kind = kind[np.maximum(at - 1, 0)], kind[np.maximum(at - 2, 0)]
+    letter_prev2 = (prev2_kind == LOWER) | (prev2_kind == UPPER) | (prev2_kind == CASELESS)
+    initial = (prev_kind == UPPER) & ~(letter_prev2 & (at - 2 >= word_start))
+    # behind a missing blank ("there.St. X"): the capitalised rest of the word
+    inner = np.flatnonzero((points == 0x2E) & np.r_[(kind[1:] == UPPER), False])
+    j = np.searchsorted(inner, at) - 1
+    rest = np.where(j >= 0, inner[np.maximum(j, 0)] + 1 if len(inner) else 0, 0)
+    rest_size = np.where(rest > word_start, at - rest, 0)
+    rest = np.maximum(rest, word_start)
+    name = np.isin(exact.of(word_start, at), t.names) | ((rest_size >= 2) & np.isin(exact.of(rest, at), t.names))
+    gram = np.isin(h, t.gram) & (kind[np.maximum(word_start - 2, 0)] != DIGIT)
+    short_number = (prev_kind == DIGIT) & (size <= 2) & (kind[np.minimum(word_start, n - 1)] == DIGIT)
+    usual = np.where(np.isin(h, t.numbers), M_NUMBER, np.where(short_number, M_SHORT, M_ANY))
+    prev_point = points[np.maximum(at - 1, 0)]
+    indic = _script_range(prev_point, (0x900, 0xDFF), (0xE00, 0xEFF))
+    unabbreviated = ((prev_kind == LOWER) & (prev2_kind != OTHER) & (size >= 2) & ~np.isin(h, t.small)) | ((prev_kind == DIGIT) & (size >= 3))
+    bl, ne = blank[single], near[single]
+    # no blank: a capitalised word behind a word of small letters or a number, or letters of a script without case
+    beyond = kind[np.minimum(at + 2, n - 1)]
+    glued = (ne == UPPER) & ((beyond == LOWER) | (beyond == SPACE)) & (((prev_kind == LOWER) & ((size >= 2) | (kind[np.maximum(at - 3, 0)] == DIGIT))) | (prev_kind == DIGIT) | (prev_kind == CASELESS))
+    glued |= (ne == CASELESS) & (prev_kind == CASELESS) & (size >= 2) & ~indic & ~_script_range(prev_point, (0x3040, 0x30FF), (0x4E00, 0x9FFF))
+    may = (bl & ~indic) | glued | closer[single] | opener[single]
+    out[single] = np.where(~may | name | initial | gram, X, np.where(bl & unabbreviated, M_LOW, usual))
     return out
 
 

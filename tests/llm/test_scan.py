@@ -28,3 +28,20 @@ def test_prefix_compose_is_associative_order():
             for j in range(i + 1):
                 at = f[j, at]
             assert out[i, s] == at
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(1, 900), st.integers(1, 45), st.sampled_from([7, 64, 4096]))
+def test_pieces_equal_one_long_run(seed, n, states, limit):
+    from tessellum.llm import scan
+
+    rng = np.random.default_rng(seed)
+    delta = rng.integers(0, states, (6, states)).astype(np.uint8)
+    delta[5] = 0  # resets
+    symbols = rng.choice(6, n, p=[0.3, 0.2, 0.2, 0.2, 0.08, 0.02]).astype(np.uint8)
+    old, scan.LONG_PIECE = scan.LONG_PIECE, limit
+    try:
+        got = scan.run_pieces(symbols, delta, np.flatnonzero(symbols == 5))
+    finally:
+        scan.LONG_PIECE = old
+    assert got.tolist() == run(symbols, delta).tolist()

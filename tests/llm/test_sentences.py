@@ -57,3 +57,19 @@ def test_rows(spark):
     got = sorted((tuple(r) for r in sentences.split_sentences(docs, with_text=True).collect()), key=repr)
     assert got == sorted([(1, 0, 6, "A bee."), (1, 7, 13, "C dog."), (1, 0, 6, "A bee."), (1, 7, 13, "C dog."), (None, 0, 2, "E.")], key=repr)
     assert sentences.split_sentences(docs.limit(0)).count() == 0
+
+
+def test_every_state_leaves_a_text_behind_an_empty_line():
+    assert (sentences.DELTA[sentences.GAP] == 0).all() and (sentences.ENDS[sentences.GAP] == 1).all()
+    assert sentences.DELTA.max() < sentences.STATES <= 255
+
+
+@pytest.mark.parametrize("follow", ["Next one.", "“Next,” he said.", "(Next) went.", "— Next.", "\n\nnext", "next", ", next", "7 days.", "Mai kam."])
+def test_pending_ends_in_long_pieces_equal_those_in_short_ones(follow):
+    """What follows a mark is a state, so it may stand in another chunk of a long piece."""
+    for mark in (".", "!", "…", "No.", "3.", "。", "!”"):
+        head = "It said “so" if mark == "!”" else "It said so"
+        short = split(head + mark + " " + follow)
+        filler = "word " * 1200
+        long_ = split(filler + head + mark + " " + follow)
+        assert [x.removeprefix(filler) for x in long_] == short
