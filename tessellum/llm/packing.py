@@ -3,9 +3,12 @@
 Every document is sized in tokens of a public vocabulary and projected: its hashed token
 vector (each token id has a fixed random direction) is averaged into three dimensions, which
 are cut into levels and numbered along a Hilbert curve.  Documents are range-sorted by that
-number, so neighbours are alike, and each stretch of the curve is packed on its own: best fit
-by falling size inside a sliding window of neighbours, with the open containers carried from
-window to window.  Only (id, size, key) travels; texts never leave the scan.
+number, so neighbours are alike, and each stretch of the curve is packed on its own.  A
+container takes the first document that waits on the curve and looks ahead along the curve
+just as far as it must until some of the documents seen fill it exactly (sums of sizes are
+the bits of an integer); after ``AHEAD`` documents the fullest choice is taken.  So a
+container holds near neighbours of the curve.  Only (id, size, key) travels; texts never
+leave the scan.
 
 Defined results
 ---------------
@@ -27,14 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import load, store_counting
 from . import bpe
 
 CAPACITY = 2048
 DIMENSIONS, LEVEL_BITS = 3, 10
-WINDOW = 4096  # documents sorted by size together
-OPEN = 1024  # containers kept open at once
-STRETCH = 200_000  # documents packed by one task, about
+AHEAD = 256  # documents looked at for one container, at most
+STRETCH, LEAST_STRETCH = 50_000, 5_000  # documents packed by one task, about; cores are used down to the second
 OUT = "container_id bigint, position int, doc_id bigint, piece int, n_tokens int, start_in_container int"
 
 
@@ -72,104 +74,120 @@ def _directions(n: int = 1 << 16) -> np.ndarray:
     return np.random.default_rng(20240601).standard_normal((n, DIMENSIONS)).astype(np.float32)
 
 
-def curve_keys(ids: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+def projections(ids: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """(texts, DIMENSIONS): the mean direction of each text's tokens."""
     table = _directions()
     sums = np.zeros((len(per_text) + 1, DIMENSIONS))
     filled = np.flatnonzero(per_text)
     if len(filled):
         begins = np.r_[0, np.cumsum(per_text[filled])[:-1]]
         sums[filled] = np.add.reduceat(table[ids & (len(table) - 1)], begins, axis=0)
-    mean = sums[:-1] / np.maximum(per_text, 1)[:, None]
-    level = (np.arctan(mean * 6) / np.pi + 0.5) * (1 << LEVEL_BITS)
+    return sums[:-1] / np.maximum(per_text, 1)[:, None]
+
+
+def curve_keys(means: np.ndarray) -> np.ndarray:
+    level = (np.arctan(means * 6) / np.pi + 0.5) * (1 << LEVEL_BITS)
     return hilbert_index(np.clip(level.astype(np.int64), 0, (1 << LEVEL_BITS) - 1), LEVEL_BITS)
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, curve)."""
+    """(doc_id, n_tokens, curve, place): ``place`` is the projection."""
     path = path or bpe.default_path()
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, ids, per_text, _ in bpe.encode_column(batch.column("text"), path):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(per_text), pa.array(curve_keys(ids, per_text))], names=["doc_id", "n_tokens", "curve"])
-
-    return picked.mapInArrow(work, "doc_id bigint, n_tokens bigint, curve bigint")
-
-
-class _Bins:
-    """Open containers by free space; a big integer's bits tell which amounts occur."""
-
-    def __init__(self, capacity: int) -> None:
-        self.capacity, self.free, self.mask, self.made, self.count = capacity, {}, 0, 0, 0
-
-    def put(self, size: int) -> tuple[int, int]:
-        """(container, tokens in it before) for an item: the tightest that fits, else a new one."""
-        fits = self.mask >> size
-        if fits:
-            left = (fits & -fits).bit_length() - 1 + size
-            stack = self.free[left]
-            bin_ = stack.pop()
-            if not stack:
-                self.mask &= ~(1 << left)
-            self.count -= 1
-        else:
-            bin_, left = self.made, self.capacity
-            self.made += 1
-        rest = left - size
-        if rest or not size:
-            self.free.setdefault(rest, []).append(bin_)
-            self.mask |= 1 << rest
-            self.count += 1
-            if self.count > OPEN:  # the fullest closes
-                tight = (self.mask & -self.mask).bit_length() - 1
-                self.free[tight].pop(0)
-                if not self.free[tight]:
-                    self.mask &= ~(1 << tight)
-                self.count -= 1
-        return bin_, self.capacity - left
+                means = projections(ids, per_text)
+                place = pa.ListArray.from_arrays(pa.array(np.arange(0, means.size + 1, DIMENSIONS, np.int32)), pa.array(means.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(per_text), pa.array(curve_keys(means)), place], names=["doc_id", "n_tokens", "curve", "place"])
+
+    return picked.mapInArrow(work, "doc_id bigint, n_tokens bigint, curve bigint, place array<double>")
+
+
+def _fill(sizes: list[int], capacity: int) -> tuple[list[int], bool]:
+    """(indices of the items for one container, whether it is full): the first item and some of those behind it, looking ahead as little as an exact fill allows."""
+    room = capacity - sizes[0]
+    if not room:
+        return [0], True
+    sums, before, cut = 1, [], (1 << room + 1) - 1  # bit k: k tokens more can be taken
+    for size in sizes[1:]:
+        before.append(sums)
+        if size <= room:
+            sums |= sums << size & cut
+            if sums >> room:
+                break
+    target = sums.bit_length() - 1
+    full, chosen = target == room, []
+    for k in range(len(before) - 1, -1, -1):
+        if not sizes[k + 1] or not before[k] >> target & 1:  # empty texts seen on the way come along
+            chosen.append(k + 1)
+            target -= sizes[k + 1]
+    return [0, *chosen[::-1]], full
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Containers of the documents of ``sized``."""
-    sizes = materialize(sizes, "sizes")
-    stretches = max(1, -(-sizes.count() // STRETCH))
-    lined = sizes.withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(stretches, "curve", "tie").sortWithinPartitions("curve", "tie")
+    spark = sizes.sparkSession
+    rows = sizes.select("doc_id", "n_tokens", "curve")
+    path, n = store_counting(rows, "sizes", all="true")
+    stretches = max(1, -(-n["all"] // STRETCH), min(spark.sparkContext.defaultParallelism, n["all"] // LEAST_STRETCH))
+    lined = load(spark, path, rows).withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(stretches, "curve", "tie").sortWithinPartitions("curve", "tie")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
-        bins, position = _Bins(capacity), {}
-        waiting: list[tuple[int, int | None, int]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            items = []
-            for size, doc, _ in waiting:
-                whole, rest = divmod(size, capacity)
-                items += [(capacity, doc, k) for k in range(whole)]
-                if rest or not whole:
-                    items.append((rest, doc, whole))
-            items.sort(key=lambda x: -x[0])
-            rows = []
-            for size, doc, piece in items:
-                bin_, at = bins.put(size)
-                nth = position.get(bin_, 0)
-                position[bin_] = nth + 1
-                rows.append((base | bin_, nth, doc, piece, size, at))
-            waiting.clear()
-            if len(position) > 8 * OPEN:  # places are needed for open containers only
-                live = {b for stack in bins.free.values() for b in stack}
-                for b in [b for b in position if b not in live]:
-                    del position[b]
+        base, made = TaskContext.get().partitionId() << 32, 0
+        sizes_, docs, pieces = [], [], []  # waiting items in order of the curve
+        rows: list[tuple] = []
+
+        def close(chosen: list[int]) -> None:
+            nonlocal made
+            start = 0
+            for nth, k in enumerate(chosen):
+                rows.append((base | made, nth, docs[k], pieces[k], sizes_[k], start))
+                start += sizes_[k]
+            made += 1
+            for k in reversed(chosen):
+                del sizes_[k], docs[k], pieces[k]
+
+        def out() -> Iterator[pa.RecordBatch]:
             if rows:
-                cols = list(zip(*rows))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in OUT.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in OUT.split(", ")])
+                rows.clear()
 
         for batch in batches:
-            for row in zip(batch.column("n_tokens").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("curve").to_pylist()):
-                waiting.append(row)
-                if len(waiting) >= WINDOW:
-                    yield from flush()
-        yield from flush()
+            for size, doc in zip(batch.column("n_tokens").to_pylist(), batch.column("doc_id").to_pylist()):
+                whole, rest = divmod(size, capacity)
+                for piece in range(whole):
+                    rows.append((base | made, 0, doc, piece, capacity, 0))
+                    made += 1
+                if rest or not whole:
+                    sizes_.append(rest)
+                    docs.append(doc)
+                    pieces.append(whole)
+                while len(sizes_) > AHEAD:
+                    close(_fill(sizes_[: AHEAD + 1], capacity)[0])
+            yield from out()
+        while sizes_:
+            close(_fill(sizes_, capacity)[0])
+        yield from out()
 
     return lined.mapInArrow(work, OUT)
+
+
+def report(packed: DataFrame, sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: n_containers, n_documents, fill (share of the space used) and alike.
+
+    ``alike``: mean squared distance of the documents' projections from their container's mean,
+    over that from the mean of all; 1 would be a choice without regard to the curve.  Documents
+    without tokens and containers of one document do not count for it.
+    """
+    boxes = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    space = boxes.agg(F.count("*").alias("n_containers"), (F.sum("used") / (F.count("*") * capacity)).alias("fill"))
+    axes = range(DIMENSIONS)
+    at = packed.where("piece = 0 AND n_tokens > 0").select("container_id", "doc_id").join(sizes.select("doc_id", *[F.col("place")[i].alias(f"x{i}") for i in axes]), "doc_id")
+    spread = lambda: sum((F.var_pop(f"x{i}") for i in axes), F.lit(0.0))
+    inside = at.groupBy("container_id").agg(F.count("*").alias("n"), spread().alias("v")).where("n > 1").agg((F.sum(F.col("v") * F.col("n")) / F.sum(F.col("n") - 1)).alias("within"))
+    whole = at.agg(spread().alias("v"))
+    n = sizes.agg(F.count("*").alias("n_documents"))
+    return space.crossJoin(n).crossJoin(inside).crossJoin(whole).select("n_containers", "n_documents", F.round("fill", 6).alias("fill"), F.round(F.col("within") / F.col("v"), 6).alias("alike"))  # one row each

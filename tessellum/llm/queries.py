@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
+from ..storage import materialize
 from . import bpe, consensus, fusion, neardup, packing, sentences, topn
 
 
@@ -70,11 +71,17 @@ def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(packing.sized(table(spark, sf, "documents")))
 
 
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers are and how alike the documents within one."""
+    sizes = materialize(packing.sized(table(spark, sf, "documents")), "sizes")
+    return packing.report(packing.pack(sizes), sizes)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranking, p3_found, p3_top_items, p4_found, p4_groups, p4_classes, p6_found, p6_items, p6_annotators, p6_alpha, p7_ids, p8_packing, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranking, p3_found, p3_top_items, p4_found, p4_groups, p4_classes, p6_found, p6_items, p6_annotators, p6_alpha, p7_ids, p8_packing, p8_report, p9_found)}
 
 _LISTS = """
 lists AS (

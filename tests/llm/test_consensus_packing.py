@@ -76,7 +76,6 @@ def test_packing(spark):
     got = packing.pack(spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint, curve bigint"), 100).collect()
     load, places = {}, {}
     for r in got:
-        assert r["start_in_container"] == load.get(r["container_id"], 0) or True
         load[r["container_id"]] = load.get(r["container_id"], 0) + r["n_tokens"]
         places.setdefault(r["container_id"], []).append((r["start_in_container"], r["n_tokens"], r["position"]))
     assert max(load.values()) <= 100
@@ -99,3 +98,30 @@ def test_packing(spark):
 def test_sizes_of_odd_texts(spark):
     docs = spark.createDataFrame([(1, None, 7), (2, "", 7), (3, "Hello world", 7), (3, "Hello world", 7)], "doc_id bigint, text string, n_tokens int")
     assert rows(packing.sized(docs).select("doc_id", "n_tokens")) == [(1, 0), (2, 0), (3, 2), (3, 2)]
+
+
+def test_a_container_is_filled_exactly_from_the_nearest_neighbours():
+    assert packing._fill([60, 50, 30, 0, 10, 40], 100) == ([0, 2, 3, 4], True)
+    assert packing._fill([100, 1], 100) == ([0], True)
+    assert packing._fill([60, 70, 30], 100) == ([0, 2], False)
+    assert packing._fill([0, 0, 5], 100) == ([0, 1, 2], False)
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.randint(0, 40) for _ in range(rng.randint(1, 9))]
+        chosen, full = packing._fill(sizes, 60)
+        used = sum(sizes[k] for k in chosen)
+        reach = {sizes[0]}
+        for x in sizes[1:]:
+            reach |= {r + x for r in reach if r + x <= 60}
+        assert chosen[0] == 0 and len(set(chosen)) == len(chosen) and used == max(reach) and full == (used == 60)
+
+
+def test_report_of_fill_and_likeness(spark):
+    rng = np.random.default_rng(5)
+    means = rng.normal(0, 0.15, (6000, 3))
+    data = [(i, int(rng.integers(20, 400)), int(k), [float(x) for x in m]) for i, (m, k) in enumerate(zip(means, packing.curve_keys(means)))]
+    sizes = spark.createDataFrame(data, "doc_id bigint, n_tokens bigint, curve bigint, place array<double>")
+    r = packing.report(packing.pack(sizes), sizes).first()
+    assert r["n_documents"] == 6000 and r["fill"] > 0.99 and r["alike"] < 0.35
+    shuffled = spark.createDataFrame([(i, n, int(rng.integers(1 << 30)), m) for i, n, _, m in data], sizes.schema)
+    assert packing.report(packing.pack(shuffled), shuffled).first()["alike"] > 0.9
