@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +18,7 @@ def similar_sets(sets: DataFrame, id_col: str, items: str, threshold: float) ->
 
     Prefix filter: with its members ordered rarest first, a set shares one of its first
     ``n - ceil(t n) + 1`` members with any set that overlaps enough.  Equal sets must be made
-    one before (see ``duplicate_pairs``), so frequent members stay out of the prefixes.
+    one before (see ``class_sets``), so frequent members stay out of the prefixes.
     """
     rows = materialize(sets.select(F.col(id_col).alias("id"), F.col(items).alias("set")).where(F.size("set") > 0), "sets")
     member = rows.select("id", F.explode("set").alias("m"))
@@ -30,11 +34,20 @@ def similar_sets(sets: DataFrame, id_col: str, items: str, threshold: float) ->
     return near.join(left, "a").join(right, "b").select("a", "b", sim.alias("similarity")).where(F.col("similarity") > threshold)
 
 
-def duplicate_classes(sets: DataFrame, id_col: str, items: str) -> DataFrame:
-    """(id, class_id): sets with equal members share the smallest id."""
-    keyed = sets.select(F.col(id_col).alias("id"), F.sha2(F.array_join(F.array_sort(items), "\u0001"), 256).alias("k"))
+def keyed_sets(sets: DataFrame, id_col: str, items: str) -> DataFrame:
+    """(id, set, k), stored: ``k`` is equal for equal sets."""
+    return materialize(sets.select(F.col(id_col).alias("id"), F.col(items).alias("set"), F.sha2(F.array_join(F.array_sort(items), "\u0001"), 256).alias("k")), "keyed")
+
+
+def duplicate_classes(keyed: DataFrame) -> DataFrame:
+    """(id, class_id) of ``keyed_sets``: equal sets share the smallest id."""
     names = keyed.groupBy("k").agg(F.min("id").alias("class_id"))
-    return keyed.join(names, "k").select("id", "class_id")
+    return keyed.select("id", "k").join(names, "k").select("id", "class_id")
+
+
+def class_sets(keyed: DataFrame) -> DataFrame:
+    """(id, set): the smallest id of each class with its set."""
+    return keyed.join(keyed.groupBy("k").agg(F.min("id").alias("id")).select("id"), "id", "left_semi").select("id", "set")
 
 
 def rewrite_table(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -43,19 +56,71 @@ def rewrite_table(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("canonical"))
 
 
-def projection_bucket(vector: str, planes: list[list[float]]):
-    """A bucket number whose bits say on which side of each plane a vector lies."""
-    out = F.lit(0).cast("bigint")
-    for i, plane in enumerate(planes):
-        weights = F.array(*[F.lit(float(x)) for x in plane])
-        dot = F.aggregate(F.zip_with(vector, weights, lambda x, w: x.cast("double") * w), F.lit(0.0), lambda s, x: s + x)
-        out = out + F.when(dot > 0, F.lit(1 << i)).otherwise(F.lit(0))
-    return out
+def gaussian_planes(n: int, dimensions: int, seed: int = 11) -> np.ndarray:
+    """(n, dimensions) normals of random planes, the same for the same seed."""
+    return np.random.default_rng(seed).standard_normal((n, dimensions))
+
+
+def projection_buckets(vectors: DataFrame, id_col: str, vector: str, planes: np.ndarray, tables: int = 1) -> DataFrame:
+    """(id, table_no, bucket): on which side of each plane a centred vector lies; the planes are dealt to the tables in order.
+
+    The centre is the mean of all vectors (one row). Null vectors, or those of another length, are in no bucket.
+    """
+    bits = len(planes) // tables
+    if not 1 <= bits <= 62:
+        raise ValueError(f"{len(planes)} planes do not give {tables} tables 1 to 62 bits each")
+    n = planes.shape[1]
+    fit = vectors.where(F.size(vector) == n).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    centre = fit.agg(*[F.avg(F.col("v")[i]).alias(f"c{i}") for i in range(n)]).first()
+    offset = np.zeros(len(planes)) if centre["c0"] is None else planes @ np.array(list(centre))
+    shared = vectors.sparkSession.sparkContext.broadcast((planes.T.copy(), offset))
+
+    @F.arrow_udf("array<bigint>")
+    def sides(v: pa.Array) -> pa.Array:
+        normal, at = shared.value
+        x = np.asarray(v.flatten()).reshape(len(v), n)
+        keys = ((x @ normal > at).reshape(len(x), tables, bits).astype(np.int64) << np.arange(bits)).sum(axis=2)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, np.int32)), pa.array(keys.ravel()))
+
+    return fit.select("id", F.posexplode(sides("v")).alias("table_no", "bucket"))
+
+
+def tables_for(threshold: float, bits: int, miss: float = 5e-4) -> int:
+    """Tables until two vectors at the cosine ``threshold`` share no bucket with at most the chance ``miss``."""
+    alike = (1 - math.acos(threshold) / math.pi) ** bits
+    return math.ceil(math.log(miss) / math.log(1 - alike)) if alike < 1 else 1
+
+
+def similar_vectors(left: DataFrame, right: DataFrame, id_col: str, vector: str, threshold: float, bits: int = 10) -> DataFrame:
+    """(a, b, similarity): vectors of both sides with a cosine of at least ``threshold``.
+
+    Pairs that share a bucket of one of the tables (see ``tables_for``) are compared exactly; so
+    nothing wrong comes out and a pair right at the threshold is missed with a chance of 0.05 %.
+    """
+    rows = materialize(left.select(F.lit("a").alias("side"), F.col(id_col).alias("id"), F.col(vector).alias("v")).unionByName(right.select(F.lit("b").alias("side"), F.col(id_col).alias("id"), F.col(vector).alias("v"))).where("v IS NOT NULL"), "vectors")
+    first = rows.select(F.size("v").alias("n")).limit(1).collect()
+    tables = tables_for(threshold, bits)
+    planes = gaussian_planes(tables * bits, first[0]["n"] if first else 1)
+    met = projection_buckets(rows.select(F.struct("side", "id").alias("key"), "v"), "key", "v", planes, tables).select("id.side", "id.id", "table_no", "bucket")
+    side = lambda x: met.where(F.col("side") == x).select(F.col("id").alias(x), "table_no", "bucket")
+    pairs = side("a").join(side("b"), ["table_no", "bucket"]).select("a", "b").distinct()
+    full = lambda x: rows.where(F.col("side") == x).select(F.col("id").alias(x), F.col("v").cast("array<double>").alias(f"v{x}"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, z: t + z)
+    cosine = dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))
+    return pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", cosine.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def all_pairs_above(sets: DataFrame, id_col: str, items: str, threshold: float, most: int = 5_000) -> DataFrame:
+    """(a, b, similarity) by comparing every pair: the yardstick for ``similar_sets`` on small tables; more than ``most`` rows are refused."""
+    n = sets.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} sets are not compared pair by pair")
+    a, b = sets.select(F.col(id_col).alias("a"), F.col(items).alias("sa")), sets.select(F.col(id_col).alias("b"), F.col(items).alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    pairs = a.join(b, F.col("a") < F.col("b")).select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
+    return pairs.where(F.col("similarity") > threshold)
 
 
 def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-
-
-__all__ = ["duplicate_classes", "first_of_each", "projection_bucket", "rewrite_table", "similar_sets"]

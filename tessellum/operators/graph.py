@@ -1,7 +1,7 @@
 """Graph analytics over edge tables (src, dst[, weight]).
 
-Iterations are joins and aggregations; every few rounds the state is written and read back so
-plans stay short.
+Iterations are joins and aggregations; every round is written, its sums are taken while it is
+written, and the next round reads it back, so a plan holds one round.
 """
 
 from __future__ import annotations
@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import discard, load, materialize, store
+from ..storage import discard, load, materialize, scope, store_counting, store_measuring
 
-ROUNDS_PER_PLAN = 5
+MOST_ATTRIBUTES = 100
 
 
 def neighbour_pairs(docs: DataFrame, doc: str = "doc", node: str = "node") -> DataFrame:
@@ -20,87 +20,122 @@ def neighbour_pairs(docs: DataFrame, doc: str = "doc", node: str = "node") -> Da
     return a.join(b, "d").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 10, teleport: float = 0.15, seeds: DataFrame | None = None, decimals: int = 9) -> DataFrame:
-    """(node, score) after a fixed number of rounds; weights count, dangling mass returns by the jump vector.
+def pagerank(edges: DataFrame, iterations: int = 10, teleport: float = 0.15, jump: DataFrame | None = None, even: float = 0.0, tolerance: float | None = None, decimals: int = 9) -> DataFrame:
+    """(node, score) of a weighted random walk; the walk's lost mass at dead ends returns by the jump.
 
-    With ``seeds`` (node) the jump goes to them alone; seeds outside the graph do not count and
-    without any the result is empty.
+    ``jump`` (node[, weight]): where the walk may start anew, in proportion to the weights; nodes
+    outside the graph do not count, and without any inside the result is empty.  The share
+    ``even`` of the jump goes to all nodes alike (1 without ``jump``).  ``tolerance`` ends the
+    rounds when the scores' relative change (Euclidean) is no larger.
     """
-    edges = materialize(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "edges")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    if seeds is None:
-        n = nodes.count()
-        jump = nodes.withColumn("jump", F.lit(1.0 / max(n, 1)))
-    else:
-        inside = nodes.join(seeds.select("node").distinct(), "node", "left_semi").withColumn("hit", F.lit(True))
-        n = inside.count()
-        if not n:
-            return nodes.limit(0).withColumn("score", F.lit(0.0))
-        jump = nodes.join(inside, "node", "left").select("node", F.when(F.col("hit"), 1.0 / n).otherwise(0.0).alias("jump"))
-    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = materialize(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
-    base = materialize(jump.join(total.select(F.col("src").alias("node"), F.lit(False).alias("sink")), "node", "left").select("node", "jump", F.coalesce("sink", F.lit(True)).alias("sink")), "nodes")
-    state = base.select("node", F.col("jump").alias("score"))
-    path = None
-    for i in range(iterations):
-        lost = base.where("sink").join(state, "node").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))  # one row
-        flow = shares.join(state, shares["src"] == state["node"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-        state = (
-            base.join(flow, F.col("node") == F.col("dst"), "left")
-            .crossJoin(F.broadcast(lost))
-            .select("node", (teleport * F.col("jump") + (1 - teleport) * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.col("jump"))).alias("score"))
-        )
-        if (i + 1) % ROUNDS_PER_PLAN == 0 and i + 1 < iterations:
-            new = store(state, "rank")
-            if path:
-                discard(state.sparkSession, path)
-            path, state = new, load(state.sparkSession, new, state)
-    return state.select("node", F.round("score", decimals).alias("score"))
-
-
-def distances(edges: DataFrame, seeds: DataFrame, limit: int = 20) -> DataFrame:
-    """(seed, node, dist): fewest steps along edges from each seed, up to ``limit`` steps."""
+    spark = edges.sparkSession
+    with scope(spark) as keep:
+        total = edges.groupBy("src").agg(F.sum(F.col("weight").cast("double")).alias("total"))
+        shares = edges.join(total, "src").groupBy("src", "dst").agg((F.sum(F.col("weight").cast("double")) / F.max("total")).alias("share"))
+        shares = materialize(shares, "shares")
+        nodes = shares.select(F.col("src").alias("node"), F.lit(False).alias("sink")).union(shares.select("dst", F.lit(True))).groupBy("node").agg(F.min("sink").alias("sink"))
+        if jump is None:
+            given, even = nodes.withColumn("prior", F.lit(0.0)), 1.0
+        else:
+            prior = (jump if "weight" in jump.columns else jump.withColumn("weight", F.lit(1.0))).groupBy("node").agg(F.sum(F.col("weight").cast("double")).alias("prior"))
+            given = nodes.join(prior, "node", "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
+        path, m = store_measuring(given, "nodes", n=F.count(F.lit(1)), prior=F.sum("prior"))
+        n, mass = m["n"], m["prior"] or 0.0
+        if not n or (jump is not None and not mass):
+            return nodes.limit(0).select("node", F.lit(0.0).alias("score"))
+        to = F.lit(even / n) + (F.col("prior") * ((1 - even) / mass) if jump is not None else F.lit(0.0))
+        start = load(spark, path, given).select("node", "sink", to.alias("jump"), to.alias("score"), F.lit(0.0).alias("change"))
+        lost_mass = F.sum(F.when(F.col("sink"), F.col("score")).otherwise(0.0))
+        path, m = store_measuring(start, "rank", lost=lost_mass)
+        for _ in range(iterations):
+            state = load(spark, path, start)
+            flow = shares.join(state.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
+            score = teleport * F.col("jump") + (1 - teleport) * (F.coalesce("flow", F.lit(0.0)) + F.lit(m["lost"]) * F.col("jump"))
+            after = state.join(flow, "node", "left").select("node", "sink", "jump", score.alias("score"), (score - F.col("score")).alias("change"))
+            before = path
+            path, m = store_measuring(after, "rank", lost=lost_mass, moved=F.sum(F.col("change") * F.col("change")), length=F.sum(F.col("score") * F.col("score")))
+            discard(spark, before)
+            if tolerance is not None and m["moved"] <= tolerance**2 * m["length"]:
+                break
+        return keep(load(spark, path, start).select("node", F.round("score", decimals).alias("score")), "scores")
+
+
+def attribute_jump(rows: DataFrame, attributes: list[str], gamma: float | None = None) -> DataFrame:
+    """(node, weight): how alike each node's attributes are to those of all nodes.
+
+    The likeness exp(-gamma |x - y|^2) of standardised attributes (gamma = 1 / their number),
+    its mixed term expanded to second order, is a polynomial in one node's attributes whose
+    coefficients are sums over all nodes; so one aggregation replaces the comparison of pairs.
+    Constant attributes count as 0, nulls as the attribute's mean.
+    """
+    d = len(attributes)
+    if not 0 < d <= MOST_ATTRIBUTES:
+        raise ValueError(f"{d} attributes; 1 to {MOST_ATTRIBUTES} are allowed")
+    gamma = 1.0 / d if gamma is None else gamma
+    stats = rows.agg(*[f(F.col(a).cast("double")).alias(f"{k}{i}") for i, a in enumerate(attributes) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()  # one row
+    mean, spread = [stats[f"m{i}"] or 0.0 for i in range(d)], [stats[f"s{i}"] or 0.0 for i in range(d)]
+    z = [F.coalesce((F.col(a).cast("double") - mean[i]) / spread[i], F.lit(0.0)) if spread[i] else F.lit(0.0) for i, a in enumerate(attributes)]
+    x = rows.select("node", *[c.alias(f"x{i}") for i, c in enumerate(z)])
+    own = F.exp(-gamma * sum((F.col(f"x{i}") * F.col(f"x{i}") for i in range(d)), F.lit(0.0)))
+    x = x.withColumn("w", own)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    sums = x.agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(f"x{i}")).alias(f"x{i}") for i in range(d)], *[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"x{i}_{j}") for i, j in pairs])  # one row
+    both = x.crossJoin(F.broadcast(sums.select([F.col(c).alias(f"t_{c}") for c in sums.columns])))
+    linear = sum((F.col(f"x{i}") * F.col(f"t_x{i}") for i in range(d)), F.lit(0.0))
+    square = sum((F.col(f"x{i}") * F.col(f"x{j}") * F.col(f"t_x{i}_{j}") * (1.0 if i == j else 2.0) for i, j in pairs), F.lit(0.0))
+    return both.select("node", (F.col("w") * (F.col("t_w") + 2 * gamma * linear + 2 * gamma * gamma * square)).alias("weight"))
+
+
+def distances(edges: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
+    """(seed, node, dist): fewest steps along edges from each seed; beyond ``limit`` steps none."""
     spark = edges.sparkSession
     edges = materialize(edges.select("src", "dst").distinct(), "steps")
     start = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("dist", F.lit(0))
-    paths = [store(start, "dist")]
-    frontier = load(spark, paths[0], start)
-    for step in range(1, limit + 1):
+    path, n = store_counting(start, "dist", all="true")
+    paths, step = [path], 0
+    while n["all"] and (limit is None or step < limit):
+        step += 1
         seen = spark.read.schema(start.schema).parquet(*paths)
+        frontier = load(spark, paths[-1], start)
         nxt = frontier.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
         fresh = nxt.join(seen, ["seed", "node"], "left_anti").withColumn("dist", F.lit(step))
-        new = store(fresh.select(*start.columns), "dist")
-        frontier = load(spark, new, start)
-        if not frontier.limit(1).count():
-            break
-        paths.append(new)
+        path, n = store_counting(fresh.select(*start.columns), "dist", all="true")
+        paths.append(path)
     return spark.read.schema(start.schema).parquet(*paths)
 
 
+def distance_histogram(dist: DataFrame, n_pairs: DataFrame, most: int = 20) -> DataFrame:
+    """(dist, n): pairs by distance; ``most + 1`` holds the farther ones and ``most + 2`` those without a way. ``n_pairs`` (n): one row, all pairs."""
+    near = dist.groupBy(F.least("dist", F.lit(most + 1)).alias("dist")).agg(F.count("*").alias("n"))
+    none = n_pairs.crossJoin(dist.agg(F.count("*").alias("r"))).select(F.lit(most + 2).alias("dist"), (F.col("n") - F.col("r")).alias("n"))  # one row each
+    return near.unionByName(none.where("n > 0"))
+
+
 def _weighted_distances(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node, dist): least sum of weights from each seed, relaxed until nothing changes."""
     spark = edges.sparkSession
     start = seeds.select(F.col("node").alias("seed"), "node", F.lit(0.0).alias("dist"), F.lit(True).alias("fresh"))
-    path = store(start, "relax")
-    state = load(spark, path, start)
-    while state.where("fresh").limit(1).count():
+    path, n = store_counting(start, "relax", fresh="fresh")
+    while n["fresh"]:
+        state = load(spark, path, start)
         steps = state.where("fresh").join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.lit(False).alias("old"))
         both = state.select("seed", "node", "dist", F.lit(True).alias("old")).unionByName(steps).groupBy("seed", "node").agg(F.min("dist").alias("dist"), F.min(F.when(F.col("old"), F.col("dist"))).alias("was"))
-        new = store(both.select("seed", "node", "dist", (F.col("was").isNull() | (F.col("dist") < F.col("was"))).alias("fresh")), "relax")
-        discard(spark, path)
-        path, state = new, load(spark, new, start)
-    return state.select("seed", "node", "dist")
+        before = path
+        path, n = store_counting(both.select("seed", "node", "dist", (F.col("was").isNull() | (F.col("dist") < F.col("was"))).alias("fresh")), "relax", fresh="fresh")
+        discard(spark, before)
+    return load(spark, path, start).select("seed", "node", "dist")
 
 
 def _path_counts(start: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, node, n): number of walks from the start rows (*keys, node, n) along the acyclic steps (seed, src, dst)."""
     spark = start.sparkSession
-    paths = [store(start, "counts")]
-    frontier = load(spark, paths[0], start)
-    while frontier.limit(1).count():
-        ahead = frontier.join(steps, (frontier["seed"] == steps["seed"]) & (frontier["node"] == steps["src"]))
-        paths.append(store(ahead.groupBy(*[frontier[k] for k in keys], F.col("dst").alias("node")).agg(F.sum("n").alias("n")), "counts"))
+    path, n = store_counting(start, "counts", all="true")
+    paths = [path]
+    while n["all"]:
         frontier = load(spark, paths[-1], start)
+        ahead = frontier.join(steps, (frontier["seed"] == steps["seed"]) & (frontier["node"] == steps["src"]))
+        path, n = store_counting(ahead.groupBy(*[frontier[k] for k in keys], F.col("dst").alias("node")).agg(F.sum("n").alias("n")), "counts", all="true")
+        paths.append(path)
     return spark.read.schema(start.schema).parquet(*paths).groupBy(*keys, "node").agg(F.sum("n").alias("n"))
 
 
@@ -157,6 +192,11 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 
 def strongest(edges: DataFrame, n: int) -> DataFrame:
-    """The ``n`` heaviest edges out of every node."""
+    """The ``n`` heaviest edges out of every node; the window's limit is applied before the shuffle as well."""
     w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
     return edges.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
+
+
+def with_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nodes (node) of a filtered graph with the seeds, which may have lost all their edges."""
+    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(seeds.select("node")).distinct()

@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import load, materialize, store_counting
+from ..storage import load, store_counting
 
 RANGE_KEYS = 500_000  # parents of one range at most, about
-SALT_ROWS = 400_000  # references of one task at most, about
+SALT_ROWS = 200_000  # references of one task at most, about
 SAMPLE_PER_RANGE = 60
 KEY_BYTES = 64
 OUT = "table_name string, field_name string, row_id bigint, loaded_at timestamp, reason string"
@@ -90,7 +90,9 @@ def find_orphans(references: DataFrame, parents: DataFrame, text: bool) -> DataF
     spark = references.sparkSession
     path, n = store_counting(parents, "parents", all="true")
     parents, n_parents = load(spark, path, parents), n["all"]
-    n_ranges = max(1, -(-n_parents // RANGE_KEYS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_parents // 1000))
+    path, n = store_counting(references, "references", all="true")
+    references = load(spark, path, references)
+    n_ranges = max(1, -(-n_parents // RANGE_KEYS), min(-(-n["all"] // SALT_ROWS), n_parents), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_parents // 1000))
     share = min(1.0, n_ranges * SAMPLE_PER_RANGE / max(1, n_parents))
     sample = parents.select("key") if share == 1.0 else parents.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key")
     keys = np.sort(_as_array(sample.toArrow()["key"], text))
@@ -101,7 +103,7 @@ def find_orphans(references: DataFrame, parents: DataFrame, text: bool) -> DataF
     def range_of(key: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(shared.value, _as_array(key, text), side="right").astype(np.int32))
 
-    references = materialize(references.withColumn("rng", range_of("key")), "references")
+    references = references.withColumn("rng", range_of("key"))
     counts = references.groupBy("rng").agg(F.count("*").alias("n")).toArrow()  # one row a range
     parts = np.ones(n_ranges, np.int64)
     parts[counts["rng"].to_numpy()] = -(-counts["n"].to_numpy() // SALT_ROWS)

@@ -13,6 +13,9 @@ from . import base
 from .tables import table
 
 ROUNDS, TELEPORT = 10, 0.15
+MOST_ROUNDS, TOLERANCE = 30, 1e-3
+ATTRIBUTES = ["n_fragments", "n_docs", "n_chars"]
+HOPS = 3
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,64 +103,81 @@ def personalized_pagerank(spark: SparkSession, sf: str) -> DataFrame:
     return graph.pagerank(_page_edges(spark, sf), ROUNDS, TELEPORT, _seeds(spark, sf))
 
 
-def attribute_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """PageRank whose jump favours pages with long texts: two halves of jump, even and by length."""
-    docs = table(spark, sf, "documents").where("page_id IS NOT NULL AND n_chars > 1000").select(F.col("page_id").alias("node")).distinct()
-    return graph.pagerank(_page_edges(spark, sf), ROUNDS, TELEPORT, docs)
+def prior_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """PageRank whose jump goes half to all pages alike, half to pages in proportion to their documents."""
+    prior = table(spark, sf, "documents").where("page_id IS NOT NULL").groupBy(F.col("page_id").alias("node")).agg(F.count("*").alias("weight"))
+    return graph.pagerank(_page_edges(spark, sf), ROUNDS, TELEPORT, prior, even=0.5)
+
 
+def converged_pagerank(spark: SparkSession, sf: str) -> DataFrame:
+    """PageRank until the scores change by less than a thousandth."""
+    return graph.pagerank(_page_edges(spark, sf), MOST_ROUNDS, TELEPORT, tolerance=TOLERANCE)
 
-def _rank_sql(edges: str, seeds: str | None) -> str:
-    jump = "SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM node) AS jump FROM node" if seeds is None else f"SELECT node, CASE WHEN node IN (SELECT node FROM {seeds}) THEN 1.0::DOUBLE / (SELECT count(*) FROM {seeds} WHERE node IN (SELECT node FROM node)) ELSE 0 END AS jump FROM node"
+
+def attribute_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """PageRank whose jump favours pages that are like the others in fragments, documents and characters."""
+    edges = materialize(_page_edges(spark, sf), "page_edges")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    parts = base.fragments(spark, sf).groupBy(F.col("page_id").alias("node")).agg(F.count("*").alias("n_fragments"))
+    docs = table(spark, sf, "documents").groupBy(F.col("page_id").alias("node")).agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+    rows = nodes.join(parts, "node", "left").join(docs, "node", "left").select("node", *[F.log1p(F.coalesce(c, F.lit(0))).alias(c) for c in ATTRIBUTES])
+    return graph.pagerank(edges, ROUNDS, TELEPORT, graph.attribute_jump(rows, ATTRIBUTES))
+
+
+def _rank_sql(edges: str, jumps: str | None = None, rounds: int = ROUNDS) -> str:
+    """CTEs r0..rN of the walk; ``jumps``: SQL of (node, jump)."""
+    jumps = jumps or "SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM node) AS jump FROM node"
     parts = [
         f"node AS (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges})",
-        f"jumps AS ({jump})",
+        f"jumps AS MATERIALIZED ({jumps})",
         f"tot AS (SELECT src, sum(weight)::DOUBLE AS total FROM {edges} GROUP BY src)",
-        f"share AS (SELECT e.src, e.dst, e.weight / t.total AS share FROM {edges} e JOIN tot t USING (src))",
+        f"share AS MATERIALIZED (SELECT e.src, e.dst, e.weight / t.total AS share FROM {edges} e JOIN tot t USING (src))",
         "r0 AS (SELECT node, jump AS score FROM jumps)",
     ]
-    for i in range(1, ROUNDS + 1):
+    for i in range(1, rounds + 1):
         parts.append(
-            f"r{i} AS (SELECT j.node, {TELEPORT} * j.jump + (1 - {TELEPORT}) * (coalesce(f.flow, 0) + coalesce((SELECT sum(score) FROM r{i - 1} WHERE node NOT IN (SELECT src FROM tot)), 0) * j.jump) AS score "
+            f"r{i} AS MATERIALIZED (SELECT j.node, {TELEPORT} * j.jump + (1 - {TELEPORT}) * (coalesce(f.flow, 0) + coalesce((SELECT sum(score) FROM r{i - 1} WHERE node NOT IN (SELECT src FROM tot)), 0) * j.jump) AS score "
             f"FROM jumps j LEFT JOIN (SELECT dst, sum(score * share) AS flow FROM share JOIN r{i - 1} ON node = src GROUP BY dst) f ON f.dst = j.node)"
         )
     return ", ".join(parts)
 
 
+def _prior_sql(prior: str, even: float = 0.0) -> str:
+    """Jumps in proportion to ``prior`` (node, weight), the share ``even`` to all nodes alike."""
+    return f"SELECT node, {even} / (SELECT count(*) FROM node) + (1 - {even}) * coalesce(weight, 0) / (SELECT sum(weight) FROM {prior} WHERE node IN (SELECT node FROM node))::DOUBLE AS jump FROM node LEFT JOIN {prior} USING (node)"
+
+
 def seed_distances(spark: SparkSession, sf: str) -> DataFrame:
     return graph.distances(_page_edges(spark, sf), _seeds(spark, sf))
 
 
 def distance_hist(spark: SparkSession, sf: str) -> DataFrame:
-    return seed_distances(spark, sf).groupBy("dist").agg(F.count("*").alias("n"))
+    """Pairs of a seed and a page by distance; 21 holds the farther ones, 22 those without a way."""
+    e, seeds = materialize(_page_edges(spark, sf), "page_edges"), materialize(_seeds(spark, sf), "seeds")
+    n = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().agg(F.count("*").alias("p")).crossJoin(seeds.agg(F.count("*").alias("s"))).select((F.col("p") * F.col("s")).alias("n"))  # one row
+    return graph.distance_histogram(graph.distances(e, seeds), n)
+
+
+def distance_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Number and mean of the distances from seeds."""
+    return seed_distances(spark, sf).where("dist > 0").agg(F.count("*").alias("n"), F.round(F.avg("dist"), 9).alias("mean"))
 
 
 def k_hop_paths(spark: SparkSession, sf: str) -> DataFrame:
-    s = _seeds(spark, sf)
+    """Simple paths of up to HOPS steps between the seeds."""
+    s = materialize(_seeds(spark, sf), "seeds")
     pairs = s.select(F.col("node").alias("a")).crossJoin(s.select(F.col("node").alias("b"))).where("a <> b")  # five seeds
-    return graph.paths_up_to(_page_edges(spark, sf), pairs, 2).select("a", "b", F.array_join("path", "|").alias("path"))
+    return graph.paths_up_to(_page_edges(spark, sf), pairs, HOPS).select("a", "b", F.array_join("path", "|").alias("path"))
 
 
 def shortest_path_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Inner nodes of the shortest seed-to-seed paths of up to two steps, each path worth 1 / number of paths."""
-    p = k_hop_paths(spark, sf).select("a", "b", F.split("path", "\\|").alias("p"))
-    shortest = p.withColumn("len", F.size("p")).withColumn("best", F.min("len").over(Window.partitionBy("a", "b"))).where("len = best")
-    n = shortest.withColumn("w", 1 / F.count("*").over(Window.partitionBy("a", "b")))
-    inner = n.where("len > 2").select(F.explode(F.expr("slice(p, 2, len - 2)")).alias("node"), "w")
-    return inner.groupBy("node").agg(F.round(F.sum("w"), 9).alias("score"))
-
-
-def shortest_path_node_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Inner nodes of all shortest seed-to-seed paths of any length; weights are distances, edges between seeds are left out."""
     return graph.shortest_path_scores(_page_edges(spark, sf), _seeds(spark, sf))
 
 
-def ancestor_recursion(spark: SparkSession, sf: str) -> DataFrame:
-    """Parents up to three levels above each fragment by a recursive query."""
-    base.fragments(spark, sf).select("id", "parent").createOrReplaceTempView("tessellum_frag")
-    return spark.sql("""WITH RECURSIVE up(id, ancestor, level) AS (
-        SELECT id, parent, 1 FROM tessellum_frag WHERE parent IS NOT NULL
-        UNION ALL SELECT u.id, f.parent, u.level + 1 FROM up u JOIN tessellum_frag f ON f.id = u.ancestor WHERE f.parent IS NOT NULL AND u.level < 3)
-        SELECT id, ancestor, level FROM up LIMIT ALL""")
+def topn_edges_with_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes left by the two heaviest edges of each page, and the seeds."""
+    return graph.with_seeds(graph.strongest(_page_edges(spark, sf), 2).where("weight > 1"), _seeds(spark, sf))
 
 
 def ancestor_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,19 +211,21 @@ def _sets(spark: SparkSession, sf: str) -> DataFrame:
     return base.paragraphs(spark, sf).select("id", text.bigram_set(F.col("content")).alias("set")).where(F.size("set") > 0)
 
 
-def _classes(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.duplicate_classes(_sets(spark, sf), "id", "set")
+def _keyed(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.keyed_sets(_sets(spark, sf), "id", "set")
+
+
+def _pairs(keyed: DataFrame) -> DataFrame:
+    return dedup.similar_sets(dedup.class_sets(keyed), "id", "set", 0.8).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 def jaccard_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Classes of equal bigram sets, named by their smallest id, that overlap above 0.8."""
-    sets = _sets(spark, sf)
-    reps = sets.join(_classes(spark, sf).where("id = class_id").select("id"), "id", "left_semi")
-    return dedup.similar_sets(reps, "id", "set", 0.8).select("a", "b", F.round("similarity", 9).alias("similarity"))
+    return _pairs(_keyed(spark, sf))
 
 
 def dup_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return _classes(spark, sf)
+    return dedup.duplicate_classes(_keyed(spark, sf))
 
 
 def dup_components(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,7 +233,9 @@ def dup_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dup_rewrite_table(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.rewrite_table(jaccard_dup_pairs(spark, sf), _classes(spark, sf)).where("id <> canonical")
+    """Sets are cut and keyed once; classes and pairs both read them."""
+    keyed = _keyed(spark, sf)
+    return dedup.rewrite_table(_pairs(keyed), dedup.duplicate_classes(keyed)).where("id <> canonical")
 
 
 def dup_map_run(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,11 +251,12 @@ def dup_rewrite_pages(spark: SparkSession, sf: str) -> DataFrame:
     return base.placements(spark, sf).join(t, F.col("paragraph_id") == F.col("id"), "left").select(F.coalesce("canonical", "paragraph_id").alias("paragraph_id"), "fragment").distinct()
 
 
-PLANES = [[((i * 37 + j * 17 + 11) % 23 - 11) / 11 for j in range(64)] for i in range(10)]
+PLANES = dedup.gaussian_planes(10, 64)
 
 
 def lsh_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", dedup.projection_bucket("embedding", PLANES).alias("bucket"))
+    """Centred vectors by their sides of ten Gaussian planes."""
+    return dedup.projection_buckets(table(spark, sf, "embeddings"), "vec_id", "embedding", PLANES).select(F.col("id").alias("vec_id"), "bucket")
 
 
 def bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,10 +264,10 @@ def bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def match_two_corpora(spark: SparkSession, sf: str) -> DataFrame:
-    """Even vectors against odd ones by bucket: the number of partners each even vector meets."""
-    b = lsh_buckets(spark, sf)
-    odd = b.where("vec_id % 2 = 1").groupBy("bucket").agg(F.count("*").alias("n"))
-    return b.where("vec_id % 2 = 0").join(odd, "bucket").select("vec_id", "bucket", "n")
+    """All vectors against blurred copies of them (every eighth number 0): pairs with a cosine of at least 0.9."""
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    blurred = v.select("vec_id", F.transform("embedding", lambda x, i: F.when(i % 8 == 0, F.lit(0.0).cast("float")).otherwise(x)).alias("embedding"))
+    return dedup.similar_vectors(v, blurred, "vec_id", "embedding", 0.9).withColumn("similarity", F.round("similarity", 6))
 
 
 def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,7 +281,7 @@ def minhash_approx(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.feature import HashingTF, MinHashLSH
 
     # written first: else the optimiser may hash before it has dropped the empty sets
-    rows = materialize(_sets(spark, sf).join(_classes(spark, sf).where("id = class_id").select("id"), "id", "left_semi"), "sets")
+    rows = materialize(dedup.class_sets(_keyed(spark, sf)), "sets")
     vectors = HashingTF(inputCol="set", outputCol="features", binary=True, numFeatures=1 << 20).transform(rows)
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=5, seed=1).fit(vectors)
     return model.approxSimilarityJoin(vectors, vectors, 0.2, "dist").where("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.round("dist", 6).alias("dist"))
@@ -268,14 +293,40 @@ shared AS (SELECT x.id AS a, y.id AS b, count(*) AS k, any_value(x.n) AS na, any
 pairs AS (SELECT a, b, round(k / (na + nb - k), 9) AS similarity FROM shared WHERE k / (na + nb - k) > 0.8)"""
 _COMP = "reach AS (SELECT a AS x, b AS y FROM ends UNION SELECT r.x, e.b FROM reach r JOIN ends e ON e.a = r.y)"
 _TABLE = f"{_PAIRS}, ends AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT class_id, id FROM classes WHERE id <> class_id UNION SELECT id, class_id FROM classes WHERE id <> class_id), {_COMP}, tab AS (SELECT x AS id, least(x, min(y)) AS canonical FROM reach GROUP BY x), rewrite AS (SELECT * FROM tab WHERE id <> canonical)"
-_DOT = " + ".join("CASE WHEN list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), [" + ", ".join(f"{x!r}::DOUBLE" for x in p) + f"]) > 0 THEN {1 << i} ELSE 0 END" for i, p in enumerate(PLANES))
-_BUCKETS = f"buckets AS (SELECT vec_id, CAST({_DOT} AS BIGINT) AS bucket FROM embeddings)"
-_REACH = f"{_SEEDS}, e AS (SELECT DISTINCT src, dst FROM pedge), d AS (SELECT node AS seed, node, 0 AS dist FROM seed UNION SELECT d.seed, e.dst, d.dist + 1 FROM d JOIN e ON e.src = d.node WHERE d.dist < 6), dist AS (SELECT seed, node, min(dist) AS dist FROM d GROUP BY ALL)"
-_HOPS = f"{_SEEDS}, e AS (SELECT DISTINCT src, dst FROM pedge), ends AS (SELECT x.node AS a, y.node AS b FROM seed x, seed y WHERE x.node <> y.node), paths AS (SELECT a, b, [a, b] AS p FROM ends JOIN e ON e.src = a AND e.dst = b UNION ALL SELECT a, b, [a, e1.dst, b] FROM ends JOIN e e1 ON e1.src = a JOIN e e2 ON e2.src = e1.dst AND e2.dst = b WHERE e1.dst <> a AND e1.dst <> b)"
+_CENTRE = "centre AS (SELECT list(c ORDER BY d) AS c FROM (SELECT d, avg(x) AS c FROM (SELECT unnest(range(1, 65)) AS d, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY d))"
+_DOT = " + ".join("CASE WHEN list_dot_product(list_transform(list_zip(embedding::DOUBLE[], c), lambda p: p[1] - p[2]), [" + ", ".join(f"{float(x)!r}::DOUBLE" for x in p) + f"]) > 0 THEN {1 << i} ELSE 0 END" for i, p in enumerate(PLANES))
+_BUCKETS = f"{_CENTRE}, buckets AS (SELECT vec_id, CAST({_DOT} AS BIGINT) AS bucket FROM embeddings, centre)"
+_REACH = f"""{_SEEDS}, e AS (SELECT DISTINCT src, dst FROM pedge), dist(seed, node, dist) USING KEY (seed, node) AS (SELECT node, node, 0 FROM seed UNION
+    SELECT d.seed, e.dst, min(d.dist + 1) FROM dist d JOIN e ON e.src = d.node LEFT JOIN recurring.dist r ON r.seed = d.seed AND r.node = e.dst WHERE r.dist IS NULL GROUP BY d.seed, e.dst)"""
+_HOPS = f"""{_SEEDS}, e AS (SELECT DISTINCT src, dst FROM pedge), paths AS (SELECT x.node AS a, y.node AS b, [x.node] AS p FROM seed x, seed y WHERE x.node <> y.node
+    UNION ALL SELECT a, b, list_append(p, dst) FROM paths JOIN e ON e.src = p[-1] WHERE p[-1] <> b AND len(p) <= {HOPS} AND NOT list_contains(p, dst))"""
+_LENGTHS = f"{_SEEDS}, e AS MATERIALIZED (SELECT src, dst, greatest(weight, 0.001)::DOUBLE AS w FROM pedge WHERE src NOT IN (SELECT node FROM seed) OR dst NOT IN (SELECT node FROM seed))"
+_SHORTEST = f"""{_LENGTHS}, far(seed, node, dist) USING KEY (seed, node) AS (SELECT node, node, 0.0::DOUBLE FROM seed UNION
+        SELECT d.seed, e.dst, min(d.dist + e.w) FROM far d JOIN e ON e.src = d.node LEFT JOIN recurring.far r ON r.seed = d.seed AND r.node = e.dst WHERE r.dist IS NULL OR d.dist + e.w < r.dist GROUP BY d.seed, e.dst),
+    tight AS MATERIALIZED (SELECT a.seed, e.src, e.dst FROM far a JOIN e ON e.src = a.node JOIN far b ON b.seed = a.seed AND b.node = e.dst WHERE a.dist + e.w = b.dist),
+    ways AS (SELECT f.seed, f.node AS goal, [f.node] AS p FROM far f WHERE f.node IN (SELECT node FROM seed) AND f.node <> f.seed
+        UNION ALL SELECT w.seed, w.goal, list_prepend(t.src, w.p) FROM ways w JOIN tight t ON t.seed = w.seed AND t.dst = w.p[1]),
+    whole AS (SELECT p FROM ways WHERE p[1] = seed)"""
+_ATTRIBUTES = ", ".join(f"ln(1 + coalesce({c}, 0)) AS {c}" for c in ATTRIBUTES)
+_Z = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) AS x{i}" for i, c in enumerate(ATTRIBUTES))
+_AXES = range(len(ATTRIBUTES))
+_GAMMA = 1 / len(ATTRIBUTES)
+_LIKE = f"""raw AS (SELECT node, {_ATTRIBUTES} FROM (SELECT src AS node FROM pedge UNION SELECT dst FROM pedge) LEFT JOIN (SELECT page_id AS node, count(*) AS n_fragments FROM frag GROUP BY ALL) USING (node) LEFT JOIN (SELECT page_id AS node, count(*) AS n_docs, sum(n_chars) AS n_chars FROM documents GROUP BY ALL) USING (node)),
+    z AS (SELECT node, {_Z} FROM raw), zw AS MATERIALIZED (SELECT *, exp(-{_GAMMA} * ({' + '.join(f'x{i} * x{i}' for i in _AXES)})) AS w FROM z),
+    sums AS (SELECT sum(w) AS t, {', '.join(f'sum(w * x{i}) AS t{i}' for i in _AXES)}, {', '.join(f'sum(w * x{i} * x{j}) AS t{i}{j}' for i in _AXES for j in _AXES)} FROM zw),
+    likeness AS (SELECT node, w * (t + 2 * {_GAMMA} * ({' + '.join(f'x{i} * t{i}' for i in _AXES)}) + 2 * {_GAMMA} * {_GAMMA} * ({' + '.join(f'x{i} * x{j} * t{i}{j}' for i in _AXES for j in _AXES)})) AS weight FROM zw, sums)"""
+
+
+def _converged_sql() -> str:
+    """The first round whose change is small enough, else the last."""
+    changes = " UNION ALL ".join(f"SELECT {i} AS i, (SELECT sum((a.score - b.score) ** 2) <= {TOLERANCE**2} * sum(a.score ** 2) FROM r{i} a JOIN r{i - 1} b USING (node)) AS small" for i in range(1, MOST_ROUNDS + 1))
+    rounds = " UNION ALL ".join(f"SELECT {i} AS i, node, score FROM r{i}" for i in range(1, MOST_ROUNDS + 1))
+    return f"WITH {_PEDGES}, {_rank_sql('pedge', None, MOST_ROUNDS)}, c AS ({changes}), stop AS (SELECT coalesce(min(i) FILTER (small), {MOST_ROUNDS}) AS k FROM c) SELECT node, round(score, 9) AS score FROM ({rounds}) WHERE i = (SELECT k FROM stop)"
+
 
 QUERIES = {
     f.__name__: f
-    for f in (edge_docs, edge_graph, marginal_edges, degree_centrality, degree_stats, degree_hist, symmetric_edges, topn_edges, random_edges, pagerank, personalized_pagerank, attribute_rank, seed_distances, distance_hist, k_hop_paths, shortest_path_scores, shortest_path_node_scores, ancestor_recursion, ancestor_table, method_grid, graph_expansion_run, jaccard_dup_pairs, dup_classes, dup_components, dup_rewrite_table, dup_map_run, dup_rewrite_pages, lsh_buckets, bucket_counts, match_two_corpora, label_centroids, minhash_approx)
+    for f in (edge_docs, edge_graph, marginal_edges, degree_centrality, degree_stats, degree_hist, symmetric_edges, topn_edges, random_edges, pagerank, personalized_pagerank, prior_walk, converged_pagerank, attribute_rank, seed_distances, distance_hist, distance_summary, k_hop_paths, shortest_path_scores, topn_edges_with_seeds, ancestor_table, method_grid, graph_expansion_run, jaccard_dup_pairs, dup_classes, dup_components, dup_rewrite_table, dup_map_run, dup_rewrite_pages, lsh_buckets, bucket_counts, match_two_corpora, label_centroids, minhash_approx)
 }
 
 SQL = {
@@ -288,14 +339,18 @@ SQL = {
     "symmetric_edges": f"WITH {_EDGES} SELECT a.src, a.dst FROM edge a JOIN edge b ON a.src = b.dst AND a.dst = b.src",
     "topn_edges": f"WITH {_EDGES} SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM edge) WHERE k <= 2",
     "random_edges": f"WITH {_EDGES} SELECT src, dst FROM edge ORDER BY md5(src || '-' || dst) LIMIT 100",
-    "pagerank": f"WITH {_PEDGES}, {_rank_sql('pedge', None)} SELECT node, round(score, 9) AS score FROM r{ROUNDS}",
-    "personalized_pagerank": f"WITH {_SEEDS}, {_rank_sql('pedge', 'seed')} SELECT node, round(score, 9) AS score FROM r{ROUNDS}",
-    "attribute_rank": f"WITH {_PEDGES}, docs AS (SELECT DISTINCT page_id AS node FROM documents WHERE page_id IS NOT NULL AND n_chars > 1000), {_rank_sql('pedge', 'docs')} SELECT node, round(score, 9) AS score FROM r{ROUNDS}",
-    "seed_distances": f"WITH RECURSIVE {_REACH.replace('d.dist < 6', 'd.dist < 20')} SELECT seed, node, dist FROM dist",
-    "distance_hist": f"WITH RECURSIVE {_REACH.replace('d.dist < 6', 'd.dist < 20')} SELECT dist, count(*) AS n FROM dist GROUP BY ALL",
-    "k_hop_paths": f"WITH {_HOPS} SELECT a, b, array_to_string(p, '|') AS path FROM paths",
-    "shortest_path_scores": f"WITH {_HOPS}, s AS (SELECT *, min(len(p)) OVER (PARTITION BY a, b) AS best FROM paths), n AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY a, b) AS w FROM s WHERE len(p) = best) SELECT p[2] AS node, round(sum(w), 9) AS score FROM n WHERE best = 3 GROUP BY 1",
-    "ancestor_recursion": f"WITH RECURSIVE {base.FRAG}, up AS (SELECT id, parent AS ancestor, 1 AS level FROM frag WHERE parent IS NOT NULL UNION ALL SELECT u.id, f.parent, u.level + 1 FROM up u JOIN frag f ON f.id = u.ancestor WHERE f.parent IS NOT NULL AND u.level < 3) SELECT * FROM up",
+    "pagerank": f"WITH {_PEDGES}, {_rank_sql('pedge')} SELECT node, round(score, 9) AS score FROM r{ROUNDS}",
+    "personalized_pagerank": f"WITH {_SEEDS}, prior AS (SELECT node, 1 AS weight FROM seed), {_rank_sql('pedge', _prior_sql('prior'))} SELECT node, round(score, 9) AS score FROM r{ROUNDS}",
+    "prior_walk": f"WITH {_PEDGES}, prior AS (SELECT page_id AS node, count(*) AS weight FROM documents WHERE page_id IS NOT NULL GROUP BY ALL), {_rank_sql('pedge', _prior_sql('prior', 0.5))} SELECT node, round(score, 9) AS score FROM r{ROUNDS}",
+    "converged_pagerank": _converged_sql(),
+    "attribute_rank": f"WITH {_PEDGES}, {_LIKE}, {_rank_sql('pedge', _prior_sql('likeness'))} SELECT node, round(score, 9) AS score FROM r{ROUNDS}",
+    "seed_distances": f"WITH RECURSIVE {_REACH} SELECT seed, node, dist FROM dist",
+    "distance_hist": f"""WITH RECURSIVE {_REACH}, pairs AS (SELECT s.node AS seed, n.node FROM seed s, (SELECT src AS node FROM e UNION SELECT dst FROM e) n)
+        SELECT coalesce(least(dist, 21), 22) AS dist, count(*) AS n FROM pairs LEFT JOIN dist USING (seed, node) GROUP BY 1""",
+    "distance_summary": f"WITH RECURSIVE {_REACH} SELECT count(*) AS n, round(avg(dist), 9) AS mean FROM dist WHERE dist > 0",
+    "k_hop_paths": f"WITH RECURSIVE {_HOPS} SELECT a, b, array_to_string(p, '|') AS path FROM paths WHERE p[-1] = b",
+    "shortest_path_scores": f"WITH RECURSIVE {_SHORTEST} SELECT node, round(count(*) / (SELECT count(*) FROM whole), 9) AS score FROM (SELECT unnest(p[2:-2]) AS node FROM whole) GROUP BY node",
+    "topn_edges_with_seeds": f"WITH {_SEEDS}, top AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM pedge) WHERE k <= 2 AND weight > 1) SELECT src AS node FROM top UNION SELECT dst FROM top UNION SELECT node FROM seed",
     "ancestor_table": f"WITH RECURSIVE {base.FRAG}, up AS (SELECT id, parent AS ancestor, 1 AS level, [parent] AS seen FROM frag WHERE parent IS NOT NULL UNION ALL SELECT u.id, f.parent, u.level + 1, list_append(u.seen, f.parent) FROM up u JOIN frag f ON f.id = u.ancestor WHERE f.parent IS NOT NULL AND NOT list_contains(u.seen, f.parent)) SELECT id, ancestor, level FROM up",
     "method_grid": "SELECT concat_ws('-', g, w, k, method) AS name, method AS model FROM (VALUES ('full'), ('top10'), ('top100')) a(g), (VALUES ('count'), ('score'), ('reciprocal')) b(w), (VALUES ('pagerank'), ('personal'), ('margin')) c(k), ranking_methods",
     "graph_expansion_run": f"""WITH {base.RUN}, {_EDOCS}, {base.FRAG}, top AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM run WHERE method = 'bm25') WHERE r <= 20),
@@ -310,6 +365,7 @@ SQL = {
     "dup_rewrite_pages": f"WITH RECURSIVE {_TABLE}, {base.PLACE} SELECT DISTINCT coalesce(canonical, paragraph_id) AS paragraph_id, fragment FROM place LEFT JOIN rewrite ON id = paragraph_id",
     "lsh_buckets": f"WITH {_BUCKETS} SELECT * FROM buckets",
     "bucket_counts": f"WITH {_BUCKETS} SELECT bucket, count(*) AS n FROM buckets GROUP BY ALL",
-    "match_two_corpora": f"WITH {_BUCKETS}, o AS (SELECT bucket, count(*) AS n FROM buckets WHERE vec_id % 2 = 1 GROUP BY ALL) SELECT vec_id, bucket, n FROM buckets JOIN o USING (bucket) WHERE vec_id % 2 = 0",
+    "match_two_corpora": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(list_zip(embedding::DOUBLE[], range(0, 64)), lambda p: CASE WHEN p[2] % 8 = 0 THEN 0 ELSE p[1] END) AS w FROM embeddings)
+        SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.v, y.w), 6) AS similarity FROM v x, v y WHERE list_cosine_similarity(x.v, y.w) >= 0.9""",
     "label_centroids": "SELECT label, CAST(dim - 1 AS INTEGER) AS dim, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS dim, unnest(list_transform(embedding, lambda v: v::DOUBLE)) AS x FROM embeddings) GROUP BY label, dim",
 }

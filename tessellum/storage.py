@@ -18,7 +18,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _fallback: dict[str, str] = {}
@@ -62,11 +62,17 @@ def store(df: DataFrame, name: str = "table") -> str:
     return path
 
 
-def store_counting(df: DataFrame, name: str, **conditions: str) -> tuple[str, dict[str, int]]:
-    """``store``, and how many of the rows written meet each condition; the write itself counts them."""
+def store_measuring(df: DataFrame, name: str, **measures: Column) -> tuple[str, dict]:
+    """``store``, and aggregates over the rows written; the write itself computes them."""
     seen = Observation()
-    path = store(df.observe(seen, *[F.count_if(F.expr(c)).alias(k) for k, c in conditions.items()]), name)
-    return path, {k: int(seen.get[k]) for k in conditions}
+    path = store(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), name)
+    return path, {k: seen.get[k] for k in measures}
+
+
+def store_counting(df: DataFrame, name: str, **conditions: str) -> tuple[str, dict[str, int]]:
+    """``store``, and how many of the rows written meet each condition."""
+    path, n = store_measuring(df, name, **{k: F.count_if(F.expr(c)) for k, c in conditions.items()})
+    return path, {k: int(v) for k, v in n.items()}
 
 
 def load(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
