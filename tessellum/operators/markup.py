@@ -21,17 +21,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Template names (lower case) by what they leave.
-LISTS = "bulleted list|blist|bulleted|ulist|unordered list|unbulleted list|ubl|ubt|ublist|unbullet|plainlist|ordered list|hlist|flatlist"
+LISTS = (
+    "bulleted list", "blist", "bulleted", "ulist", "unordered list", "unbulleted list", "ubl", "ubt", "ublist", "unbullet", "plainlist",
+    "ordered list", "hlist", "flatlist",
+)
 FIRST = (
-    "small|smaller|midsize|larger|big|large|huge|resize|smallcaps|sc1|smallcaps2|sc2|sc|allcaps|caps|nocaps|linktext|cardinal to word|number to word|"
-    "ordinal to word|nowrap|mvar|format price|visible anchor|quotation|cquote"
+    "small", "smaller", "midsize", "larger", "big", "large", "huge", "resize", "smallcaps", "sc1", "smallcaps2", "sc2", "sc", "allcaps", "caps",
+    "nocaps", "linktext", "cardinal to word", "number to word", "ordinal to word", "nowrap", "mvar", "format price", "visible anchor", "quotation",
+    "cquote",
+)
+SECOND = (
+    "lang", "rtl-lang", "transl", "inflation",
+)
+PAIRS = (
+    "convert", "cvt",
+)
+DROPPED = (
+    "citation needed", "respell", "ref", "refn", "r", "zh", "sfn",
 )
-SECOND = "lang|rtl-lang|transl|inflation"
-PAIRS = "convert|cvt"
-DROPPED = "citation needed|respell|ref|refn|r|zh|sfn"
 # list: its arguments as list items; first/second: that argument; pair: two arguments with a blank; drop: nothing; else a text with {{#n}} for argument n.
 # Templates without a rule are dropped; an argument alt= wins over dropping.
-DEFAULT_TEMPLATES = {name: rule for rule, names in (("list", LISTS), ("first", FIRST), ("second", SECOND), ("pair", PAIRS), ("drop", DROPPED)) for name in names.split("|")} | {"as of": "as of", "time ago": "time ago", "angbr": "⟨{{#1}}⟩"}
+DEFAULT_TEMPLATES = {name: rule for rule, names in (("list", LISTS), ("first", FIRST), ("second", SECOND), ("pair", PAIRS), ("drop", DROPPED)) for name in names} | {"as of": "as of", "time ago": "time ago", "angbr": "⟨{{#1}}⟩"}
 DROPPED_TAGS = "ref|sub|sup|gallery|timeline|references"
 PAGE = "page_id string, page_name string, page_type string, redirect string, categories array<string>"
 LINK = "struct<target: string, section: string, target_id: string, anchor: string>"

@@ -6,10 +6,11 @@ postings and sums; documents without a query term are never touched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..storage import materialize
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,6 +38,21 @@ def collection_size(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.size(tokens(F.col(text_col))).alias("n")).where("n > 0").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
 
 
+def search_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings of the terms asked for, stored; one row n_docs, n_tokens): texts are cut into words once.
+
+    ``terms`` has a column term; other words leave before anything is shuffled.
+    """
+    size = Observation()
+    words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
+    words = words.observe(size, F.count_if(F.size("w") > 0).alias("n_docs"), F.sum(F.size("w").cast("bigint")).alias("n_tokens"))
+    rows = words.where(F.size("w") > 0).select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    asked = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    posts = materialize(asked.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("len").alias("len")), "postings")
+    n = size.get
+    return posts, docs.sparkSession.range(1).select(F.lit(n["n_docs"]).alias("n_docs"), F.lit(n["n_tokens"]).alias("n_tokens"))
+
+
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """query_id, term, qtf."""
     return queries.select(F.col(id_col).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))

@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import corpus as tree
 from ..operators import enrich, hierarchy
 from ..operators.predicates import Pages, compile_predicate
+from ..storage import materialize
 from . import base
 from .structure import _NODES
 from .tables import table
@@ -70,8 +71,28 @@ def name_translate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = hierarchy.latest_nodes(table(spark, sf, "fragments"))
-    return hierarchy.resolve(rows).nodes.join(rows, "id").select("id", "parent", "title", "depth", "root", "id_path", "title_path")
+    """Sections with their paths; ``parent`` is null at roots."""
+    n = hierarchy.resolve(hierarchy.latest_nodes(table(spark, sf, "fragments"))).nodes
+    return n.select("id", F.when(F.col("depth") > 0, F.element_at("id_path", -2)).alias("parent"), F.element_at("title_path", -1).alias("title"), "depth", "root", "id_path", "title_path")
+
+
+CATEGORY, CAPTION = "N", 60  # in the test tables: prefix of the targets that stand for categories, most characters of a caption
+
+
+def _content(spark: SparkSession, sf: str) -> DataFrame:
+    """node, item, kind, lead of the placed paragraphs: captions are short texts without a closing mark, category paragraphs have only links to names with CATEGORY."""
+    p = base.paragraphs(spark, sf).select(F.col("id").alias("item"), F.trim(F.coalesce("content", F.lit(""))).alias("t"))
+    kinds = tree.only_links_to(_bodies(spark, sf), ["item"], CATEGORY).withColumn("links_only", F.lit(True))
+    image = (F.length("t") <= CAPTION) & ~F.col("t").rlike("[.!?。]$")
+    p = p.join(kinds, "item", "left").select("item", F.when(F.col("links_only"), "category").when(image, "image").otherwise("para").alias("kind"))
+    f = base.fragments(spark, sf).select(F.col("id").alias("node"), F.col("parent").isNull().alias("lead"))
+    placed = base.placements(spark, sf).select(F.col("fragment").alias("node"), F.col("paragraph_id").alias("item"))
+    return placed.join(p, "item").join(f, "node").select(F.col("node").cast("bigint").alias("node"), "item", "kind", "lead")
+
+
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """item, target: the anchors of each paragraph's links (as targets' names)."""
+    return base.links(spark, sf).where("paragraph IS NOT NULL").select(F.col("paragraph").alias("item"), F.col("anchor").alias("target"))
 
 
 _TREE = f"{_NODES}, tnodes AS (SELECT t.id, n.parent, n.title, t.depth, t.root, t.ids, t.path FROM tree t JOIN nodes n USING (id))"
@@ -97,16 +118,50 @@ def heading_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 def transform_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Sections left when bad headings go with all below them."""
-    return tree.drop_subtrees(_nodes(spark, sf), tree.bad_heading(F.col("title"))).select("id", "depth", "title")
+    return tree.drop_subtrees(_nodes(spark, sf), lambda t: tree.bad_heading(t)).select("id", "depth", "title")
+
+
+def _transformed(spark: SparkSession, sf: str, what: tree.Transform) -> DataFrame:
+    nodes, content = materialize(_nodes(spark, sf), "nodes"), materialize(_content(spark, sf), "content")
+    return tree.transform_pages(nodes, content, what).select("id", "depth", "title")
 
 
 def transform_full(spark: SparkSession, sf: str) -> DataFrame:
-    """As transform_sections, then sections without any paragraph below them go, then pages of up to 3 sections."""
-    kept = tree.drop_subtrees(_nodes(spark, sf), tree.bad_heading(F.col("title")))
-    filled = base.placements(spark, sf).select(F.col("fragment").cast("bigint").alias("id")).distinct()
-    kept = tree.drop_empty(kept, filled)
-    size = kept.groupBy("root").agg(F.count("*").alias("n")).where("n > 3").select("root")
-    return kept.join(size, "root", "left_semi").select("id", "depth", "title")
+    """Lead, category paragraphs, images, bad headings, then empty sections and short pages go."""
+    return _transformed(spark, sf, tree.Transform())
+
+
+def transform_categories_and_headings(spark: SparkSession, sf: str) -> DataFrame:
+    """As transform_full, but leads and short pages stay."""
+    return _transformed(spark, sf, tree.CATEGORIES_AND_HEADINGS)
+
+
+CONFIGURED = tree.Transform(lead=False, images=False, short_headings=False, headings=("History", "Notes"), fold_case=False, short_pages=False)
+
+
+def transform_configured(spark: SparkSession, sf: str) -> DataFrame:
+    """Only category paragraphs, long headings and two headings in their exact writing go."""
+    return _transformed(spark, sf, CONFIGURED)
+
+
+def transformed_content(spark: SparkSession, sf: str) -> DataFrame:
+    """The paragraphs that stay in transform_full's headings."""
+    return tree.transform_content(_nodes(spark, sf), _content(spark, sf), tree.Transform()).select("node", "item")
+
+
+def node_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents by kind and whether they stand right below the page."""
+    return _content(spark, sf).groupBy("kind", "lead").agg(F.count("*").alias("n"))
+
+
+def category_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs of links to categories only."""
+    return tree.only_links_to(_bodies(spark, sf), ["item"], CATEGORY)
+
+
+def top_level_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents right below a page go, all others stay."""
+    return _content(spark, sf).where("NOT lead").select("node", "item", "kind")
 
 
 def drop_short_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,9 +171,9 @@ def drop_short_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merge_duplicate_sections(spark: SparkSession, sf: str) -> DataFrame:
-    n = _nodes(spark, sf)
-    merged = tree.merge_siblings(n)
-    return n.where("depth > 0").join(merged, "id").groupBy("kept").agg(F.count("*").alias("n_merged"), F.max("title").alias("title"))
+    """Sections of equal paths as one, with its parent after merging."""
+    n = materialize(_nodes(spark, sf), "nodes")
+    return tree.merge_sections(n).groupBy("kept", "kept_parent").agg(F.count("*").alias("n_merged"))
 
 
 def page_metadata_cleared(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,9 +340,32 @@ def query_derivation(spark: SparkSession, sf: str) -> DataFrame:
 _PATHS = f"{_TREE}, {base.PLACE}, paths AS (SELECT paragraph_id, fragment, ids, depth FROM place JOIN tnodes ON id = fragment)"
 _KEPT = f"gone AS (SELECT id FROM tnodes WHERE depth > 0 AND {_BAD}), kept AS (SELECT * FROM tnodes WHERE id NOT IN (SELECT t.id FROM (SELECT id, unnest(ids) AS up FROM tnodes) t JOIN gone g ON g.id = t.up))"
 
+_CONTENT = f"""{base.FRAG}, {base.PARA}, {base.PLACE}, {base.LINK},
+only_links AS (SELECT paragraph AS item FROM link WHERE paragraph IS NOT NULL GROUP BY paragraph HAVING bool_and(coalesce(starts_with(anchor, '{CATEGORY}'), false))),
+content AS (SELECT CAST(l.fragment AS BIGINT) AS node, p.id AS item, f.parent IS NULL AS lead,
+    CASE WHEN o.item IS NOT NULL THEN 'category' WHEN length(trim(coalesce(content, ''), ' ')) <= {CAPTION} AND NOT regexp_matches(trim(coalesce(content, ''), ' '), '[.!?。]$') THEN 'image' ELSE 'para' END AS kind
+    FROM place l JOIN para p ON p.id = l.paragraph_id JOIN frag f ON f.id = l.fragment LEFT JOIN only_links o ON o.item = p.id)"""
+
+
+def _transform_ctes(what: tree.Transform) -> str:
+    tests = ["false"]
+    tests += ["length(regexp_replace(x, '[^\\p{L}]', '', 'g')) < 3"] if what.short_headings else []
+    tests += ["length(x) > 100"] if what.long_headings else []
+    tests += [f"{'lower(x)' if what.fold_case else 'x'} IN ({', '.join(repr(h) for h in what.headings)})"] if what.headings else []
+    gone = [*(["lead AND kind = 'para'"] if what.lead else []), *(["kind = 'category'"] if what.category_paragraphs else []), *(["kind = 'image'"] if what.images else [])]
+    return f"""{_TREE}, {_CONTENT}, fine AS (SELECT id, t.title, t.depth, t.root, t.ids FROM tnodes t JOIN tree USING (id) WHERE len(list_filter(titles[2:], lambda x: {' OR '.join(tests)})) = 0),
+        stays AS (SELECT node, item, lead FROM content WHERE node IN (SELECT id FROM fine) AND NOT ({' OR '.join(gone) or 'false'}))"""
+
+
+def _transform_sql(what: tree.Transform) -> str:
+    short = "WHERE root IN (SELECT root FROM (SELECT root FROM kept_ WHERE depth = 1 UNION ALL SELECT node FROM stays WHERE lead) GROUP BY root HAVING count(*) > 3)" if what.short_pages else ""
+    return f"""WITH RECURSIVE {_transform_ctes(what)}, up AS (SELECT DISTINCT unnest(ids) AS id FROM fine WHERE id IN (SELECT node FROM stays)),
+        kept_ AS (SELECT * FROM fine WHERE depth = 0 OR id IN (SELECT id FROM up)) SELECT id, depth, title FROM kept_ {short}"""
+
+
 QUERIES = {name: _predicate(name) for name in PREDICATES} | {
     f.__name__: f
-    for f in (name_translate, page_sections, outline_stub, heading_filters, transform_sections, transform_full, drop_short_pages, merge_duplicate_sections, page_metadata_cleared, lead_text, kb_doc, paragraphs_exploded, links_view, fragment_parents, fragment_ids, distinct_on, redirect_closure, fix_links, redirect_names, inlink_ids, inlink_anchor_hist, category_tags, disambig_names, duplicate_paragraph_counts, first_wins_dedup, bundle_lookup, qrels_hierarchical, qrels_tree, qrels_toplevel, qrels_article, qrels_rollup_max, qrels_rollup_levels, query_derivation)
+    for f in (name_translate, page_sections, outline_stub, heading_filters, transform_sections, transform_full, transform_categories_and_headings, transform_configured, transformed_content, node_kinds, category_paragraphs, top_level_filter, drop_short_pages, merge_duplicate_sections, page_metadata_cleared, lead_text, kb_doc, paragraphs_exploded, links_view, fragment_parents, fragment_ids, distinct_on, redirect_closure, fix_links, redirect_names, inlink_ids, inlink_anchor_hist, category_tags, disambig_names, duplicate_paragraph_counts, first_wins_dedup, bundle_lookup, qrels_hierarchical, qrels_tree, qrels_toplevel, qrels_article, qrels_rollup_max, qrels_rollup_levels, query_derivation)
 }
 
 SQL = {name: f"WITH {_PAGES} SELECT page, name, page_type FROM pages WHERE {sql}" for name, (_, sql) in PREDICATES.items()} | {
@@ -296,10 +374,16 @@ SQL = {name: f"WITH {_PAGES} SELECT page, name, page_type FROM pages WHERE {sql}
     "outline_stub": f"WITH RECURSIVE {_TREE} SELECT t.id, title, depth, coalesce(n, 0) AS n_children FROM tnodes t LEFT JOIN (SELECT parent, count(*) AS n FROM tnodes WHERE depth > 0 GROUP BY ALL) k ON k.parent = t.id",
     "heading_filters": f"WITH RECURSIVE {_TREE} SELECT id, length(regexp_replace(title, '[^\\p{{L}}]', '', 'g')) < 3 AS short, length(title) > 100 AS long, lower(title) IN ({', '.join(repr(h) for h in tree.PLAIN_HEADINGS)}) AS plain FROM tnodes WHERE depth > 0",
     "transform_sections": f"WITH RECURSIVE {_TREE}, {_KEPT} SELECT id, depth, title FROM kept",
-    "transform_full": f"""WITH RECURSIVE {_TREE}, {_KEPT}, {base.PLACE}, up AS (SELECT DISTINCT unnest(ids) AS id FROM kept WHERE id IN (SELECT fragment FROM place)),
-        full_ AS (SELECT * FROM kept WHERE depth = 0 OR id IN (SELECT id FROM up)) SELECT id, depth, title FROM full_ WHERE root IN (SELECT root FROM full_ GROUP BY root HAVING count(*) > 3)""",
+    "transform_full": _transform_sql(tree.Transform()),
+    "transform_categories_and_headings": _transform_sql(tree.CATEGORIES_AND_HEADINGS),
+    "transform_configured": _transform_sql(CONFIGURED),
+    "transformed_content": f"WITH RECURSIVE {_transform_ctes(tree.Transform())} SELECT node, item FROM stays",
+    "node_kinds": f"WITH {_CONTENT} SELECT kind, lead, count(*) AS n FROM content GROUP BY ALL",
+    "category_paragraphs": f"WITH {_CONTENT} SELECT item FROM only_links",
+    "top_level_filter": f"WITH {_CONTENT} SELECT node, item, kind FROM content WHERE NOT lead",
     "drop_short_pages": f"WITH RECURSIVE {_TREE} SELECT root, count(*) AS n FROM tnodes WHERE depth = 1 GROUP BY root HAVING count(*) > 3",
-    "merge_duplicate_sections": f"WITH RECURSIVE {_TREE} SELECT min(id) AS kept, count(*) AS n_merged, max(title) AS title FROM tnodes WHERE depth > 0 GROUP BY parent, title",
+    "merge_duplicate_sections": f"""WITH RECURSIVE {_NODES}, k AS (SELECT root, titles, min(id) AS kept, count(*) AS n FROM tree WHERE depth > 0 GROUP BY root, titles)
+        SELECT k.kept, coalesce(u.kept, k.root) AS kept_parent, k.n AS n_merged FROM k LEFT JOIN k u ON u.root = k.root AND u.titles = k.titles[:-2]""",
     "page_metadata_cleared": f"WITH {_PAGES} SELECT page, name, CAST(NULL AS VARCHAR) AS redirect_names, CAST(NULL AS VARCHAR) AS inlink_ids FROM pages",
     "lead_text": f"WITH {base.FRAG}, {base.PARA}, {base.PLACE}, lead AS (SELECT fragment, arg_min(paragraph_id, pf_id) AS id FROM place GROUP BY ALL) SELECT f.id AS page, f.title, p.content AS lead FROM frag f JOIN lead l ON l.fragment = f.id JOIN para p ON p.id = l.id WHERE f.parent IS NULL",
     "kb_doc": f"""WITH {base.FRAG}, {base.PARA}, {base.PLACE}, {base.LINK}, c AS (SELECT fragment AS id, count(*) AS n_paragraphs, CAST(sum(length(coalesce(content, ''))) AS BIGINT) AS chars FROM place JOIN para ON para.id = place.paragraph_id GROUP BY ALL),

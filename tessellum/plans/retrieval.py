@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import retrieval as ir
+from ..storage import materialize
 from . import base
 from .tables import table
 
@@ -20,9 +21,9 @@ def _topics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    posts = ir.postings(docs, "doc_id", "text")
-    return posts, ir.corpus_statistics(posts), ir.collection_size(docs, "text"), ir.query_terms(_topics(spark, sf), "query_id", "text")
+    terms = materialize(ir.query_terms(_topics(spark, sf), "query_id", "text"), "terms")
+    posts, size = ir.search_index(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", terms)
+    return posts, ir.corpus_statistics(posts), size, terms
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:

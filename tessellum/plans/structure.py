@@ -53,9 +53,9 @@ nodes AS (
     FROM fragments WHERE id IS NOT NULL) WHERE rn = 1),
 roots AS (SELECT n.*, n.parent IS NOT NULL AS orphan FROM nodes n WHERE n.parent IS NULL OR n.parent NOT IN (SELECT id FROM nodes)),
 tree AS (
-  SELECT id, title AS path, 0 AS depth, id AS root, orphan, [id] AS ids FROM roots
+  SELECT id, title AS path, 0 AS depth, id AS root, orphan, [id] AS ids, [title] AS titles FROM roots
   UNION ALL
-  SELECT n.id, t.path || ' / ' || n.title, t.depth + 1, t.root, t.orphan, list_append(t.ids, n.id) FROM tree t JOIN nodes n ON n.parent = t.id)
+  SELECT n.id, t.path || ' / ' || n.title, t.depth + 1, t.root, t.orphan, list_append(t.ids, n.id), list_append(t.titles, n.title) FROM tree t JOIN nodes n ON n.parent = t.id)
 """
 
 _REFS = """

@@ -64,20 +64,50 @@ def test_broken_predicates_are_refused(spark, bad):
         compile_predicate(bad, Pages(*[F.col("x")] * 4))
 
 
+def _tree(spark, data):
+    """(id, parent, title) rows to resolved nodes."""
+    from tessellum.operators import hierarchy
+
+    rows_ = spark.createDataFrame([(i, t, p, None) for i, p, t in data], "id int, title string, parent int, loaded_at timestamp")
+    n = hierarchy.resolve(hierarchy.latest_nodes(rows_)).nodes
+    return n.select("id", F.element_at("title_path", -1).alias("title"), "depth", "root", "id_path", "title_path")
+
+
 def test_subtrees_of_bad_headings_go(spark):
-    nodes = spark.createDataFrame([(1, None, "Page", 0, [1]), (2, 1, "References", 1, [1, 2]), (3, 2, "Inner", 2, [1, 2, 3]), (4, 1, "History", 1, [1, 4]), (5, 4, "xy", 2, [1, 4, 5])], "id int, parent int, title string, depth int, id_path array<int>")
-    kept = corpus.drop_subtrees(nodes, corpus.bad_heading(F.col("title")))
+    nodes = _tree(spark, [(1, None, "References"), (2, 1, "References"), (3, 2, "Inner"), (4, 1, "History"), (5, 4, "xy")])
+    kept = corpus.drop_subtrees(nodes, lambda t: corpus.bad_heading(t))
     assert [r[0] for r in rows(kept.select("id"))] == [1, 4]
     filled = spark.createDataFrame([(5,)], "id int")
     assert [r[0] for r in rows(corpus.drop_empty(nodes, filled).select("id"))] == [1, 4, 5]
-    assert rows(corpus.merge_siblings(spark.createDataFrame([(2, 1, "A", 1), (3, 1, "A", 1), (4, 1, "B", 1)], "id int, parent int, title string, depth int"))) == [(2, 2), (3, 2), (4, 4)]
+
+
+def test_equal_sections_merge_at_every_depth(spark):
+    nodes = _tree(spark, [(1, None, "P"), (2, 1, "A"), (3, 1, "A"), (4, 1, "B"), (5, 2, "x"), (6, 3, "x"), (7, 4, "x"), (8, 6, "y"), (9, None, "P"), (10, 9, "A")])
+    assert rows(corpus.merge_sections(nodes)) == sorted([(2, 2, 1), (3, 2, 1), (4, 4, 1), (5, 5, 2), (6, 5, 2), (7, 7, 4), (8, 8, 5), (10, 10, 9)], key=repr)
+
+
+def test_transforms_by_toggle(spark):
+    nodes = _tree(spark, [(1, None, "Page"), (2, 1, "History"), (3, 1, "Notes"), (4, 2, "Ab"), (5, 1, "Empty"), (6, 1, "Pictures"), (7, 1, "x" * 101), (8, None, "Short"), (9, 8, "Only one")])
+    content = spark.createDataFrame([(1, "lead", "para", True), (2, "a", "para", False), (3, "b", "para", False), (4, "c", "para", False), (6, "i", "image", False), (6, "k", "category", False), (7, "l", "para", False), (9, "o", "para", False)], "node bigint, item string, kind string, lead boolean")
+    ids = lambda what: [r[0] for r in rows(corpus.transform_pages(nodes, content, what).select("id"))]
+    nothing = dict(lead=False, category_paragraphs=False, images=False, long_headings=False, short_headings=False, headings=(), short_pages=False)
+    assert ids(corpus.Transform(**nothing)) == [1, 2, 3, 4, 6, 7, 8, 9]  # the empty section goes
+    assert ids(corpus.Transform(**nothing | {"headings": ("notes",)})) == [1, 2, 4, 6, 7, 8, 9]
+    assert ids(corpus.Transform(**nothing | {"headings": ("notes",), "fold_case": False})) == [1, 2, 3, 4, 6, 7, 8, 9]
+    assert ids(corpus.Transform(**nothing | {"short_headings": True, "long_headings": True})) == [1, 2, 3, 6, 8, 9]
+    assert ids(corpus.Transform(**nothing | {"images": True, "category_paragraphs": True})) == [1, 2, 3, 4, 7, 8, 9]
+    assert ids(corpus.Transform(**nothing | {"short_pages": True})) == [1, 2, 3, 4, 6, 7]
+    assert ids(corpus.Transform(**nothing | {"short_pages": True, "lead": True})) == [1, 2, 3, 4, 6, 7]
+    assert ids(corpus.CATEGORIES_AND_HEADINGS) == [1, 2, 8, 9]
+    bodies = spark.createDataFrame([("p", "Category:A"), ("p", "Category:B"), ("q", "Category:A"), ("q", None), ("r", "x")], "item string, target string")
+    assert rows(corpus.only_links_to(bodies, ["item"], "Category:")) == [("p",)]
 
 
 def test_pagerank_sums_to_one_and_seeds(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("a", "d", 2)], "src string, dst string, weight int")
     scores = {r["node"]: r["score"] for r in graph.pagerank(edges, 12).collect()}
     assert abs(sum(scores.values()) - 1) < 1e-6 and scores["d"] > scores["b"]
-    assert graph.pagerank(edges, 3, seeds=spark.createDataFrame([("zz",)], "node string")).count() == 0
+    assert graph.pagerank(edges, 3, jump=spark.createDataFrame([("zz",)], "node string")).count() == 0
     assert rows(graph.distances(edges, spark.createDataFrame([("a",)], "node string"))) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 1)]
 
 
