@@ -29,3 +29,14 @@ def neighbours(rows: DataFrame, keys: list[str], order: list[str], value: str) -
     """Rows with the value of the row before; the first of a group has none."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("previous", F.lag(value).over(w))
+
+
+def to_new_form(rows: DataFrame, default_facet: str = "none") -> DataFrame:
+    """(query_id, paragraph_id, facet, label, hidden) from labels of the old form, one grade a facet.
+
+    The latest grade counts.  Rows with neither facet nor grade go; paragraphs graded as trash are hidden.
+    """
+    facet = F.coalesce("facet_id", F.lit(default_facet))
+    last = rows.groupBy("query_id", "paragraph_id", facet.alias("facet")).agg(F.max(F.struct("time_stamp", "relevance")).alias("r"))
+    out = last.select("query_id", "paragraph_id", "facet", label_of(F.col("r.relevance")).alias("label"), F.coalesce(F.col("r.relevance") == -2, F.lit(False)).alias("hidden"))
+    return out.where((F.col("facet") != default_facet) | (F.col("label") != "unset"))

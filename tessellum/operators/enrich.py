@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import discard, load, store
@@ -44,6 +46,39 @@ def fix_links(links: DataFrame, closure: DataFrame, known: DataFrame) -> DataFra
     return moved.join(k, "target", "left").select("link_id", "src", "dest", "target", F.coalesce("r_section", "anchor").alias("section"), F.col("exists").isNull().alias("plain"))
 
 
+FIELDS = ("redirect_name", "disambiguation_name", "disambiguation_id", "category_name", "inlink_id", "inlink_anchor")
+
+
+def facts(rows: DataFrame, target: str, field: str, value: Column) -> DataFrame:
+    """(target, field, value, n): what one kind of row says about its target, added up before it is merged."""
+    return rows.where(value.isNotNull()).groupBy(F.col(target).alias("target"), F.lit(field).alias("field"), value.alias("value")).agg(F.count("*").alias("n"))
+
+
+def merge_facts(*parts: DataFrame) -> DataFrame:
+    """Facts of several sources or partial runs as one; the order does not matter.
+
+    Facts stay rows, so a target with a third of all links is no single row.
+    """
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("target", "field", "value").agg(F.sum("n").alias("n"))
+
+
+def attach_counts(pages: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(id, a column for each of FIELDS): the number of different values; 0 without any."""
+    n = metadata.groupBy(F.col("target").alias("id")).agg(*[F.count_if(F.col("field") == f).alias(f) for f in FIELDS])
+    return pages.join(n, "id", "left").select("id", *[F.coalesce(f, F.lit(0)).alias(f) for f in FIELDS])
+
+
+def map_entities(names: DataFrame, known: DataFrame, closure: DataFrame, strict: bool) -> DataFrame:
+    """Rows of ``names`` (with a column name) for each page of that name, redirects followed, as ``entity``.
+
+    A name may lead to several pages.  Names without a page go if ``strict``, else their entity
+    is ``undefined:`` and the name.
+    """
+    ends = known.join(closure.select("id", "target"), "id", "left").select("name", F.coalesce("target", "id").cast("string").alias("entity")).distinct()
+    out = names.join(ends, "name", "inner" if strict else "left")
+    return out.withColumn("entity", F.coalesce("entity", F.concat(F.lit("undefined:"), "name")))
+
+
 def anchor_histogram(links: DataFrame) -> DataFrame:
     """target, anchors: its anchor texts with counts, most frequent first."""
     n = links.where("anchor IS NOT NULL").groupBy("target", "anchor").agg(F.count("*").alias("n"))

@@ -251,6 +251,18 @@ def repair_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return assess.neighbours(visible, ["query_id"], ["time_stamp", "paragraph_id"], "paragraph_id").where("previous IS NOT NULL").select("query_id", F.col("previous").alias("paragraph_id1"), F.col("paragraph_id").alias("paragraph_id2"))
 
 
+def restricted(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Rows of the values asked for; an empty choice means all."""
+    return rows.where(F.col(column).isin(values)) if values else rows
+
+
+def chosen(rows: DataFrame, id_col: str, ids: list[str], name_col: str, names: list[str]) -> DataFrame:
+    """Rows chosen by id or name; without any choice all."""
+    if not ids and not names:
+        return rows
+    return rows.where(F.col(id_col).isin(ids) | F.col(name_col).isin(names))
+
+
 # -- learning ------------------------------------------------------------------------------------------
 
 METHODS = ["bm25", "bm25_rm3", "cosine", "link_count", "ltr", "ql", "walk_pagerank"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, curations, evaluation, graphs, imports, retrieval, scalars, streams, structure
+from . import corpus, curations, evaluation, graphs, imports, links, retrieval, scalars, streams, structure
 
-MODULES = (structure, retrieval, corpus, graphs, evaluation, scalars, streams, imports, curations)
+MODULES = (structure, retrieval, corpus, graphs, evaluation, scalars, streams, imports, curations, links)
 FLAGSHIP = retrieval.bm25_topk
 
 
