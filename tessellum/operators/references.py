@@ -21,7 +21,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ..storage import load, store_counting
 
 RANGE_KEYS = 500_000  # parents of one range at most, about
-SALT_ROWS = 200_000  # references of one task at most, about
+SALT_ROWS = 100_000  # references of one task at most, about
 SAMPLE_PER_RANGE = 60
 KEY_BYTES = 64
 OUT = "table_name string, field_name string, row_id bigint, loaded_at timestamp, reason string"
@@ -107,22 +107,26 @@ def find_orphans(references: DataFrame, parents: DataFrame, text: bool) -> DataF
     counts = references.groupBy("rng").agg(F.count("*").alias("n")).toArrow()  # one row a range
     parts = np.ones(n_ranges, np.int64)
     parts[counts["rng"].to_numpy()] = -(-counts["n"].to_numpy() // SALT_ROWS)
-    salted = spark.sparkContext.broadcast(np.maximum(parts, 1).astype(np.int32))  # one number a range
+    parts = np.maximum(parts, 1)
+    cells = spark.sparkContext.broadcast((np.cumsum(parts) - parts, parts))  # two numbers a range
 
-    @F.arrow_udf(T.IntegerType())
-    def salts_of(rng: pa.Array) -> pa.Array:
-        return pa.array(salted.value[rng.to_numpy(zero_copy_only=False)])
+    def of_range(which: int) -> Callable:
+        @F.arrow_udf(T.IntegerType())
+        def look_up(rng: pa.Array) -> pa.Array:
+            return pa.array(cells.value[which][rng.to_numpy(zero_copy_only=False)].astype(np.int32))
+
+        return look_up
 
-    refs = references.select("rng", F.pmod(F.xxhash64("row_id"), salts_of("rng")).cast("int").alias("salt"), F.lit(1).alias("tag"), "key", F.col("at").alias("a"), F.lit(None).cast("bigint").alias("b"), "source", "row_id")
-    held = parents.withColumn("rng", range_of("key")).withColumn("salts", salts_of("rng")).select("rng", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("tag"), "key", F.col("first").alias("a"), F.col("gone").alias("b"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("row_id"))
-    mixed = held.unionByName(refs)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(parts.sum()))
-    mixed = mixed.repartition(tasks, "rng", "salt").sortWithinPartitions("rng", "salt", "tag")
+    first, salts = of_range(0), of_range(1)
+    refs = references.select((first("rng") + F.pmod(F.xxhash64("row_id"), salts("rng"))).cast("int").alias("cell"), F.lit(1).alias("tag"), "key", F.col("at").alias("a"), F.lit(None).cast("bigint").alias("b"), "source", "row_id")
+    held = parents.withColumn("rng", range_of("key")).select("key", "first", "gone", first("rng").alias("c0"), salts("rng").alias("salts"))
+    held = held.select(F.explode(F.sequence(F.col("c0"), F.col("c0") + F.col("salts") - 1)).alias("cell"), F.lit(0).alias("tag"), "key", F.col("first").alias("a"), F.col("gone").alias("b"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("row_id"))
+    mixed = held.unionByName(refs).repartitionById(int(parts.sum()), "cell").sortWithinPartitions("cell", "tag")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, index = None, [], None
         for batch in batches:
-            group = batch.column("rng").to_numpy(zero_copy_only=False).astype(np.int64) * (1 << 32) + batch.column("salt").to_numpy(zero_copy_only=False)
+            group = batch.column("cell").to_numpy(zero_copy_only=False)
             tag = batch.column("tag").to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero((np.diff(group) != 0) | (np.diff(tag) != 0)) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(group)]):
