@@ -67,16 +67,17 @@ def _window_positions(rows: DataFrame, keys: list[str], score: str) -> DataFrame
     """Adds lo, hi (first and last position among equal scores, ascending) and n within ``keys``."""
     w = Window.partitionBy(*keys)
     up = w.orderBy(score)
-    return rows.withColumns({"lo": F.rank().over(up), "hi": F.count(F.lit(1)).over(up), "n": F.count(F.lit(1)).over(w)})
+    return rows.withColumns({"lo": F.rank().over(up).cast("bigint"), "hi": F.count(F.lit(1)).over(up), "n": F.count(F.lit(1)).over(w)})
 
 
-def positions(rows: DataFrame, keys: list[str], item: str, score: str, combine: bool = True) -> DataFrame:
+def positions(rows: DataFrame, keys: list[str], item: str, score: str, combine: bool = True, counted: DataFrame | None = None) -> DataFrame:
     """Rows (keys, item, score) with the ascending position range lo..hi of their score in their group and its size n.
 
-    With ``combine``, repeated items of a group count once with the highest score.
+    With ``combine``, repeated items of a group count once with the highest score.  ``counted``
+    (keys, rows_n): the rows of each group, if they are known.
     """
     rows = rows.select(*keys, item, score)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_n")).where(F.col("rows_n") > LONG_LIST)
+    sizes = (counted if counted is not None else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_n"))).where(F.col("rows_n") > LONG_LIST)
     longest = sizes.agg(F.max("rows_n").alias("m"), F.count(F.lit(1)).alias("c")).first()
 
     def merged(part: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def positions(rows: DataFrame, keys: list[str], item: str, score: str, combine:
     ranked = ranked.join(maybe(cells), [*same(ranked, cells), ranked["bin"] == cells["l_bin"], ranked["heavy"] == cells["l_heavy"]])
     long_out = ranked.select(
         *keys, item, score,
-        (F.col("before") + F.when(F.col("heavy"), F.lit(1)).otherwise(F.col("lo"))).cast("int").alias("lo"),
+        (F.col("before") + F.when(F.col("heavy"), F.lit(1)).otherwise(F.col("lo"))).alias("lo"),
         (F.col("before") + F.when(F.col("heavy"), F.col("cell_n")).otherwise(F.col("hi"))).alias("hi"),
         F.col("list_n").alias("n"),
     )
@@ -129,10 +130,15 @@ def _unpacked(packed: Column) -> Column:
     return F.when(F.substring(packed, 1, 1) == F.lit(b"\1"), F.lower(F.hex(body))).otherwise(F.decode(body, "UTF-8"))
 
 
-def combined_scores(lists: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def list_sizes(lists: DataFrame) -> DataFrame:
+    """(query_id, method, rows_n), stored: read for long lists as well as for the methods of each query."""
+    return materialize(lists.groupBy("query_id", "method").agg(F.count(F.lit(1)).alias("rows_n")), "list_sizes")
+
+
+def combined_scores(lists: DataFrame, sizes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(query_id, item (packed), total): the weighted sum of the normal scores of ``topn.list_rows``."""
     rows = lists.select("query_id", "method", _packed(F.col("entry_item")).alias("item"), "entry_score")
-    placed = positions(rows, ["query_id", "method"], "item", "entry_score")
+    placed = positions(rows, ["query_id", "method"], "item", "entry_score", counted=sizes)
     z = normal_quantile(((F.col("lo") + F.col("hi")) / 2 - 0.5) / F.col("n"))
     return placed.withColumn("z", z * _weight(weights)).groupBy("query_id", "item").agg(F.sum("z").alias("total"))
 
@@ -144,22 +150,23 @@ def _weight(weights: dict[str, float] | None) -> Column:
     return F.coalesce(F.element_at(table, F.col("method")), F.lit(1.0))
 
 
-def _query_weights(lists: DataFrame, weights: dict[str, float] | None) -> DataFrame:
-    known = lists.select("query_id", "method").distinct()
-    return known.groupBy(F.col("query_id").alias("w_query")).agg(F.sum(_weight(weights)).alias("weight"), F.count(F.lit(1)).alias("n_methods"))
+def _query_weights(sizes: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    return sizes.groupBy(F.col("query_id").alias("w_query")).agg(F.sum(_weight(weights)).alias("weight"), F.count(F.lit(1)).alias("n_methods"))
 
 
 def fuse(lists: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """query_id, entry_item, score, rank (1 is best; equal scores share a rank)."""
-    totals, per_query = combined_scores(lists, weights), _query_weights(lists, weights)
+    sizes = list_sizes(lists)
+    totals, per_query = combined_scores(lists, sizes, weights), _query_weights(sizes, weights)
     mean = totals.join(per_query, totals["query_id"].eqNullSafe(per_query["w_query"])).select("query_id", "item", F.round(F.col("total") / F.col("weight"), 9).alias("score"))
-    placed = positions(mean, ["query_id"], "item", "score", combine=False)
+    placed = positions(materialize(mean, "means"), ["query_id"], "item", "score", combine=False)
     return placed.select("query_id", _unpacked(F.col("item")).alias("entry_item"), "score", (F.col("n") - F.col("hi") + 1).cast("bigint").alias("rank"))
 
 
 def leaders(lists: DataFrame, weights: dict[str, float] | None = None, least_methods: int = 1, least_items: int = 1) -> DataFrame:
     """(query_id, entry_item): the head of each query's combined ranking."""
-    totals, per_query = combined_scores(lists, weights), _query_weights(lists, weights)
+    sizes = list_sizes(lists)
+    totals, per_query = combined_scores(lists, sizes, weights), _query_weights(sizes, weights)
     heads = totals.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_items"), F.min(F.struct((-F.round("total", 9)).alias("down"), _unpacked(F.col("item")).alias("entry_item"))).alias("head")).where(F.col("n_items") >= least_items)
     per_query = per_query.where(F.col("n_methods") >= least_methods)
     return heads.join(per_query, heads["query_id"].eqNullSafe(per_query["w_query"])).select("query_id", "head.entry_item")

@@ -303,7 +303,7 @@ def _meet(classes: DataFrame, n_classes: int, code: Code) -> DataFrame:
         yield from close()
 
     spread = classes.select("cid", "print").mapInArrow(replicate, "part bigint, blob binary")
-    return spread.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(compare, "a bigint, b bigint, anchor bigint")
+    return spread.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(compare, "a bigint, b bigint, anchor bigint")
 
 
 def _pairs(a: np.ndarray, b: np.ndarray | None, anchor: np.ndarray) -> pa.RecordBatch:
