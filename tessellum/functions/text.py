@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stem import stems_of
+
 # A small English stop list.
 STOPWORDS = "a an and are as at be by for from has in is it its of on or that the to was were with".split()
 
@@ -30,13 +32,27 @@ def content_tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     return F.filter(tokens(text), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
 
 
-def strip_suffix(word: Column) -> Column:
-    """A light English stemmer: plural, -ing and -ed endings of words of five letters and more."""
-    return F.when(F.length(word) < 5, word).otherwise(F.regexp_replace(word, "(ies|ing|ed|es|s)$", ""))
+def stems(text: Column) -> Column:
+    """The stems of the content words; a word in another script is its own stem."""
+    return stems_of(content_tokens(text))
+
 
+def text_or_punctuation(text: Column) -> Column:
+    """Array of (token, stem): words and signs in order; the stem is null for signs, stop words and stems of under three letters."""
+    all_ = F.coalesce(F.regexp_extract_all(F.translate(F.lower(text), "ς", "σ"), F.lit(f"({WORD}|[^\\s\\p{{L}}\\p{{M}}\\p{{N}}])")), F.array().cast("array<string>"))
+    stop = F.array(*[F.lit(w) for w in STOPWORDS])
 
-def stems(text: Column) -> Column:
-    return F.transform(content_tokens(text), strip_suffix)
+    def pair(token: Column, stem: Column) -> Column:
+        return F.struct(token.alias("token"), F.when(token.rlike(f"^{WORD}$") & (F.length(stem) >= 3) & ~F.array_contains(stop, token), stem).alias("stem"))
+
+    return F.element_at(F.transform(F.array(all_), lambda w: F.zip_with(w, stems_of(w), pair)), 1)
+
+
+def latin_tokens(text: Column) -> Column:
+    """Content words of Latin letters for query languages: apostrophes go, other signs part words."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "['’]", ""), "[^a-z\u00df-\u00f6\u00f8-\u00ff]+", " ")
+    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+    return F.filter(F.split(plain, " "), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
 
 
 def adjacent_pairs(words: Column) -> Column:

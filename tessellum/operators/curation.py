@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_tokens, strip_suffix, tokens
+from ..functions.stem import stem
+from ..functions.text import content_tokens, tokens
 
 LESSON = """globalID string, lessonName string,
 topics map<string, struct<topicName: string, content: struct<text: string>>>,
@@ -77,8 +78,10 @@ def articles_of_topics(topics: DataFrame, news: DataFrame) -> DataFrame:
 
 def highlights(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(id, stem, n, source): words of a text whose stem is one of its keywords. keywords: id, stem, source."""
-    words = texts.select("id", F.explode(tokens(F.col("text"))).alias("w")).select("id", strip_suffix(F.col("w")).alias("stem"))
-    return words.groupBy("id", "stem").agg(F.count("*").alias("n")).join(keywords.distinct(), ["id", "stem"])
+    asked = texts.join(keywords.select("id").distinct(), "id", "left_semi")
+    words = asked.select("id", F.explode(tokens(F.col("text"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    stems = words.select("w").distinct().select("w", stem(F.col("w")).alias("stem"))  # every different word once
+    return words.join(stems, "w").groupBy("id", "stem").agg(F.sum("n").alias("n")).join(keywords.distinct(), ["id", "stem"])
 
 
 def feature_subset(names: list[str], **flags: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import stem, text
 from ..operators import curation
 from . import base
 from .graphs import _PAIRS, _sets, jaccard_dup_pairs
@@ -54,7 +54,7 @@ QUERIES = {f.__name__: f for f in (structured_queries, highlight_spans, low_edge
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
 _WORDS = f"list_filter({text.tokens_sql("url_decode(regexp_replace(query_id, '^[^:]*:', ''))")}, lambda x: len(x) > 1 AND NOT list_contains({_STOP}, x))"
-_STEM = "CASE WHEN len(w) < 5 THEN w ELSE regexp_replace(w, '(ies|ing|ed|es|s)$', '') END"
+_STEM = f"{stem.stems_sql('[w]')}[1]"
 
 SQL = {
     "structured_queries": f"""WITH q AS (SELECT DISTINCT query_id FROM assessments WHERE query_id IS NOT NULL), w AS (SELECT query_id, {_WORDS} AS w FROM q)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import assess
 from ..operators import evaluate as ev
+from ..operators import ranking
 from ..storage import materialize
 from . import base
-from .retrieval import run_ranked
+from .retrieval import run_order, run_ranked
 from .tables import table
 
 R9 = lambda c: F.round(c, 9)
@@ -22,7 +23,7 @@ def _relevant(spark: SparkSession, sf: str) -> DataFrame:
 def _shared_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of the judged queries only: the semi join keeps the windows small."""
     judged = _relevant(spark, sf).select("query_id").distinct()
-    return run_ranked(spark, sf).join(judged, "query_id", "left_semi")
+    return ranking.list_ranks(materialize(base.runs(spark, sf).join(judged, "query_id", "left_semi"), "runs"), ["query_id", "method"], run_order())
 
 
 def map_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,9 +71,11 @@ def spearman(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cronbach_alpha(spark: SparkSession, sf: str) -> DataFrame:
-    """Over queries that every one of the three commonest methods answers."""
-    ap = ev.average_precision(_shared_runs(spark, sf).where("method IN ('bm25', 'ql', 'ltr')"), _relevant(spark, sf), ["method"])
-    full = ap.groupBy("query_id").agg(F.count("*").alias("n")).where("n = 3").select("query_id")
+    """Over queries that at least three methods answer: the methods that answer all of those of the commonest set."""
+    ap = materialize(ev.average_precision(_shared_runs(spark, sf), _relevant(spark, sf), ["method"]), "precisions")
+    sets = ap.groupBy("query_id").agg(F.sort_array(F.collect_set("method")).alias("methods")).where(F.size("methods") >= 3)
+    common = sets.groupBy("methods").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.array_join("methods", ",")).limit(1).select("methods")
+    full = sets.join(F.broadcast(common), "methods").select("query_id")  # one row
     return ev.cronbach_alpha(ap.join(full, "query_id", "left_semi").select("query_id", F.col("method").alias("system"), F.col("ap").alias("value"))).withColumn("alpha", F.round("alpha", 6))
 
 
@@ -410,7 +413,8 @@ SQL = {
     "system_ranks": f"WITH {_SYS} SELECT system, rank_a, rank_b FROM sys",
     "kendall_tau": f"WITH {_SYS} SELECT count(*) AS n_pairs, round((2 * sum((x.rank_b < y.rank_b)::INT) - count(*)) / count(*), 9) AS tau FROM sys x JOIN sys y ON x.rank_a < y.rank_a",
     "spearman": f"WITH {_SYS} SELECT count(*) AS n, round(1 - 6 * sum((rank_a - rank_b) ** 2) / (count(*) * (count(*) ** 2 - 1)), 9) AS rho FROM sys",
-    "cronbach_alpha": f"""WITH {_AP}, full_ AS (SELECT query_id FROM aps WHERE method IN ('bm25', 'ql', 'ltr') GROUP BY query_id HAVING count(*) = 3), v AS (SELECT * FROM aps WHERE method IN ('bm25', 'ql', 'ltr') AND query_id IN (SELECT query_id FROM full_))
+    "cronbach_alpha": f"""WITH {_AP}, sets AS (SELECT query_id, list_sort(list(method)) AS methods FROM aps GROUP BY query_id HAVING count(*) >= 3),
+        common AS (SELECT methods FROM sets GROUP BY methods ORDER BY count(*) DESC, array_to_string(methods, ',') LIMIT 1), v AS (SELECT * FROM aps WHERE query_id IN (SELECT query_id FROM sets JOIN common USING (methods)))
         SELECT k, round(k / (k - 1) * (1 - items / total), 6) AS alpha FROM (SELECT count(DISTINCT query_id) AS k FROM v), (SELECT sum(x) AS items FROM (SELECT var_pop(ap) AS x FROM v GROUP BY query_id)), (SELECT var_pop(t) AS total FROM (SELECT sum(ap) AS t FROM v GROUP BY method))""",
     "confusion_matrix": f"WITH {_LP} SELECT rel_a, rel_b, count(*) AS n FROM lp GROUP BY ALL",
     "cohen_kappa": f"WITH {_LP}, {_kappa('a, b', 'lp', 'rel_a', 'rel_b')}",

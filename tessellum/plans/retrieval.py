@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import stem, text
+from ..operators import ranking
 from ..operators import retrieval as ir
 from ..storage import materialize
 from . import base
@@ -71,7 +72,21 @@ def tokenize_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stem_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return base.paragraphs(spark, sf).select(F.explode(text.stems(F.col("content"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    """Every different word is stemmed once."""
+    words = base.paragraphs(spark, sf).select(F.explode(text.content_tokens(F.col("content"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return words.select(stem.stem(F.col("w")).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
+
+
+def stem_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and signs of the paragraphs with their stems, counted."""
+    rows = base.paragraphs(spark, sf).select(F.explode(text.text_or_punctuation(F.col("content"))).alias("t"))
+    return rows.groupBy("t.token", "t.stem").agg(F.count("*").alias("n"))
+
+
+def latin_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Latin content words of the page titles."""
+    rows = base.fragments(spark, sf).where("title IS NOT NULL").select("id", text.latin_tokens(F.col("title")).alias("w"))
+    return rows.select("id", F.array_join("w", " ").alias("words"))
 
 
 def bigrams(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,19 +95,29 @@ def bigrams(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Rank numbers of every method's run."""
-    w = Window.partitionBy("query_id", "method").orderBy(F.desc("score"), "doc_id")
-    return base.runs(spark, sf).withColumn("rank", F.row_number().over(w))
+    return ranking.list_ranks(materialize(base.runs(spark, sf), "runs"), ["query_id", "method"], run_order())
+
+
+def run_order() -> list[Column]:
+    return [F.desc("score"), F.asc("doc_id")]
+
+
+def _best(spark: SparkSession, sf: str, depth: int) -> DataFrame:
+    """The first rows of each run: the window's limit is applied before the shuffle as well."""
+    w = Window.partitionBy("query_id", "method").orderBy(*run_order())
+    return base.runs(spark, sf).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
 
 
 def run_rank_cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    return run_ranked(spark, sf).where("rank <= 20")
+    return _best(spark, sf, 20)
 
 
 def run_pool_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The pool of every query: each method gives its ceil(30 / methods) best."""
-    ranked = run_ranked(spark, sf)
-    n = base.runs(spark, sf).select("query_id", "method").distinct().groupBy("query_id").agg(F.count("*").alias("n_methods"))
-    top = ranked.join(n, "query_id").where(F.col("rank") <= F.ceil(F.lit(30) / F.col("n_methods")))
+    runs = materialize(base.runs(spark, sf), "runs")
+    n = runs.select("query_id", "method").distinct().groupBy("query_id").agg(F.count("*").alias("n_methods"))
+    w = Window.partitionBy("query_id", "method").orderBy(*run_order())
+    top = runs.withColumn("rank", F.row_number().over(w)).where("rank <= 30").join(n, "query_id").where(F.col("rank") <= F.ceil(F.lit(30) / F.col("n_methods")))
     return top.groupBy("query_id", "doc_id").agg(F.array_join(F.sort_array(F.collect_set("method")), ",").alias("methods"), F.max("score").alias("score"))
 
 
@@ -114,22 +139,23 @@ def run_partition_recombine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_line_format(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = run_ranked(spark, sf).where("rank <= 1000")
+    ranked = _best(spark, sf, 1000)
     return ranked.select(F.concat_ws(" ", "query_id", F.lit("Q0"), "doc_id", F.col("rank").cast("string"), "method").alias("line"))
 
 
 def run_reciprocal_distribution(spark: SparkSession, sf: str) -> DataFrame:
     """Reciprocal ranks of the 20 best, made to sum to 1."""
-    top = run_ranked(spark, sf).where("rank <= 20").withColumn("w", 1 / (F.col("rank") + 1))
+    top = _best(spark, sf, 20).withColumn("w", 1 / (F.col("rank") + 1))
     w = Window.partitionBy("query_id", "method")
     return top.select("query_id", "method", "doc_id", F.round(F.col("w") / F.sum("w").over(w), 9).alias("share"))
 
 
 def rank_relative_score(spark: SparkSession, sf: str) -> DataFrame:
     """Scores against the fifth (or the last) of their list."""
-    w = Window.partitionBy("query_id", "method").orderBy(F.desc("score"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pivot = F.coalesce(F.nth_value("score", 5).over(w), F.last("score").over(w))
-    return base.runs(spark, sf).select("query_id", "method", "doc_id", F.round(F.col("score") - pivot, 6).alias("relative"))
+    runs = materialize(base.runs(spark, sf), "runs")
+    w = Window.partitionBy("query_id", "method").orderBy(*run_order())
+    fifth = runs.withColumn("rank", F.row_number().over(w)).where("rank <= 5").groupBy("query_id", "method").agg(F.min("score").alias("pivot"))
+    return runs.join(fifth, ["query_id", "method"]).select("query_id", "method", "doc_id", F.round(F.col("score") - F.col("pivot"), 6).alias("relative"))
 
 
 def edge_rank_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,7 +207,7 @@ def text_overlap_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("id", F.explode(text.overlapping_chunks(F.col("content"), 100, 20)).alias("c")).select("id", "c.offset", "c.chunk")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, ql_dirichlet_topk, ql_dirichlet_small_mu, freq_term_drop, corpus_stats, corpus_stats_merged, inverted_index, bag_of_words, tokenize_stats, stem_counts, bigrams, run_ranked, run_rank_cutoff, run_pool_topk, run_method_counts, run_nub, run_partition_recombine, run_line_format, run_reciprocal_distribution, rank_relative_score, edge_rank_weights, entity_rank_by_passage, lead_passage_attach, run_append_unmentioned, run_dummy_for_empty, section_recommend, text_overlap_chunks)}
+QUERIES = {f.__name__: f for f in (bm25_topk, ql_dirichlet_topk, ql_dirichlet_small_mu, freq_term_drop, corpus_stats, corpus_stats_merged, inverted_index, bag_of_words, tokenize_stats, stem_counts, stem_tokens, latin_words, bigrams, run_ranked, run_rank_cutoff, run_pool_topk, run_method_counts, run_nub, run_partition_recombine, run_line_format, run_reciprocal_distribution, rank_relative_score, edge_rank_weights, entity_rank_by_passage, lead_passage_attach, run_append_unmentioned, run_dummy_for_empty, section_recommend, text_overlap_chunks)}
 
 _POSTS = f"toks AS (SELECT doc_id, {text.tokens_sql('text')} AS w FROM documents), docs AS (SELECT doc_id, w, len(w) AS len FROM toks WHERE len(w) > 0), posts AS (SELECT term, doc_id, count(*) AS tf, CAST(max(len) AS INTEGER) AS len FROM (SELECT doc_id, len, unnest(w) AS term FROM docs) GROUP BY term, doc_id), stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posts GROUP BY term), size AS (SELECT count(*) AS n_docs, sum(len) AS n_tokens FROM docs)"
 _TERMS = f"topics AS (SELECT DISTINCT {HEADING} AS query_id FROM assessments), terms AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({text.tokens_sql('url_decode(query_id)')}) AS term FROM topics WHERE query_id <> '') GROUP BY ALL)"
@@ -216,7 +242,9 @@ SQL = {
     "inverted_index": f"WITH {_POSTS} SELECT * FROM posts",
     "bag_of_words": f"WITH {base.PARA} SELECT id AS doc_id, term, count(*) AS tf FROM (SELECT id, unnest({text.tokens_sql('content')}) AS term FROM para) GROUP BY ALL",
     "tokenize_stats": f"WITH {base.PARA}, w AS (SELECT id, coalesce(list_filter({text.tokens_sql('content')}, lambda x: len(x) > 1 AND NOT list_contains({_STOP}, x)), []) AS w FROM para) SELECT id, CAST(len(w) AS INTEGER) AS n_tokens, CAST(len(list_distinct(w)) AS INTEGER) AS n_types FROM w",
-    "stem_counts": f"WITH {base.PARA}, w AS (SELECT unnest(list_filter({text.tokens_sql('content')}, lambda x: len(x) > 1 AND NOT list_contains({_STOP}, x))) AS w FROM para) SELECT CASE WHEN len(w) < 5 THEN w ELSE regexp_replace(w, '(ies|ing|ed|es|s)$', '') END AS stem, count(*) AS n FROM w GROUP BY 1",
+    "stem_counts": f"WITH {base.PARA}, w AS (SELECT unnest(list_filter({text.tokens_sql('content')}, lambda x: len(x) > 1 AND NOT list_contains({_STOP}, x))) AS w FROM para) SELECT stem, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {stem.stems_sql('[w]')}[1] AS stem, n FROM (SELECT w, count(*) AS n FROM w GROUP BY w)) GROUP BY stem",
+    "stem_tokens": f"WITH {base.PARA}, t AS (SELECT unnest(regexp_extract_all(translate(lower(content), 'ς', 'σ'), '{text.WORD}|[^\\s\\p{{L}}\\p{{M}}\\p{{N}}]')) AS token FROM para), n AS (SELECT token, count(*) AS n, {stem.stems_sql('[token]')}[1] AS stem FROM t GROUP BY token) SELECT token, CASE WHEN regexp_matches(token, '^{text.WORD}$') AND length(stem) >= 3 AND NOT list_contains({_STOP}, token) THEN stem END AS stem, n FROM n",
+    "latin_words": f"WITH {base.FRAG} SELECT id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower(title), '[''’]', '', 'g'), '[^a-z\u00df-\u00f6\u00f8-\u00ff]+', ' ', 'g'), ' '), lambda x: len(x) > 1 AND NOT list_contains({_STOP}, x)), ' ') AS words FROM frag WHERE title IS NOT NULL",
     "bigrams": f"WITH {base.PARA}, w AS (SELECT {text.tokens_sql('content')} AS w FROM para) SELECT w[i] || ' ' || w[i + 1] AS bigram, count(*) AS n FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1) GROUP BY 1",
     "run_ranked": f"WITH {_RANKED} SELECT * FROM ranked",
     "run_rank_cutoff": f"WITH {_RANKED} SELECT * FROM ranked WHERE rank <= 20",

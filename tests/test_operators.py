@@ -209,3 +209,17 @@ def test_shortest_path_scores_against_all_simple_paths(spark):
     got = graph.shortest_path_scores(spark.createDataFrame([(*k, v) for k, v in weights.items()], "src string, dst string, weight double"), spark.createDataFrame([(x,) for x in seeds], "node string"))
     assert {r["node"]: r["score"] for r in got.collect()} == {k: round(n / total, 9) for k, n in inner.items()}
     assert {"c1", "c6", "n0"} <= set(inner) and total > 2
+
+
+@pytest.mark.parametrize("long_list", [5, 1_000])
+def test_list_ranks_of_short_and_long_lists(spark, long_list):
+    import random
+
+    from tessellum.operators import ranking
+
+    rng = random.Random(8)
+    data = [(rng.choice(["a", "b", None]), float(rng.randint(0, 9)), i) for i in range(300)]
+    got = ranking.list_ranks(spark.createDataFrame(data, "g string, s double, i int"), ["g"], [F.desc("s"), F.asc("i")], long_list=long_list)
+    want = [(g, s, i, 1 + sum(1 for h, t, j in data if h == g and (-t, j) < (-s, i))) for g, s, i in data]
+    assert rows(got.select("g", "s", "i", "rank")) == sorted(want, key=repr)
+    assert [r[0] for r in ranking.numbered(spark.range(100).select((99 - F.col("id")).alias("x")), [F.asc("x")]).where("k - 1 <> x").collect()] == []
