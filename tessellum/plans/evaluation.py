@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assess
 from ..operators import evaluate as ev
-from ..operators import ranking
+from ..operators import learning, ranking
 from ..storage import materialize
 from . import base
 from .retrieval import run_order, run_ranked
@@ -268,13 +268,25 @@ def chosen(rows: DataFrame, id_col: str, ids: list[str], name_col: str, names: l
 
 # -- learning ------------------------------------------------------------------------------------------
 
-METHODS = ["bm25", "bm25_rm3", "cosine", "link_count", "ltr", "ql", "walk_pagerank"]
+def _methods(spark: SparkSession, sf: str) -> list[str]:
+    """The registered methods in order of their names."""
+    return sorted(r["method"] for r in table(spark, sf, "ranking_methods").collect())
 
 
 def run_features_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    """Reciprocal rank of each method per query and item, 0 where absent."""
-    r = run_ranked(spark, sf).groupBy("query_id", "doc_id").pivot("method", METHODS).agg(F.first(1 / F.col("rank")))
-    return r.select("query_id", "doc_id", *[F.round(F.coalesce(m, F.lit(0.0)), 9).alias(m) for m in METHODS])
+    """Reciprocal rank of each method per query and item, 0 where absent; one row for each method."""
+    methods = table(spark, sf, "ranking_methods").select("method")
+    ranked = run_ranked(spark, sf).join(F.broadcast(methods), "method", "left_semi")
+    items = ranked.select("query_id", "doc_id").distinct().crossJoin(F.broadcast(methods))  # a few methods
+    r = items.join(ranked, ["query_id", "doc_id", "method"], "left")
+    return r.select("query_id", "doc_id", "method", F.round(F.coalesce(1 / F.col("rank"), F.lit(0.0)), 9).alias("reciprocal"))
+
+
+def _feature_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """(query_id, doc_id, features): reciprocal ranks of all registered methods."""
+    methods = _methods(spark, sf)
+    r = run_ranked(spark, sf).groupBy("query_id", "doc_id").pivot("method", methods).agg(F.first(1 / F.col("rank")))
+    return r.select("query_id", "doc_id", F.array(*[F.coalesce(F.col(m), F.lit(0.0)) for m in methods]).alias("features")), methods
 
 
 def run_feature_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,22 +302,18 @@ def zscore_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def posify_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """Positive edge weights from scores: exponential, logistic, cut at 0, above the minimum."""
+    """Positive edge weights from scores: exponential (plain and of the score over the query's deviation), logistic, cut at 0, above the minimum."""
     r = base.runs(spark, sf).where("method = 'ltr'")
-    low = r.groupBy("query_id").agg(F.min("score").alias("low"))
-    s = F.col("score")
-    return r.join(low, "query_id").select("query_id", "doc_id", F.round(F.exp(s), 6).alias("exponential"), F.round(1 / (1 + F.exp(-s)), 6).alias("logistic"), F.greatest(s, F.lit(0.0)).alias("cut"), F.round(s - F.col("low") + 1.0, 6).alias("linear"))
+    low = r.groupBy("query_id").agg(F.min("score").alias("low"), F.stddev_pop("score").alias("s"))
+    kinds = {k: learning.positive_weight(F.col("score"), k, F.col("low"), F.coalesce(F.col("score") / F.nullif("s", F.lit(0.0)), F.lit(0.0))) for k in ("exp", "denormal-exp", "logistic", "cut", "linear")}
+    names = {"exp": "exponential", "denormal-exp": "denormal"}
+    return r.join(low, "query_id").select("query_id", "doc_id", *[F.round(c, 6).alias(names.get(k, k)) for k, c in kinds.items()])
 
 
 def balanced_sample(spark: SparkSession, sf: str) -> DataFrame:
     """As many irrelevant as relevant judgements, drawn by hash: the smaller class is kept whole."""
-    q = base.qrels(spark, sf).select("query_id", "doc_id", (F.col("rel") > 0).cast("int").alias("label"), F.md5(F.concat_ws("|", "query_id", "doc_id")).alias("h"))
-    n = q.groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
-    # positions by hash: counts per leading hash digits give offsets, so no task ranks a whole class
-    q = q.withColumn("cell", F.substring("h", 1, 3))
-    cells = q.groupBy("label", "cell").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.partitionBy("label").orderBy("cell")) - F.col("c"))
-    placed = q.withColumn("k", F.row_number().over(Window.partitionBy("label", "cell").orderBy("h"))).join(cells, ["label", "cell"]).crossJoin(F.broadcast(n))
-    return placed.where(F.col("before") + F.col("k") <= F.col("least")).select("query_id", "doc_id", "label")
+    q = base.qrels(spark, sf).select("query_id", "doc_id", (F.col("rel") > 0).cast("int").alias("label"))
+    return learning.balanced(materialize(q, "labels"), ["query_id", "doc_id"]).select("query_id", "doc_id", "label")
 
 
 def pair_relevance(spark: SparkSession, sf: str) -> DataFrame:
@@ -339,52 +347,32 @@ def running_count_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def svm_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Linear classifiers of run features over a grid of regularisation, with their F1 on held-out rows; the best first."""
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import VectorAssembler
-
-    data = run_features_pivot(spark, sf).join(base.qrels(spark, sf).select("query_id", "doc_id", (F.col("rel") > 0).cast("int").alias("label")), ["query_id", "doc_id"])
-    data = VectorAssembler(inputCols=METHODS, outputCol="features").transform(data).select("query_id", "label", "features")
-    data = materialize(data, "features")
-    held = F.pmod(F.xxhash64("query_id"), F.lit(4)) == 0
-    out = []
-    for c in (0.1, 1.0, 10.0):
-        model = LinearSVC(regParam=1 / (100 * c), maxIter=8).fit(data.where(~held))
-        r = model.transform(data.where(held)).agg(F.count_if(F.expr("prediction = 1 AND label = 1")).alias("tp"), F.count_if(F.expr("prediction = 1 AND label = 0")).alias("fp"), F.count_if(F.expr("prediction = 0 AND label = 1")).alias("fn")).first()
-        total = 2 * r["tp"] + r["fp"] + r["fn"]
-        out.append((c, 2 * r["tp"] / total if total else 0.0))
-    return spark.createDataFrame(sorted(out, key=lambda x: (-x[1], x[0])), "c double, f1 double")
+    """Linear classifiers of run features over a grid of 20 costs on balanced classes, with their F1 on held-out queries; the best first."""
+    rows, _ = _feature_rows(spark, sf)
+    labelled = rows.join(base.qrels(spark, sf).select("query_id", "doc_id", (F.col("rel") > 0).cast("int").alias("label")), ["query_id", "doc_id"])
+    rows = learning.standardised(learning.balanced(materialize(labelled, "labelled"), ["query_id", "doc_id"]))[0]
+    grid = learning.svm_grid(rows.withColumn("held", F.pmod(F.xxhash64("query_id"), F.lit(4)) == 0))
+    return spark.createDataFrame([(c, f1) for c, f1, _ in grid], "c double, f1 double")
 
 
 def coordinate_ascent(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature weights that raise mean average precision, one coordinate at a time.
-
-    Per step all candidate weights are scored in one job: features stay distributed, only one
-    MAP per candidate comes back.
-    """
-    features = METHODS[:4]
-    rel = _relevant(spark, sf)
-    rows = run_features_pivot(spark, sf).join(rel.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "doc_id", *features)
-    rows = materialize(rows, "features")
-    weights = {f: 1.0 for f in features}
-    best = -1.0
-    for f in features:
-        options = [0.0, 0.5, 1.0, 2.0]
-        tries = F.explode(F.array(*[F.struct(F.lit(i).alias("option"), sum((F.col(g) * (o if g == f else weights[g]) for g in features), F.lit(0.0)).alias("score")) for i, o in enumerate(options)])).alias("t")
-        scored = rows.select("query_id", "doc_id", tries).select("query_id", "doc_id", "t.option", "t.score")
-        w = Window.partitionBy("query_id", "option").orderBy(F.desc("score"), "doc_id")
-        ap = ev.average_precision(scored.withColumn("rank", F.row_number().over(w)), rel, ["option"])
-        found = {r["option"]: r["m"] for r in ap.groupBy("option").agg(F.avg("ap").alias("m")).collect()}
-        if found:
-            top = max(sorted(found), key=lambda i: (found[i], -abs(options[i] - weights[f])))
-            if found[top] > best:
-                best, weights[f] = found[top], options[top]
-    return spark.createDataFrame([(f, w, best) for f, w in weights.items()], "feature string, weight double, map double")
+    """Feature weights of all methods that raise mean average precision, for each fold of queries."""
+    rows, methods = _feature_rows(spark, sf)
+    weights, trained, tested, spread = learning.coordinate_ascent(rows, _relevant(spark, sf))
+    out = [(f, m, w, raw, trained[f], tested[f]) for f, ws in enumerate(weights) for m, w, raw in zip(methods, ws, learning.raw_weights(ws, spread))]
+    return spark.createDataFrame(out, "fold int, feature string, weight double, raw_weight double, train_map double, test_map double")
+
+
+def category_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as sets of their sections' headings, by number in a dictionary of the 500 commonest."""
+    f = base.fragments(spark, sf).where("parent IS NOT NULL AND title IS NOT NULL").select(F.col("parent").alias("id"), F.trim("title").alias("category"))
+    vectors, _ = learning.category_vectors(f, 500)
+    return vectors.select("id", F.array_join("indices", ",").alias("indices"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (map_score, average_precisions, prf1_at_5, prf1_avg, mean_stderr_table, system_ranks, kendall_tau, spearman, cronbach_alpha, confusion_matrix, cohen_kappa, cohen_kappa_adjacent, fleiss_kappa, qrel_overlap, assessor_counts, seconds_per_assessment, new_assessments, qrel_binary, qrel_augment, qrel_drop_unjudged, qrel_pad_full, assess_merge_latest, assess_filter_time, assess_filter_run, assess_clean, assess_anonymize, assess_merge_annotators, assess_first_file_wins, assess_run_union, assessments_to_qrels, grade_remap, label_to_grade, missing_stats, page_metrics, repair_transitions, run_features_pivot, run_feature_summary, zscore_features, posify_weights, balanced_sample, pair_relevance, pair_transition, sliding_window_k, running_count_topk, svm_grid, coordinate_ascent)
+    for f in (map_score, average_precisions, prf1_at_5, prf1_avg, mean_stderr_table, system_ranks, kendall_tau, spearman, cronbach_alpha, confusion_matrix, cohen_kappa, cohen_kappa_adjacent, fleiss_kappa, qrel_overlap, assessor_counts, seconds_per_assessment, new_assessments, qrel_binary, qrel_augment, qrel_drop_unjudged, qrel_pad_full, assess_merge_latest, assess_filter_time, assess_filter_run, assess_clean, assess_anonymize, assess_merge_annotators, assess_first_file_wins, assess_run_union, assessments_to_qrels, grade_remap, label_to_grade, missing_stats, page_metrics, repair_transitions, run_features_pivot, run_feature_summary, zscore_features, posify_weights, balanced_sample, pair_relevance, pair_transition, sliding_window_k, running_count_topk, svm_grid, coordinate_ascent, category_features)
 }
 
 _RK = f"{base.QREL}, {base.RUN}, relv AS (SELECT query_id, doc_id FROM qrel WHERE rel > 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, doc_id) AS rank FROM run WHERE query_id IN (SELECT query_id FROM relv)), nrel AS (SELECT query_id, count(*) AS n_rel FROM relv GROUP BY ALL), hits AS (SELECT r.*, (v.doc_id IS NOT NULL)::INT AS hit FROM ranked r LEFT JOIN relv v USING (query_id, doc_id))"
@@ -446,10 +434,11 @@ SQL = {
 }
 _RALL = f"{base.RUN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, doc_id) AS rank FROM run)"
 SQL |= {
-    "run_features_pivot": f"WITH {_RALL} SELECT query_id, doc_id, " + ", ".join(f"round(coalesce(max(1.0::DOUBLE / rank) FILTER (method = '{m}'), 0), 9) AS {m}" for m in METHODS) + " FROM ranked GROUP BY query_id, doc_id",
+    "run_features_pivot": f"WITH {_RALL}, items AS (SELECT DISTINCT query_id, doc_id, m.method FROM ranked r JOIN ranking_methods x ON x.method = r.method, ranking_methods m) SELECT query_id, doc_id, method, round(coalesce(1.0::DOUBLE / rank, 0), 9) AS reciprocal FROM items LEFT JOIN ranked USING (query_id, doc_id, method)",
+    "category_features": f"WITH {base.FRAG}, c AS (SELECT DISTINCT parent AS id, trim(title, ' ') AS category FROM frag WHERE parent IS NOT NULL AND title IS NOT NULL), d AS (SELECT category, row_number() OVER (ORDER BY count(*) DESC, category) - 1 AS i FROM c GROUP BY category) SELECT id, array_to_string(list(i ORDER BY i), ',') AS indices FROM c JOIN d USING (category) WHERE i < 500 GROUP BY id",
     "run_feature_summary": f"WITH {_RALL} SELECT query_id, doc_id, count(*) AS n_runs, round(sum(1.0::DOUBLE / rank), 9) AS sum_rr, min(rank) AS best_rank FROM ranked GROUP BY ALL",
     "zscore_features": f"WITH {base.RUN}, s AS (SELECT method, avg(score) AS m, stddev_pop(score) AS s FROM run GROUP BY ALL) SELECT query_id, doc_id, method, round((score - m) / s, 6) AS z FROM run JOIN s USING (method)",
-    "posify_weights": f"WITH {base.RUN}, r AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS low FROM run WHERE method = 'ltr') SELECT query_id, doc_id, round(exp(score), 6) AS exponential, round(1 / (1 + exp(-score)), 6) AS logistic, greatest(score, 0.0) AS cut, round(score - low + 1.0, 6) AS linear FROM r",
+    "posify_weights": f"WITH {base.RUN}, r AS (SELECT *, min(score) OVER w AS low, stddev_pop(score) OVER w AS s FROM run WHERE method = 'ltr' WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, round(exp(score), 6) AS exponential, round(exp(coalesce(score / nullif(s, 0), 0)), 6) AS denormal, round(1 / (1 + exp(-score)), 6) AS logistic, round(greatest(score, 0.0), 6) AS cut, round(score - low + 1.0, 6) AS linear FROM r",
     "balanced_sample": f"WITH {base.QREL}, q AS (SELECT query_id, doc_id, (rel > 0)::INT AS label, md5(concat_ws('|', query_id, doc_id)) AS h FROM qrel), l AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM q GROUP BY label)) SELECT query_id, doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS k FROM q), l WHERE k <= least",
     "pair_relevance": f"WITH {base.FRAG}, {base.PLACE} SELECT 1 AS label, fragment, paragraph_id, title FROM place JOIN frag ON id = fragment WHERE title IS NOT NULL",
     "pair_transition": f"WITH {base.PLACE}, r AS (SELECT fragment, paragraph_id, lead(paragraph_id, 1) OVER w AS n1, lead(paragraph_id, 4) OVER w AS n4 FROM place WINDOW w AS (PARTITION BY fragment ORDER BY pf_id)) SELECT 1 AS label, fragment, paragraph_id AS id1, n1 AS id2 FROM r WHERE n1 IS NOT NULL UNION ALL SELECT 0, fragment, paragraph_id, n4 FROM r WHERE n4 IS NOT NULL",
