@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dedup, graph, hierarchy
+from ..operators import dedup, expansion, graph, hierarchy
 from ..operators.components import connected_components
 from ..storage import materialize
 from . import base
@@ -124,20 +124,20 @@ def attribute_rank(spark: SparkSession, sf: str) -> DataFrame:
     return graph.pagerank(edges, ROUNDS, TELEPORT, graph.attribute_jump(rows, ATTRIBUTES))
 
 
-def _rank_sql(edges: str, jumps: str | None = None, rounds: int = ROUNDS) -> str:
-    """CTEs r0..rN of the walk; ``jumps``: SQL of (node, jump)."""
+def _rank_sql(edges: str, jumps: str | None = None, rounds: int = ROUNDS, name: str = "r", shares: bool = True) -> str:
+    """CTEs <name>0..<name>N of the walk; ``jumps``: SQL of (node, jump); ``shares``: whether those of the edges come along."""
     jumps = jumps or "SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM node) AS jump FROM node"
     parts = [
         f"node AS (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges})",
-        f"jumps AS MATERIALIZED ({jumps})",
         f"tot AS (SELECT src, sum(weight)::DOUBLE AS total FROM {edges} GROUP BY src)",
         f"share AS MATERIALIZED (SELECT e.src, e.dst, e.weight / t.total AS share FROM {edges} e JOIN tot t USING (src))",
-        "r0 AS (SELECT node, jump AS score FROM jumps)",
-    ]
+    ] if shares else []
+    parts += [f"{name}_jumps AS MATERIALIZED ({jumps})", f"{name}0 AS (SELECT node, jump AS score FROM {name}_jumps)"]
     for i in range(1, rounds + 1):
+        was = f"{name}{i - 1}"
         parts.append(
-            f"r{i} AS MATERIALIZED (SELECT j.node, {TELEPORT} * j.jump + (1 - {TELEPORT}) * (coalesce(f.flow, 0) + coalesce((SELECT sum(score) FROM r{i - 1} WHERE node NOT IN (SELECT src FROM tot)), 0) * j.jump) AS score "
-            f"FROM jumps j LEFT JOIN (SELECT dst, sum(score * share) AS flow FROM share JOIN r{i - 1} ON node = src GROUP BY dst) f ON f.dst = j.node)"
+            f"{name}{i} AS MATERIALIZED (SELECT j.node, {TELEPORT} * j.jump + (1 - {TELEPORT}) * (coalesce(f.flow, 0) + coalesce((SELECT sum(score) FROM {was} WHERE node NOT IN (SELECT src FROM tot)), 0) * j.jump) AS score "
+            f"FROM {name}_jumps j LEFT JOIN (SELECT dst, sum(score * share) AS flow FROM share JOIN {was} ON node = src GROUP BY dst) f ON f.dst = j.node)"
         )
     return ", ".join(parts)
 
@@ -204,6 +204,32 @@ def graph_expansion_run(spark: SparkSession, sf: str) -> DataFrame:
     return named.withColumn("rank", F.row_number().over(rank)).where("rank <= 100").select("query_id", "entity", "score", "passage", "rank")
 
 
+FILTERS: dict[str, int | None] = {"full": None, "top3": 3}
+WALKS = ["pagerank", "personal", "margin"]
+MODELS = ["bm25", "ql"]
+WALK_ROUNDS, SEEDS, DEPTH = 5, 5, 20
+
+
+def _model_runs(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("query_id", "method").orderBy(F.desc("score"), "doc_id")
+    rows = base.runs(spark, sf).where(F.col("method").isin(MODELS)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= DEPTH)
+    return rows.select(F.col("method").alias("model"), "query_id", F.col("doc_id").alias("doc"), "rank")
+
+
+def graph_method_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of every method of the grid: paragraphs, edge graph, filter, weighting, walk, ranking, passage; a dummy row where a ranking is empty."""
+    docs = materialize(_edge_docs(spark, sf), "edge_docs")
+    ranked = materialize(_model_runs(spark, sf), "ranked")
+    seen = ranked.where("model = 'bm25'").join(docs, "doc").groupBy("query_id", "node").agg(F.count("*").alias("n"))
+    seeds = seen.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "node"))).where(F.col("k") <= SEEDS)
+    scores = expansion.walk_scores(expansion.cell_edges(ranked, docs, FILTERS), seeds, WALKS, WALK_ROUNDS, TELEPORT)
+    runs = expansion.method_runs(scores, DEPTH)
+    grid = [("-".join((g, e, w, m)),) for g in FILTERS for e in expansion.WEIGHTINGS for w in WALKS for m in MODELS]
+    runs = expansion.with_dummies(runs, spark.createDataFrame(grid, "method string"), ranked.select("query_id").distinct(), F.lit(-1))
+    passage = ranked.join(docs, "doc").groupBy("model", "query_id", "node").agg(F.min_by("doc", F.struct("rank", "doc")).alias("passage"))
+    return runs.withColumn("model", F.substring_index("method", "-", -1)).join(passage, ["model", "query_id", "node"], "left").select("method", "query_id", F.col("node").alias("entity"), "score", "rank", "passage")
+
+
 # -- duplicates ------------------------------------------------------------------------------------
 
 
@@ -317,6 +343,30 @@ _LIKE = f"""raw AS (SELECT node, {_ATTRIBUTES} FROM (SELECT src AS node FROM ped
     likeness AS (SELECT node, w * (t + 2 * {_GAMMA} * ({' + '.join(f'x{i} * t{i}' for i in _AXES)}) + 2 * {_GAMMA} * {_GAMMA} * ({' + '.join(f'x{i} * x{j} * t{i}{j}' for i in _AXES for j in _AXES)})) AS weight FROM zw, sums)"""
 
 
+def _method_runs_sql() -> str:
+    key = lambda node: f"concat_ws(chr(1), graph, weighting, model, query_id, {node})"
+    walks = _rank_sql("flat", None, WALK_ROUNDS)
+    personal = _rank_sql("flat", "SELECT node, CASE WHEN node IN (SELECT key FROM seeded) THEN 1.0 / (SELECT count(*) FROM seeded) ELSE 0 END AS jump FROM node", WALK_ROUNDS, "p", shares=False)
+    filters = " UNION ALL ".join(f"SELECT '{g}' AS graph, weighting, model, query_id, src, dst, weight FROM weighed" + (f" WHERE k <= {n}" if n else "") for g, n in FILTERS.items())
+    grid = " UNION ALL ".join(f"SELECT '{g}-{e}-{w}-{m}' AS method" for g in FILTERS for e in expansion.WEIGHTINGS for w in WALKS for m in MODELS)
+    models = ", ".join(f"'{m}'" for m in MODELS)
+    return f"""WITH {base.RUN}, {_EDOCS}, ranked AS MATERIALIZED (SELECT * FROM (SELECT method AS model, query_id, doc_id AS doc, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, doc_id) AS rank FROM run WHERE method IN ({models})) WHERE rank <= {DEPTH}),
+        met AS MATERIALIZED (SELECT model, query_id, doc, rank, node FROM ranked JOIN edoc USING (doc)),
+        seeds AS (SELECT query_id, node FROM (SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, node) AS k FROM met WHERE model = 'bm25' GROUP BY query_id, node) WHERE k <= {SEEDS}),
+        pairs AS MATERIALIZED (SELECT a.model, a.query_id, a.node AS src, b.node AS dst, count(*)::DOUBLE AS c, round(sum(1.0::DOUBLE / a.rank), 12) AS r FROM met a JOIN met b ON a.model = b.model AND a.query_id = b.query_id AND a.doc = b.doc AND a.node <> b.node GROUP BY ALL),
+        kinds AS (SELECT 'count' AS weighting, model, query_id, src, dst, c AS weight FROM pairs UNION ALL SELECT 'reciprocal', model, query_id, src, dst, r FROM pairs),
+        weighed AS (SELECT *, row_number() OVER (PARTITION BY weighting, model, query_id, src ORDER BY weight DESC, dst) AS k FROM kinds),
+        edges AS MATERIALIZED ({filters}), names AS MATERIALIZED (SELECT DISTINCT graph, weighting, model, query_id, n, {key('n')} AS key FROM (SELECT *, src AS n FROM edges UNION ALL SELECT *, dst AS n FROM edges)),
+        flat AS MATERIALIZED (SELECT {key('src')} AS src, {key('dst')} AS dst, weight FROM edges), seeded AS MATERIALIZED (SELECT key FROM names JOIN seeds ON seeds.query_id = names.query_id AND seeds.node = names.n),
+        {walks}, {personal},
+        scores AS (SELECT 'pagerank' AS walk, node AS key, round(score, 15) AS score FROM r{WALK_ROUNDS} UNION ALL SELECT 'personal', node, round(score, 15) FROM p{WALK_ROUNDS} UNION ALL SELECT 'margin', src, sum(weight) FROM flat GROUP BY src),
+        named AS (SELECT concat_ws('-', graph, weighting, walk, model) AS method, model, query_id, n, round(CASE WHEN sum(score) OVER w > 0 THEN score / sum(score) OVER w ELSE 0 END, 9) AS score FROM scores JOIN names USING (key) WINDOW w AS (PARTITION BY walk, graph, weighting, model, query_id)),
+        runs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method, query_id ORDER BY score DESC, n) AS rank FROM named) WHERE rank <= {DEPTH}),
+        passage AS (SELECT model, query_id, node AS n, arg_min(doc, (rank, doc)) AS passage FROM met GROUP BY ALL),
+        grid AS ({grid}), empty AS (SELECT method, query_id FROM grid, (SELECT DISTINCT query_id FROM ranked) WHERE (method, query_id) NOT IN (SELECT method, query_id FROM runs))
+        SELECT method, query_id, n AS entity, score, rank, passage FROM runs LEFT JOIN passage USING (model, query_id, n) UNION ALL SELECT method, query_id, -1, 0.0, 1, NULL FROM empty"""
+
+
 def _converged_sql() -> str:
     """The first round whose change is small enough, else the last."""
     changes = " UNION ALL ".join(f"SELECT {i} AS i, (SELECT sum((a.score - b.score) ** 2) <= {TOLERANCE**2} * sum(a.score ** 2) FROM r{i} a JOIN r{i - 1} b USING (node)) AS small" for i in range(1, MOST_ROUNDS + 1))
@@ -326,7 +376,7 @@ def _converged_sql() -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (edge_docs, edge_graph, marginal_edges, degree_centrality, degree_stats, degree_hist, symmetric_edges, topn_edges, random_edges, pagerank, personalized_pagerank, prior_walk, converged_pagerank, attribute_rank, seed_distances, distance_hist, distance_summary, k_hop_paths, shortest_path_scores, topn_edges_with_seeds, ancestor_table, method_grid, graph_expansion_run, jaccard_dup_pairs, dup_classes, dup_components, dup_rewrite_table, dup_map_run, dup_rewrite_pages, lsh_buckets, bucket_counts, match_two_corpora, label_centroids, minhash_approx)
+    for f in (edge_docs, edge_graph, marginal_edges, degree_centrality, degree_stats, degree_hist, symmetric_edges, topn_edges, random_edges, pagerank, personalized_pagerank, prior_walk, converged_pagerank, attribute_rank, seed_distances, distance_hist, distance_summary, k_hop_paths, shortest_path_scores, topn_edges_with_seeds, ancestor_table, method_grid, graph_expansion_run, graph_method_runs, jaccard_dup_pairs, dup_classes, dup_components, dup_rewrite_table, dup_map_run, dup_rewrite_pages, lsh_buckets, bucket_counts, match_two_corpora, label_centroids, minhash_approx)
 }
 
 SQL = {
@@ -357,6 +407,7 @@ SQL = {
         e AS (SELECT query_id, node AS entity, round(sum(1.0::DOUBLE / r), 9) AS score, arg_min(doc_id, r) AS passage FROM top JOIN edoc ON doc = doc_id GROUP BY ALL),
         n AS (SELECT e.* FROM e JOIN frag f ON f.id = entity WHERE f.page_id IS NULL OR regexp_extract(query_id, '^([^/]*)/', 1) <> f.page_id)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS rank FROM n) WHERE rank <= 100""",
+    "graph_method_runs": _method_runs_sql(),
     "jaccard_dup_pairs": f"WITH {_PAIRS} SELECT a, b, similarity FROM pairs",
     "dup_classes": f"WITH {_SETS} SELECT id, class_id FROM classes",
     "dup_components": f"WITH RECURSIVE {_PAIRS}, ends AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), {_COMP} SELECT x AS node, least(x, min(y)) AS component FROM reach GROUP BY x",
