@@ -18,7 +18,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_bucket
@@ -149,3 +149,13 @@ def compile_predicate(text: str, pages: Pages, read: Callable[[str], list[str]]
     if parser.at != len(parser.tokens):
         raise ValueError(f"unread rest of the predicate: {parser.tokens[parser.at:]}")
     return out
+
+
+def keep_listed(pages: DataFrame, column: str, values: DataFrame, drop: bool = False) -> DataFrame:
+    """Pages whose ``column`` is among the rows of the one-column ``values``, or is not if ``drop``.
+
+    For sets too large for literals (``name-set-from-file`` puts each line into the plan): the
+    set stays a table and is joined.
+    """
+    listed = values.select(F.trim(F.col(values.columns[0]).cast("string")).alias("_listed")).where("_listed <> ''").distinct()
+    return pages.join(listed, F.col(column) == F.col("_listed"), "left_anti" if drop else "left_semi")

@@ -150,10 +150,11 @@ def unordered_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def disjoint_facets(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of queries of one page that share no facet."""
-    q = table(spark, sf, "assessments").where("facet_id IS NOT NULL AND query_id IS NOT NULL").groupBy("query_id").agg(F.sort_array(F.collect_set("facet_id")).alias("f")).withColumn("page", F.regexp_extract("query_id", "^([^/]*)/", 1))
-    a, b = q.select("page", F.col("query_id").alias("a"), F.col("f").alias("fa")), q.select("page", F.col("query_id").alias("b"), F.col("f").alias("fb"))
-    return a.join(b, "page").where((F.col("a") < F.col("b")) & ~F.arrays_overlap("fa", "fb")).select("a", "b")
+    """Sessions of a query that share no facet with the session before them."""
+    q = table(spark, sf, "assessments").where("facet_id IS NOT NULL AND query_id IS NOT NULL").groupBy("query_id", "session_id").agg(F.collect_set("facet_id").alias("f"))
+    w = Window.partitionBy("query_id").orderBy("session_id")
+    n = q.select("query_id", F.lag("session_id").over(w).alias("a"), F.col("session_id").alias("b"), F.lag("f").over(w).alias("fa"), "f")
+    return n.where("a IS NOT NULL").where(~F.arrays_overlap("fa", "f")).select("query_id", "a", "b")
 
 
 def subgraph_restrict(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,10 +218,15 @@ def span_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def span_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Anchors of one paragraph whose spans overlap, equal starts left out."""
+    """Anchors and the stretches of 100 characters (reaching 20 beyond) of their paragraph that they overlap.
+
+    A span meets the stretches whose numbers follow from its ends, so the join is one of equal keys.
+    """
     s = span_split(spark, sf).join(base.links(spark, sf).select("link_id", "paragraph"), "link_id")
-    a, b = s.select("paragraph", F.col("link_id").alias("a"), F.col("start").alias("sa"), F.col("stop").alias("ea")), s.select("paragraph", F.col("link_id").alias("b"), F.col("start").alias("sb"), F.col("stop").alias("eb"))
-    return a.join(b, "paragraph").where("a <> b AND sa < sb AND sb < ea").select("a", "b")
+    first, last = F.greatest(F.floor((F.col("start") - 20) / 100) + 0, F.lit(0)), F.floor((F.col("stop") - 1) / 100)
+    met = s.select("link_id", "paragraph", "start", "stop", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("stretch"))
+    chunks = base.paragraphs(spark, sf).where("content <> ''").select(F.col("id").alias("paragraph"), F.explode(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / 100).cast("int"))).alias("stretch"))
+    return met.join(chunks, ["paragraph", "stretch"]).where("start < stretch * 100 + 120 AND stop > stretch * 100").select("link_id", "stretch")
 
 
 def star_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,8 +244,8 @@ def star_pricing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def star_customers(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers without an order, per market segment."""
-    c = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    """Customers without an urgent order, per market segment."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_orderpriority LIKE '1%'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return c.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
@@ -273,7 +279,7 @@ SQL = {
     "union_combine": f"WITH {_TWO} SELECT query_id, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL",
     "left_biased_union": f"WITH {base.RUN} SELECT query_id, doc_id, side, score FROM (SELECT query_id, doc_id, CASE WHEN method = 'bm25' THEN 0 ELSE 1 END AS side, score, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY method) AS rn FROM run WHERE method IN ('bm25', 'ql')) WHERE rn = 1",
     "unordered_edges": f"WITH {base.LINK} SELECT DISTINCT least(src, dest) AS a, greatest(src, dest) AS b FROM link",
-    "disjoint_facets": "WITH q AS (SELECT query_id, list(DISTINCT facet_id) AS f, regexp_extract(query_id, '^([^/]*)/', 1) AS page FROM assessments WHERE facet_id IS NOT NULL AND query_id IS NOT NULL GROUP BY query_id) SELECT x.query_id AS a, y.query_id AS b FROM q x JOIN q y ON x.page = y.page AND x.query_id < y.query_id AND NOT list_has_any(x.f, y.f)",
+    "disjoint_facets": "WITH q AS (SELECT query_id, session_id, list(DISTINCT facet_id) AS f FROM assessments WHERE facet_id IS NOT NULL AND query_id IS NOT NULL GROUP BY ALL), n AS (SELECT query_id, lag(session_id) OVER w AS a, session_id AS b, lag(f) OVER w AS fa, f FROM q WINDOW w AS (PARTITION BY query_id ORDER BY session_id NULLS FIRST)) SELECT query_id, a, b FROM n WHERE a IS NOT NULL AND NOT list_has_any(fa, f)",
     "subgraph_restrict": f"WITH {base.LINK}, {base.FRAG} SELECT link_id, src, dest FROM link WHERE src IN (SELECT id FROM frag WHERE NOT deleted) AND dest IN (SELECT id FROM frag WHERE NOT deleted)",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "event_sessions": "WITH e AS (SELECT user_id, event_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(coalesce(gap::INT, 0)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS start FROM s GROUP BY user_id, session",
@@ -283,8 +289,8 @@ SQL = {
     "target_histogram": f"WITH {base.LINK} SELECT dest, count(*) AS n FROM link GROUP BY dest HAVING count(*) >= 5",
     "candidate_check": f"WITH {base.LINK}, {base.PLACE}, n AS (SELECT link_id, count(pf_id) AS n FROM link LEFT JOIN place ON paragraph_id = paragraph AND fragment = src WHERE paragraph IS NOT NULL GROUP BY link_id) SELECT link_id, CASE n WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'several' END AS fit FROM n",
     "span_split": f"WITH {_SPANS} SELECT link_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, CAST(n - stop AS INTEGER) AS rest FROM spans",
-    "span_overlap_join": f"WITH {_SPANS} SELECT x.link_id AS a, y.link_id AS b FROM spans x JOIN spans y ON x.paragraph = y.paragraph AND x.link_id <> y.link_id AND x.start < y.start AND y.start < x.stop",
+    "span_overlap_join": f"WITH {_SPANS}, c AS (SELECT id, CAST(unnest(range(0, length(content), 100)) // 100 AS INTEGER) AS stretch FROM para WHERE content <> '') SELECT link_id, stretch FROM spans JOIN c ON c.id = paragraph WHERE start < stretch * 100 + 120 AND stop > stretch * 100",
     "star_rollup": "SELECT r_name, n_name, CAST(sum(rev) AS DOUBLE) AS revenue FROM (SELECT l_suppkey, sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS rev FROM lineitem GROUP BY ALL) JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
     "star_pricing": "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS sum_price, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
-    "star_customers": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) GROUP BY ALL",
+    "star_customers": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority LIKE '1%') GROUP BY ALL",
 }

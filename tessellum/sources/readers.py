@@ -266,11 +266,11 @@ def cbor_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "file string, pos bigint, value string")
 
 
-def entity_links(texts: DataFrame, client, schema: str = "id string, spot string, start int, stop int, title string") -> DataFrame:
+def entity_links(texts: DataFrame, client, schema: str = "id string, spot string, start int, stop int, title string, error string") -> DataFrame:
     """Annotations of an entity-linking service.
 
     ``client(text)`` returns rows (spot, start, stop, title); it is called in the workers, rows
-    without title are dropped and a failing document is skipped. No client is shipped.
+    without title are dropped, and a failing document gives one row with its error. No client is shipped.
     """
 
     def work(frames: Iterator) -> Iterator:
@@ -280,9 +280,9 @@ def entity_links(texts: DataFrame, client, schema: str = "id string, spot string
             rows = []
             for key, text in zip(frame["id"], frame["text"]):
                 try:
-                    rows += [(key, *r) for r in client(text) if r[-1] is not None]
-                except OSError:
-                    continue
-            yield pd.DataFrame(rows, columns=["id", "spot", "start", "stop", "title"])
+                    rows += [(key, *r, None) for r in client(text) if r[-1] is not None]
+                except (OSError, ValueError) as e:
+                    rows.append((key, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["id", "spot", "start", "stop", "title", "error"]).astype({"start": "Int32", "stop": "Int32"})
 
     return texts.select("id", "text").mapInPandas(work, schema)

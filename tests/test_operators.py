@@ -223,3 +223,16 @@ def test_list_ranks_of_short_and_long_lists(spark, long_list):
     want = [(g, s, i, 1 + sum(1 for h, t, j in data if h == g and (-t, j) < (-s, i))) for g, s, i in data]
     assert rows(got.select("g", "s", "i", "rank")) == sorted(want, key=repr)
     assert [r[0] for r in ranking.numbered(spark.range(100).select((99 - F.col("id")).alias("x")), [F.asc("x")]).where("k - 1 <> x").collect()] == []
+
+
+def test_listed_pages_and_lists_with_links(spark):
+    from tessellum.operators import markup
+    from tessellum.operators.predicates import keep_listed
+
+    pages = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "name string, page int")
+    names = spark.createDataFrame([(" a ",), ("",), ("a",), (None,)], "line string")
+    assert rows(keep_listed(pages, "name", names).select("page")) == [(1,)]
+    assert rows(keep_listed(pages, "name", names, drop=True).select("page")) == [(2,), (3,)]
+    texts = spark.createDataFrame([("T", "Intro.\n\n* [[first]] and [[second]]\n* none")], "title string, text string")
+    lists = markup.nodes(texts, "title", "text").where("kind = 'list' AND size(links) > 0").select(F.element_at("links", 1)["target"].alias("t"))
+    assert [r[0].lower() for r in lists.collect()] == ["first"]

@@ -18,11 +18,14 @@ def test_query_equals_sql(spark, name):
     assert oracle.difference(QUERIES[name](spark, SMALL), SQL[name], SMALL) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"svm_grid", "minhash_approx"}))
+NO_ROWS = {"first_list_links"}  # the test tables hold no list with a link; tests/test_operators.py has some
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     df = QUERIES[name](spark, SMALL)
     assert df.columns
-    assert df.count() >= 0
+    assert (df.count() == 0) == (name in NO_ROWS)
 
 
 def test_entry(spark):
