@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -50,10 +50,43 @@ def class_sets(keyed: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("k").agg(F.min("id").alias("id")).select("id"), "id", "left_semi").select("id", "set")
 
 
-def rewrite_table(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, canonical): every id of a class or of linked classes to the smallest id of the component."""
+def rewrite_table(pairs: DataFrame, classes: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """(id, canonical): every id of a class or of linked classes to the smallest id of the component.
+
+    With the table of an earlier run (``previous``: id, canonical) a component that has one of its
+    ids keeps that id's canonical one (the smallest, if there are several).
+    """
     edges = pairs.select("a", "b").unionByName(classes.where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b")))
-    return connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("canonical"))
+    parts = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("canonical"))
+    if previous is None:
+        return parts
+    known = parts.join(previous.select("id", F.col("canonical").alias("old")), "id").groupBy("canonical").agg(F.min("old").alias("old"))
+    return parts.join(known, "canonical", "left").select("id", F.coalesce("old", "canonical").alias("canonical"))
+
+
+SIGNATURE_BITS = 1024
+
+
+def signature(items: Column) -> Column:
+    """A set's Bloom signature: 16 words of 64 bits, one bit of 1024 set for each member (by MD5)."""
+    bits = F.transform(items, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint") % SIGNATURE_BITS)
+
+    def words(at: Column) -> Column:
+        one = lambda w: F.aggregate(F.filter(at, lambda b: F.floor(b / 64) == w), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (b % 64).cast("int"))))
+        return F.transform(F.sequence(F.lit(0), F.lit(SIGNATURE_BITS // 64 - 1)), one)
+
+    return F.element_at(F.transform(F.array(bits), words), 1)
+
+
+def bits_set(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
+
+
+def signature_overlap(a: Column, b: Column) -> tuple[Column, Column]:
+    """(bits of both / bits of either, bits of both / bits of ``a``): the likeness of two signatures and its bound for what lies below ``a``; 0 without bits."""
+    both = bits_set(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
+    either = bits_set(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
+    return F.when(either > 0, both / either).otherwise(0.0), F.when(bits_set(a) > 0, both / bits_set(a)).otherwise(0.0)
 
 
 def gaussian_planes(n: int, dimensions: int, seed: int = 11) -> np.ndarray:

@@ -282,6 +282,23 @@ def duplicate_paragraph_counts(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy(F.sha1("content").alias("content_id")).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
+def duplicate_paragraph_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents that stand under several paragraph ids, with every page they are placed in."""
+    p = base.paragraphs(spark, sf).where("content IS NOT NULL").select(F.sha1("content").alias("content_id"), F.col("id").alias("paragraph_id"))
+    several = p.groupBy("content_id").agg(F.count("*").alias("n")).where("n > 1").select("content_id")
+    pages = base.fragments(spark, sf).where("page_id IS NOT NULL").select(F.col("id").alias("fragment"), "page_id")
+    rows = p.join(several, "content_id", "left_semi").join(base.placements(spark, sf), "paragraph_id").join(pages, "fragment")
+    return rows.groupBy("content_id", "page_id").agg(F.count("*").alias("n"))
+
+
+def pred_translated_names(spark: SparkSession, sf: str) -> DataFrame:
+    """A predicate on names in the other spelling: names are translated first, unknown ones stay."""
+    other = name_translate(spark, sf).select("page", F.col("name").alias("other"))
+    p = _pages(spark, sf).join(other, "page")
+    keep = compile_predicate("name-contains basin & !is-redirect", Pages(F.col("other"), F.col("page_id"), F.col("page_type"), F.col("categories")), FILES.__getitem__)
+    return p.where(keep).select("page", "other", "page_type")
+
+
 def first_wins_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """The first page of every page_id, in order of the root."""
     return _pages(spark, sf).where("page_id IS NOT NULL").groupBy("page_id").agg(F.min_by("name", "page").alias("name"), F.min("page").alias("page"))
@@ -365,7 +382,7 @@ def _transform_sql(what: tree.Transform) -> str:
 
 QUERIES = {name: _predicate(name) for name in PREDICATES} | {
     f.__name__: f
-    for f in (name_translate, page_sections, outline_stub, heading_filters, transform_sections, transform_full, transform_categories_and_headings, transform_configured, transformed_content, node_kinds, category_paragraphs, top_level_filter, drop_short_pages, merge_duplicate_sections, page_metadata_cleared, lead_text, kb_doc, paragraphs_exploded, links_view, fragment_parents, fragment_ids, distinct_on, redirect_closure, fix_links, redirect_names, inlink_ids, inlink_anchor_hist, category_tags, disambig_names, duplicate_paragraph_counts, first_wins_dedup, bundle_lookup, qrels_hierarchical, qrels_tree, qrels_toplevel, qrels_article, qrels_rollup_max, qrels_rollup_levels, query_derivation)
+    for f in (name_translate, page_sections, outline_stub, heading_filters, transform_sections, transform_full, transform_categories_and_headings, transform_configured, transformed_content, node_kinds, category_paragraphs, top_level_filter, drop_short_pages, merge_duplicate_sections, page_metadata_cleared, lead_text, kb_doc, paragraphs_exploded, links_view, fragment_parents, fragment_ids, distinct_on, redirect_closure, fix_links, redirect_names, inlink_ids, inlink_anchor_hist, category_tags, disambig_names, duplicate_paragraph_counts, duplicate_paragraph_pages, pred_translated_names, first_wins_dedup, bundle_lookup, qrels_hierarchical, qrels_tree, qrels_toplevel, qrels_article, qrels_rollup_max, qrels_rollup_levels, query_derivation)
 }
 
 SQL = {name: f"WITH {_PAGES} SELECT page, name, page_type FROM pages WHERE {sql}" for name, (_, sql) in PREDICATES.items()} | {
@@ -401,6 +418,8 @@ SQL = {name: f"WITH {_PAGES} SELECT page, name, page_type FROM pages WHERE {sql}
     "category_tags": f"WITH {_PAGES} SELECT category, count(*) AS n_pages FROM (SELECT unnest(categories) AS category FROM pages) GROUP BY ALL",
     "disambig_names": f"WITH {base.LINK}, {base.FRAG}, f AS (SELECT src, arg_min(dest, link_id) AS dest FROM link GROUP BY ALL) SELECT dest, list_sort(list(DISTINCT title)) AS names FROM f JOIN frag ON frag.id = src WHERE title IS NOT NULL GROUP BY dest",
     "duplicate_paragraph_counts": f"WITH {base.PARA} SELECT sha1(content) AS content_id, count(*) AS n, min(id) AS first_id FROM para WHERE content IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_paragraph_pages": f"WITH {base.PARA}, {base.FRAG}, {base.PLACE}, h AS (SELECT id, sha1(content) AS content_id FROM para WHERE content IS NOT NULL) SELECT content_id, page_id, count(*) AS n FROM h JOIN place ON paragraph_id = h.id JOIN frag f ON f.id = fragment WHERE page_id IS NOT NULL AND content_id IN (SELECT content_id FROM h GROUP BY content_id HAVING count(*) > 1) GROUP BY ALL",
+    "pred_translated_names": f"WITH {_PAGES}, idx AS (SELECT page_id, min(url_decode(regexp_replace(regexp_replace(page_id, '~[0-9]+$', ''), '^[^:]*:', ''))) AS other FROM pages WHERE page_id IS NOT NULL GROUP BY ALL), t AS (SELECT page, page_type, coalesce(other, name) AS other FROM pages LEFT JOIN idx USING (page_id)) SELECT page, other, page_type FROM t WHERE contains(lower(other), 'basin') AND page_type <> 'redirect'",
     "first_wins_dedup": f"WITH {_PAGES} SELECT page_id, arg_min(name, page) AS name, min(page) AS page FROM pages WHERE page_id IS NOT NULL GROUP BY page_id",
     "bundle_lookup": f"WITH RECURSIVE {_REDIR}, {base.FRAG} SELECT id, coalesce(target, id) AS resolved FROM frag LEFT JOIN closure USING (id)",
     "qrels_hierarchical": f"WITH RECURSIVE {_PATHS} SELECT DISTINCT array_to_string(ids, '/') AS query_id, paragraph_id AS doc_id, 1 AS rel FROM paths",

@@ -264,6 +264,26 @@ def dup_rewrite_table(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.rewrite_table(_pairs(keyed), dedup.duplicate_classes(keyed)).where("id <> canonical")
 
 
+def dup_rewrite_again(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of a later run: components keep the canonical id an earlier one gave to any of their members."""
+    keyed = _keyed(spark, sf)
+    earlier = keyed.where(F.col("id").endswith("0")).select("id", F.concat(F.lit("old-"), "id").alias("canonical"))
+    return dedup.rewrite_table(_pairs(keyed), dedup.duplicate_classes(keyed), earlier)
+
+
+def bloom_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """Bits set in the signature of each paragraph's bigrams."""
+    return _sets(spark, sf).select("id", dedup.bits_set(dedup.signature(F.col("set"))).alias("n_bits"))
+
+
+def bloom_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """For the duplicate pairs: the likeness of their signatures, and the bound it gives."""
+    keyed = _keyed(spark, sf)
+    signed = lambda c: keyed.select(F.col("id").alias(c), dedup.signature(F.col("set")).alias(f"s{c}"))
+    jaccard, bound = dedup.signature_overlap(F.col("sa"), F.col("sb"))
+    return _pairs(keyed).join(signed("a"), "a").join(signed("b"), "b").select("a", "b", F.round(jaccard, 9).alias("jaccard"), F.round(bound, 9).alias("bound"))
+
+
 def dup_map_run(spark: SparkSession, sf: str) -> DataFrame:
     """Run items rewritten to their canonical paragraph, best score kept."""
     t = dup_rewrite_table(spark, sf)
@@ -376,7 +396,7 @@ def _converged_sql() -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (edge_docs, edge_graph, marginal_edges, degree_centrality, degree_stats, degree_hist, symmetric_edges, topn_edges, random_edges, pagerank, personalized_pagerank, prior_walk, converged_pagerank, attribute_rank, seed_distances, distance_hist, distance_summary, k_hop_paths, shortest_path_scores, topn_edges_with_seeds, ancestor_table, method_grid, graph_expansion_run, graph_method_runs, jaccard_dup_pairs, dup_classes, dup_components, dup_rewrite_table, dup_map_run, dup_rewrite_pages, lsh_buckets, bucket_counts, match_two_corpora, label_centroids, minhash_approx)
+    for f in (edge_docs, edge_graph, marginal_edges, degree_centrality, degree_stats, degree_hist, symmetric_edges, topn_edges, random_edges, pagerank, personalized_pagerank, prior_walk, converged_pagerank, attribute_rank, seed_distances, distance_hist, distance_summary, k_hop_paths, shortest_path_scores, topn_edges_with_seeds, ancestor_table, method_grid, graph_expansion_run, graph_method_runs, jaccard_dup_pairs, dup_classes, dup_components, dup_rewrite_table, dup_rewrite_again, bloom_signatures, bloom_overlaps, dup_map_run, dup_rewrite_pages, lsh_buckets, bucket_counts, match_two_corpora, label_centroids, minhash_approx)
 }
 
 SQL = {
@@ -412,6 +432,9 @@ SQL = {
     "dup_classes": f"WITH {_SETS} SELECT id, class_id FROM classes",
     "dup_components": f"WITH RECURSIVE {_PAIRS}, ends AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), {_COMP} SELECT x AS node, least(x, min(y)) AS component FROM reach GROUP BY x",
     "dup_rewrite_table": f"WITH RECURSIVE {_TABLE} SELECT id, canonical FROM rewrite",
+    "dup_rewrite_again": f"WITH RECURSIVE {_TABLE}, old AS (SELECT t.canonical, min('old-' || t.id) AS old FROM tab t JOIN sets USING (id) WHERE ends_with(t.id, '0') GROUP BY t.canonical) SELECT id, coalesce(old, canonical) AS canonical FROM tab LEFT JOIN old USING (canonical)",
+    "bloom_signatures": f"WITH {_SETS}, b AS (SELECT DISTINCT id, ('0x' || substr(md5(g), 1, 8))::BIGINT % 1024 AS bit FROM (SELECT id, unnest(s) AS g FROM sets)) SELECT id, CAST(count(*) AS INTEGER) AS n_bits FROM b GROUP BY id",
+    "bloom_overlaps": f"WITH {_PAIRS}, bits_of AS (SELECT id, list(DISTINCT ('0x' || substr(md5(g), 1, 8))::BIGINT % 1024) AS bits FROM (SELECT id, unnest(s) AS g FROM sets) GROUP BY id), o AS (SELECT a, b, x.bits AS p, y.bits AS q, len(list_intersect(x.bits, y.bits)) AS n FROM pairs JOIN bits_of x ON x.id = a JOIN bits_of y ON y.id = b) SELECT a, b, round(n / (len(p) + len(q) - n), 9) AS jaccard, round(n / len(p), 9) AS bound FROM o",
     "dup_map_run": f"WITH RECURSIVE {_TABLE}, {base.RUN} SELECT query_id, coalesce(canonical, doc_id) AS doc_id, max(score) AS score FROM run LEFT JOIN rewrite ON id = doc_id WHERE method = 'bm25' GROUP BY ALL",
     "dup_rewrite_pages": f"WITH RECURSIVE {_TABLE}, {base.PLACE} SELECT DISTINCT coalesce(canonical, paragraph_id) AS paragraph_id, fragment FROM place LEFT JOIN rewrite ON id = paragraph_id",
     "lsh_buckets": f"WITH {_BUCKETS} SELECT * FROM buckets",
