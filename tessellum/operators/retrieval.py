@@ -90,3 +90,16 @@ def ranked(scores: DataFrame, k: int, query: str = "query_id", doc: str = "doc_i
     """Ranks by falling score, then document; the limit reaches the partial sort."""
     w = Window.partitionBy(query).orderBy(F.desc("score"), F.asc(doc))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+MODELS = {
+    "bm25": lambda terms, posts, size: score_bm25(terms, posts, corpus_statistics(posts), size),
+    "ql": lambda terms, posts, size: score_query_likelihood(terms, posts, corpus_statistics(posts), size, 1000.0),
+}
+
+
+def search(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, model: str, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` best documents of each query (query_id, text) by a model of MODELS."""
+    terms = materialize(query_terms(queries, "query_id", "text"), "terms")
+    posts, size = search_index(docs, id_col, text_col, terms)
+    return ranked(MODELS[model](terms, posts, size), k)

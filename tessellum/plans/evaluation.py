@@ -322,6 +322,17 @@ def pair_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return base.placements(spark, sf).join(f, "fragment").select(F.lit(1).alias("label"), "fragment", "paragraph_id", "title")
 
 
+def pair_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    """Training pairs: a paragraph with the second next of its fragment (1), and with the first of the page's next fragment (0)."""
+    p = base.placements(spark, sf).join(base.fragments(spark, sf).where("page_id IS NOT NULL").select(F.col("id").alias("fragment"), "page_id"), "fragment")
+    pos = p.withColumn("id2", F.lead("paragraph_id", 2).over(Window.partitionBy("fragment").orderBy("pf_id"))).where("id2 IS NOT NULL")
+    first = p.groupBy("page_id", "fragment").agg(F.min_by("paragraph_id", "pf_id").alias("first"))
+    nxt = first.select("fragment", F.lead("first").over(Window.partitionBy("page_id").orderBy("fragment")).alias("id2")).where("id2 IS NOT NULL")
+    neg = p.join(nxt, "fragment")
+    pick = lambda rows, label: rows.select(F.lit(label).alias("label"), "fragment", F.col("paragraph_id").alias("id1"), "id2")
+    return pick(pos, 1).unionByName(pick(neg, 0))
+
+
 def pair_transition(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring paragraphs (1) and those four apart (0) within a fragment."""
     w = Window.partitionBy("fragment").orderBy("pf_id")
@@ -372,7 +383,7 @@ def category_features(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (map_score, average_precisions, prf1_at_5, prf1_avg, mean_stderr_table, system_ranks, kendall_tau, spearman, cronbach_alpha, confusion_matrix, cohen_kappa, cohen_kappa_adjacent, fleiss_kappa, qrel_overlap, assessor_counts, seconds_per_assessment, new_assessments, qrel_binary, qrel_augment, qrel_drop_unjudged, qrel_pad_full, assess_merge_latest, assess_filter_time, assess_filter_run, assess_clean, assess_anonymize, assess_merge_annotators, assess_first_file_wins, assess_run_union, assessments_to_qrels, grade_remap, label_to_grade, missing_stats, page_metrics, repair_transitions, run_features_pivot, run_feature_summary, zscore_features, posify_weights, balanced_sample, pair_relevance, pair_transition, sliding_window_k, running_count_topk, svm_grid, coordinate_ascent, category_features)
+    for f in (map_score, average_precisions, prf1_at_5, prf1_avg, mean_stderr_table, system_ranks, kendall_tau, spearman, cronbach_alpha, confusion_matrix, cohen_kappa, cohen_kappa_adjacent, fleiss_kappa, qrel_overlap, assessor_counts, seconds_per_assessment, new_assessments, qrel_binary, qrel_augment, qrel_drop_unjudged, qrel_pad_full, assess_merge_latest, assess_filter_time, assess_filter_run, assess_clean, assess_anonymize, assess_merge_annotators, assess_first_file_wins, assess_run_union, assessments_to_qrels, grade_remap, label_to_grade, missing_stats, page_metrics, repair_transitions, run_features_pivot, run_feature_summary, zscore_features, posify_weights, balanced_sample, pair_relevance, pair_cluster, pair_transition, sliding_window_k, running_count_topk, svm_grid, coordinate_ascent, category_features)
 }
 
 _RK = f"{base.QREL}, {base.RUN}, relv AS (SELECT query_id, doc_id FROM qrel WHERE rel > 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, doc_id) AS rank FROM run WHERE query_id IN (SELECT query_id FROM relv)), nrel AS (SELECT query_id, count(*) AS n_rel FROM relv GROUP BY ALL), hits AS (SELECT r.*, (v.doc_id IS NOT NULL)::INT AS hit FROM ranked r LEFT JOIN relv v USING (query_id, doc_id))"
@@ -441,6 +452,7 @@ SQL |= {
     "posify_weights": f"WITH {base.RUN}, r AS (SELECT *, min(score) OVER w AS low, stddev_pop(score) OVER w AS s FROM run WHERE method = 'ltr' WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, round(exp(score), 6) AS exponential, round(exp(coalesce(score / nullif(s, 0), 0)), 6) AS denormal, round(1 / (1 + exp(-score)), 6) AS logistic, round(greatest(score, 0.0), 6) AS cut, round(score - low + 1.0, 6) AS linear FROM r",
     "balanced_sample": f"WITH {base.QREL}, q AS (SELECT query_id, doc_id, (rel > 0)::INT AS label, md5(concat_ws('|', query_id, doc_id)) AS h FROM qrel), l AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM q GROUP BY label)) SELECT query_id, doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS k FROM q), l WHERE k <= least",
     "pair_relevance": f"WITH {base.FRAG}, {base.PLACE} SELECT 1 AS label, fragment, paragraph_id, title FROM place JOIN frag ON id = fragment WHERE title IS NOT NULL",
+    "pair_cluster": f"WITH {base.PLACE}, {base.FRAG}, p AS (SELECT place.*, page_id FROM place JOIN frag ON id = fragment WHERE page_id IS NOT NULL), f AS (SELECT page_id, fragment, arg_min(paragraph_id, pf_id) AS first FROM p GROUP BY ALL), n AS (SELECT fragment, lead(first) OVER (PARTITION BY page_id ORDER BY fragment) AS id2 FROM f) SELECT 1 AS label, fragment, paragraph_id AS id1, id2 FROM (SELECT *, lead(paragraph_id, 2) OVER (PARTITION BY fragment ORDER BY pf_id) AS id2 FROM p) WHERE id2 IS NOT NULL UNION ALL SELECT 0, fragment, paragraph_id, id2 FROM p JOIN n USING (fragment) WHERE id2 IS NOT NULL",
     "pair_transition": f"WITH {base.PLACE}, r AS (SELECT fragment, paragraph_id, lead(paragraph_id, 1) OVER w AS n1, lead(paragraph_id, 4) OVER w AS n4 FROM place WINDOW w AS (PARTITION BY fragment ORDER BY pf_id)) SELECT 1 AS label, fragment, paragraph_id AS id1, n1 AS id2 FROM r WHERE n1 IS NOT NULL UNION ALL SELECT 0, fragment, paragraph_id, n4 FROM r WHERE n4 IS NOT NULL",
     "sliding_window_k": f"WITH {base.PLACE}, r AS (SELECT fragment, row_number() OVER w AS pos, count(*) OVER (PARTITION BY fragment) AS n, list(paragraph_id) OVER (PARTITION BY fragment ORDER BY pf_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS items FROM place WINDOW w AS (PARTITION BY fragment ORDER BY pf_id)) SELECT fragment, array_to_string(items, ',') AS items FROM r WHERE len(items) = 3 OR (n < 3 AND pos = 1)",
     "running_count_topk": f"WITH {base.LINK} SELECT link_id, dest, k FROM (SELECT *, row_number() OVER (PARTITION BY dest ORDER BY link_id) AS k FROM link) WHERE k <= 2",

@@ -42,6 +42,54 @@ def ql_dirichlet_small_mu(spark: SparkSession, sf: str) -> DataFrame:
     return ir.ranked(ir.score_query_likelihood(terms, posts, stats, size, 100.0), DEPTH)
 
 
+def paragraph_search_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    return ir.search(base.paragraphs(spark, sf), "id", "content", _topics(spark, sf), "bm25", DEPTH)
+
+
+def paragraph_search_ql(spark: SparkSession, sf: str) -> DataFrame:
+    return ir.search(base.paragraphs(spark, sf), "id", "content", _topics(spark, sf), "ql", DEPTH)
+
+
+def _entities(spark: SparkSession, sf: str) -> DataFrame:
+    """id, text: the title of each fragment and its first placed paragraph."""
+    lead = base.placements(spark, sf).groupBy(F.col("fragment").alias("id")).agg(F.min_by("paragraph_id", "pf_id").alias("p"))
+    p = base.paragraphs(spark, sf).select(F.col("id").alias("p"), "content")
+    rows = base.fragments(spark, sf).select("id", "title").join(lead, "id", "left").join(p, "p", "left")
+    return rows.select("id", F.concat_ws(" ", "title", "content").alias("text"))
+
+
+def entity_search_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    return ir.search(_entities(spark, sf), "id", "text", _topics(spark, sf), "bm25", DEPTH)
+
+
+def entity_search_ql(spark: SparkSession, sf: str) -> DataFrame:
+    return ir.search(_entities(spark, sf), "id", "text", _topics(spark, sf), "ql", DEPTH)
+
+
+def _edge_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """id, text: paragraphs with links, their content and anchors."""
+    anchors = base.links(spark, sf).where("paragraph IS NOT NULL").groupBy(F.col("paragraph").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("anchor")), " ").alias("anchors"))
+    return base.paragraphs(spark, sf).join(anchors, "id").select("id", F.concat_ws(" ", "content", "anchors").alias("text"))
+
+
+def edge_doc_search_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    return ir.search(_edge_texts(spark, sf), "id", "text", _topics(spark, sf), "bm25", DEPTH)
+
+
+def edge_doc_search_ql(spark: SparkSession, sf: str) -> DataFrame:
+    return ir.search(_edge_texts(spark, sf), "id", "text", _topics(spark, sf), "ql", DEPTH)
+
+
+def seed_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds of each query: its five best entities, and for queries without any the targets that their judged paragraphs link to most."""
+    best = entity_search_bm25(spark, sf).where("rank <= 5").select("query_id", F.col("doc_id").alias("entity"))
+    heading = F.expr(HEADING)
+    linked = base.qrels(spark, sf).where("rel > 0").select(heading.alias("query_id"), F.col("doc_id").alias("paragraph")).where("query_id <> ''").join(base.links(spark, sf).select("paragraph", F.col("dest").alias("entity")), "paragraph").groupBy("query_id", "entity").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("n"), "entity")
+    other = linked.withColumn("k", F.row_number().over(w)).where("k <= 5").join(best.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "entity")
+    return best.withColumn("source", F.lit("index")).unionByName(other.withColumn("source", F.lit("links")))
+
+
 def freq_term_drop(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").where("source IS NOT NULL").select(F.col("source").alias("s"), "text")
     terms = ir.query_terms(docs, "s", "text")
@@ -207,14 +255,19 @@ def text_overlap_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("id", F.explode(text.overlapping_chunks(F.col("content"), 100, 20)).alias("c")).select("id", "c.offset", "c.chunk")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, ql_dirichlet_topk, ql_dirichlet_small_mu, freq_term_drop, corpus_stats, corpus_stats_merged, inverted_index, bag_of_words, tokenize_stats, stem_counts, stem_tokens, latin_words, bigrams, run_ranked, run_rank_cutoff, run_pool_topk, run_method_counts, run_nub, run_partition_recombine, run_line_format, run_reciprocal_distribution, rank_relative_score, edge_rank_weights, entity_rank_by_passage, lead_passage_attach, run_append_unmentioned, run_dummy_for_empty, section_recommend, text_overlap_chunks)}
+QUERIES = {f.__name__: f for f in (bm25_topk, ql_dirichlet_topk, ql_dirichlet_small_mu, paragraph_search_bm25, paragraph_search_ql, entity_search_bm25, entity_search_ql, edge_doc_search_bm25, edge_doc_search_ql, seed_entities, freq_term_drop, corpus_stats, corpus_stats_merged, inverted_index, bag_of_words, tokenize_stats, stem_counts, stem_tokens, latin_words, bigrams, run_ranked, run_rank_cutoff, run_pool_topk, run_method_counts, run_nub, run_partition_recombine, run_line_format, run_reciprocal_distribution, rank_relative_score, edge_rank_weights, entity_rank_by_passage, lead_passage_attach, run_append_unmentioned, run_dummy_for_empty, section_recommend, text_overlap_chunks)}
 
-_POSTS = f"toks AS (SELECT doc_id, {text.tokens_sql('text')} AS w FROM documents), docs AS (SELECT doc_id, w, len(w) AS len FROM toks WHERE len(w) > 0), posts AS (SELECT term, doc_id, count(*) AS tf, CAST(max(len) AS INTEGER) AS len FROM (SELECT doc_id, len, unnest(w) AS term FROM docs) GROUP BY term, doc_id), stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posts GROUP BY term), size AS (SELECT count(*) AS n_docs, sum(len) AS n_tokens FROM docs)"
+def _posts_sql(docs: str) -> str:
+    """CTEs toks .. size over the rows (doc_id, text) of ``docs``."""
+    return f"toks AS (SELECT doc_id, {text.tokens_sql('text')} AS w FROM {docs}), docs AS (SELECT doc_id, w, len(w) AS len FROM toks WHERE len(w) > 0), posts AS (SELECT term, doc_id, count(*) AS tf, CAST(max(len) AS INTEGER) AS len FROM (SELECT doc_id, len, unnest(w) AS term FROM docs) GROUP BY term, doc_id), stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM posts GROUP BY term), size AS (SELECT count(*) AS n_docs, sum(len) AS n_tokens FROM docs)"
+
+
+_POSTS = _posts_sql("documents")
 _TERMS = f"topics AS (SELECT DISTINCT {HEADING} AS query_id FROM assessments), terms AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({text.tokens_sql('url_decode(query_id)')}) AS term FROM topics WHERE query_id <> '') GROUP BY ALL)"
 
 
-def _ql(mu: float) -> str:
-    return f"""WITH {_POSTS}, {_TERMS},
+def _ql(mu: float, posts: str = _POSTS) -> str:
+    return f"""WITH {posts}, {_TERMS},
         known AS (SELECT query_id, term, qtf, coalesce(cf, 0.5) / n_tokens AS p FROM terms LEFT JOIN stats USING (term), size),
         hit AS (SELECT query_id, doc_id, len, sum(qtf * (ln((tf + {mu} * p) / (len + {mu})) - ln({mu} * p / (len + {mu})))) AS gain FROM posts JOIN known USING (term) GROUP BY ALL),
         base AS (SELECT query_id, sum(qtf) AS q_len, sum(qtf * ln({mu} * p)) AS q_log FROM known GROUP BY ALL),
@@ -222,16 +275,33 @@ def _ql(mu: float) -> str:
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {DEPTH}"""
 
 
+def _bm25(posts: str = _POSTS) -> str:
+    return f"""WITH {posts}, {_TERMS},
+        scored AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / (n_tokens / n_docs)))), 6) AS score
+            FROM posts JOIN terms USING (term) JOIN stats USING (term), size GROUP BY ALL)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {DEPTH}"""
+
+
+_PARAGRAPHS = f"{base.PARA}, d AS (SELECT id AS doc_id, content AS text FROM para), {_posts_sql('d')}"
+_ENTITIES = f"{base.FRAG}, {base.PARA}, {base.PLACE}, lead AS (SELECT fragment, arg_min(paragraph_id, pf_id) AS p FROM place GROUP BY ALL), d AS (SELECT f.id AS doc_id, concat_ws(' ', f.title, p.content) AS text FROM frag f LEFT JOIN lead l ON l.fragment = f.id LEFT JOIN para p ON p.id = l.p), {_posts_sql('d')}"
+_EDGE_TEXTS = f"{base.PARA}, {base.LINK}, a AS (SELECT paragraph, string_agg(DISTINCT anchor, ' ' ORDER BY anchor) AS anchors FROM link WHERE paragraph IS NOT NULL GROUP BY ALL), d AS (SELECT id AS doc_id, concat_ws(' ', content, nullif(anchors, '')) AS text FROM para JOIN a ON a.paragraph = para.id), {_posts_sql('d')}"
 _RANKED = f"{base.RUN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, doc_id) AS rank FROM run)"
 _POOL = f"{_RANKED}, n AS (SELECT query_id, count(DISTINCT method) AS n_methods FROM run GROUP BY ALL), pool AS (SELECT query_id, doc_id, string_agg(DISTINCT method, ',' ORDER BY method) AS methods, max(score) AS score FROM ranked JOIN n USING (query_id) WHERE rank <= ceil(30.0 / n_methods) GROUP BY ALL)"
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
 _ENT = f"{base.RUN}, {base.LINK}, linked AS (SELECT DISTINCT paragraph AS doc_id, dest AS entity FROM link WHERE paragraph IS NOT NULL), ent AS (SELECT query_id, entity, count(*) AS n, max(struct_pack(s := score, d := doc_id)) AS m FROM run JOIN linked USING (doc_id) WHERE method = 'bm25' GROUP BY ALL), ents AS (SELECT query_id, entity, n, m.s AS score, m.d AS passage, row_number() OVER (PARTITION BY query_id ORDER BY m.s DESC, n DESC, entity) AS rank FROM ent)"
 
 SQL = {
-    "bm25_topk": f"""WITH {_POSTS}, {_TERMS},
-        scored AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / (n_tokens / n_docs)))), 6) AS score
-            FROM posts JOIN terms USING (term) JOIN stats USING (term), size GROUP BY ALL)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {DEPTH}""",
+    "bm25_topk": _bm25(),
+    "paragraph_search_bm25": _bm25(_PARAGRAPHS),
+    "paragraph_search_ql": _ql(1000.0, _PARAGRAPHS),
+    "entity_search_bm25": _bm25(_ENTITIES),
+    "entity_search_ql": _ql(1000.0, _ENTITIES),
+    "edge_doc_search_bm25": _bm25(_EDGE_TEXTS),
+    "edge_doc_search_ql": _ql(1000.0, _EDGE_TEXTS),
+    "seed_entities": f"""WITH best AS (SELECT query_id, doc_id AS entity FROM ({_bm25(_ENTITIES)}) WHERE rank <= 5), {base.LINK}, {base.QREL},
+        linked AS (SELECT {HEADING} AS query_id, dest AS entity, count(*) AS n FROM qrel JOIN link ON paragraph = doc_id WHERE rel > 0 AND {HEADING} <> '' GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, entity) AS k FROM linked WHERE query_id NOT IN (SELECT query_id FROM best))
+        SELECT query_id, entity, 'index' AS source FROM best UNION ALL SELECT query_id, entity, 'links' FROM k WHERE k <= 5""",
     "ql_dirichlet_topk": _ql(1000.0),
     "ql_dirichlet_small_mu": _ql(100.0),
     "freq_term_drop": f"""WITH terms AS (SELECT source AS query_id, term, count(*) AS qtf FROM (SELECT source, unnest({text.tokens_sql('text')}) AS term FROM documents WHERE source IS NOT NULL) GROUP BY ALL),
