@@ -175,10 +175,8 @@ def run_method_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_nub(spark: SparkSession, sf: str) -> DataFrame:
     """Over all methods the best row of each item, ranked anew."""
-    best = Window.partitionBy("query_id", "doc_id").orderBy("rank", F.desc("score"), "method")
-    first = run_ranked(spark, sf).withColumn("k", F.row_number().over(best)).where("k = 1")
-    w = Window.partitionBy("query_id").orderBy("rank", "method", "doc_id")
-    return first.select("query_id", "doc_id", "method", F.row_number().over(w).alias("new_rank"))
+    first = run_ranked(spark, sf).groupBy("query_id", "doc_id").agg(F.min(F.struct("rank", (-F.col("score")).alias("down"), "method")).alias("b")).select("query_id", "doc_id", "b.rank", "b.method")
+    return ranking.list_ranks(materialize(first, "first"), ["query_id"], [F.asc("rank"), F.asc("method"), F.asc("doc_id")], "new_rank").select("query_id", "doc_id", "method", "new_rank")
 
 
 def run_partition_recombine(spark: SparkSession, sf: str) -> DataFrame:

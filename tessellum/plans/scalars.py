@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.text import stable_bucket
+from ..operators import ranking
 from . import base
 from .tables import table
 
@@ -187,14 +188,13 @@ def event_latest_state(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_numbering(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of 100 events each per type, in order of id."""
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return table(spark, sf, "events").select("event_id", "event_type", F.floor((F.row_number().over(w) - 1) / 100).cast("int").alias("chunk"))
+    k = ranking.list_ranks(table(spark, sf, "events").select("event_id", "event_type"), ["event_type"], [F.asc("event_id")], "k")
+    return k.select("event_id", "event_type", F.floor((F.col("k") - 1) / 100).cast("int").alias("chunk"))
 
 
 def systematic_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Every 50th event of a type, beginning with the first."""
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return table(spark, sf, "events").select("event_id", "event_type", F.row_number().over(w).alias("k")).where("k % 50 = 1")
+    return ranking.list_ranks(table(spark, sf, "events").select("event_id", "event_type"), ["event_type"], [F.asc("event_id")], "k").where("k % 50 = 1")
 
 
 def target_histogram(spark: SparkSession, sf: str) -> DataFrame:
