@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, load, store, store_counting
 
-LEVELS = 6  # levels reached one by one; beyond, in bands
+LEVELS = 4  # levels reached one by one; beyond, in bands
 
 
 @dataclass(frozen=True)
