@@ -114,8 +114,9 @@ def _release_at_exit() -> None:
     for path, spark in list(_stored.items()):
         try:
             discard(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone
-            return
+        except Exception:  # noqa: BLE001  the session has ended; what lies on this machine can still go
+            if path.startswith("file://"):
+                _remove_local(path)
 
 
 def local_path(url: str) -> str:
