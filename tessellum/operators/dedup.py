@@ -50,6 +50,22 @@ def class_sets(keyed: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("k").agg(F.min("id").alias("id")).select("id"), "id", "left_semi").select("id", "set")
 
 
+def member_pairs(pairs: DataFrame, keyed: DataFrame, block: int = 256) -> DataFrame:
+    """(a, b, similarity) with a < b: every two ids of ``keyed_sets`` that are of one class (similarity 1) or of two linked by ``pairs`` (a, b, similarity).
+
+    Members of a class lie in blocks, and a row of the last shuffle is two blocks, so a class of many copies is spread over tasks.
+    """
+    classes = duplicate_classes(keyed)
+    parts = classes.groupBy("class_id").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    placed = classes.join(parts, "class_id").select("class_id", "n", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
+    blocks = materialize(placed.groupBy("class_id", "part").agg(F.collect_list("id").alias("ids"), F.max("n").alias("n")), "blocks")
+    within = blocks.where("n > 1").select(F.col("class_id").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(1.0).alias("similarity"))
+    side = lambda c: blocks.select(F.col("class_id").alias(c), F.col("part").alias(f"p{c}"), F.col("ids").alias(f"ids_{c}"))
+    met = pairs.select("a", "b", "similarity").unionByName(within).join(side("a"), "a").join(side("b"), "b").where("a <> b OR pa <= pb")
+    spread = met.repartition("a", "pa", "b", "pb").select("similarity", (F.expr("a = b AND pa = pb")).alias("same"), F.explode("ids_a").alias("x"), "ids_b").select("similarity", "same", "x", F.explode("ids_b").alias("y"))
+    return spread.where("NOT same OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
 def rewrite_table(pairs: DataFrame, classes: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """(id, canonical): every id of a class or of linked classes to the smallest id of the component.
 

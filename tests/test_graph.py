@@ -105,3 +105,34 @@ def test_toy_paragraphs(spark):
     sets = spark.createDataFrame(data, "id string, t string").select("id", text.bigram_set(F.col("t")).alias("set"))
     got = {(r["a"], r["b"]): round(r["similarity"], 6) for r in dedup.similar_sets(sets, "id", "set", 0.1).collect()}
     assert got == {("test-1", "test-2"): 0.666667, ("test-3", "test-4"): 0.5, ("test-2", "test-4"): 0.2}
+
+
+def test_pairs_of_copies_come_out(spark, tmp_path):
+    """Every two copies, all members of linked classes, and pairs right at the distance."""
+    from datetime import datetime
+
+    from tessellum.plans import graphs
+
+    line = "a b c d e f"  # five word pairs
+    texts = {f"c{i}": line for i in range(7)} | {f"n{i}": line + " f" for i in range(3)} | {"at": "a b c d e", "far": "p q r s", "none": "word"}
+    now = datetime(2025, 1, 1)
+    spark.createDataFrame([(k, v, now, None) for k, v in texts.items()], "id string, content string, loaded_at timestamp, deleted_at timestamp").write.parquet(f"{tmp_path}/paragraphs.parquet")
+    sets = {k: set(zip(v.split(), v.split()[1:])) for k, v in texts.items()}
+    want = []
+    for a in sets:
+        for b in sets:
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if a < b and both and 5 * both >= 4 * either:
+                want.append((a, b, round(1 - both / either, 6)))
+    assert len(want) == 21 + 3 + 7 * 3 + 7
+    assert rows(graphs.minhash_approx(spark, str(tmp_path))) == sorted(want, key=repr)
+
+
+def test_member_pairs_in_any_blocks(spark):
+    data = [(f"x{i:02d}", ["p", "q"]) for i in range(9)] + [(f"y{i}", ["p", "q", "r"]) for i in range(4)] + [("z", ["s"])]
+    keyed = dedup.keyed_sets(spark.createDataFrame(data, "id string, items array<string>"), "id", "items")
+    link = spark.createDataFrame([("x00", "y0", 0.5)], "a string, b string, similarity double")
+    ids = [d[0] for d in data[:-1]]
+    want = sorted(((a, b, 1.0 if a[0] == b[0] else 0.5) for a in ids for b in ids if a < b), key=repr)
+    for block in (1, 2, 256):
+        assert rows(dedup.member_pairs(link, keyed, block)) == want
