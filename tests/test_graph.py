@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from helpers import rows
 
-from tessellum.operators import dedup, graph
+from tessellum.operators import dedup, expansion, graph
 
 
 def edges_of(spark, data):
@@ -136,3 +136,79 @@ def test_member_pairs_in_any_blocks(spark):
     want = sorted(((a, b, 1.0 if a[0] == b[0] else 0.5) for a in ids for b in ids if a < b), key=repr)
     for block in (1, 2, 256):
         assert rows(dedup.member_pairs(link, keyed, block)) == want
+
+
+def plain_runs(ranked, docs, grid):
+    """The runs of ``expansion.method_runs`` for queries that have graphs, cell by cell."""
+    nodes_of = lambda doc: [n for d, n in docs if d == doc]
+    seen = {}
+    for m, q, d, _ in ranked:
+        for n in nodes_of(d) if m == grid.seed_model else []:
+            seen[q, n] = seen.get((q, n), 0) + 1
+    seeds = {(q, n) for q in {q for _, q, _, _ in ranked} for n in sorted((n for p, n in seen if p == q), key=lambda n: (-seen[q, n], n is None, n))[: grid.seeds]}
+    edges, found = {}, {}
+    for m, q, d, r in ranked:
+        for a in nodes_of(d):
+            found[m, q, a] = min(found.get((m, q, a), (r, d)), (r, d))
+            for b in nodes_of(d):
+                if q is not None and a is not None and b is not None and a != b:
+                    for k, add in (("count", 1.0), ("reciprocal", 1 / r)):
+                        e = edges.setdefault((k, m, q, a), {})
+                        e[b] = e.get(b, 0) + add
+    flat = {}
+    for g, most in grid.filters.items():
+        for (k, m, q, a), out in edges.items():
+            flat[g, k, m, q, a] = dict(sorted(((b, round(w, 12)) for b, w in out.items()), key=lambda x: (-x[1], x[0]))[:most])
+    nodes = sorted(flat)
+    jumps = {"pagerank": {x: 1 / len(nodes) for x in nodes}, "personal": {x: float((x[3], x[4]) in seeds) for x in nodes}}
+    n_seeds = sum(jumps["personal"].values())
+    jumps["personal"] = {x: v / n_seeds for x, v in jumps["personal"].items()}
+    out = []
+    for walk in grid.walks:
+        if walk == "margin":
+            score = {x: sum(flat[x].values()) for x in nodes}
+        else:
+            score = jump = jumps[walk]
+            for _ in range(grid.rounds):
+                flow = dict.fromkeys(nodes, 0.0)
+                for x in nodes:
+                    for b, w in flat[x].items():
+                        flow[*x[:4], b] += score[x] * w / sum(flat[x].values())
+                score = {x: grid.teleport * jump[x] + (1 - grid.teleport) * flow[x] for x in nodes}
+        for cell in {x[:4] for x in nodes}:
+            own = {x[4]: score[x] for x in nodes if x[:4] == cell}
+            share = {n: round(s / sum(own.values()), 9) if sum(own.values()) else 0.0 for n, s in own.items()}
+            g, k, m, q = cell
+            for i, n in enumerate(sorted(share, key=lambda n: (-share[n], n))[: grid.depth]):
+                out.append((f"{g}-{k}-{walk}-{m}", q, n, pytest.approx(share[n], abs=2e-9), i + 1, found[m, q, n][1]))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 1_000_000])
+def test_method_runs_against_plain_walks(spark, chunk, monkeypatch):
+    """Graphs of all queries side by side; null nodes count for seeds, after others; null queries and those without edges have dummy rows."""
+    monkeypatch.setattr(expansion, "CHUNK_PAIRS", chunk)
+    rng = random.Random(3)
+    docs = sorted({(f"d{i:02d}", rng.choice([None, *range(-3, 9)])) for i in range(30) for _ in range(rng.randrange(6))}, key=repr) + [("one", 5)]
+    ranked = [(m, q, d, r + 1) for m in ("x", "y") for q in ("q1", "q2", "q3", "q4", None) for r, d in enumerate(rng.sample([f"d{i:02d}" for i in range(30)], 6))]
+    ranked += [("x", "lone", "one", 1), ("y", "gone", "no such", 1)]
+    grid = expansion.Grid({"full": None, "top2": 2}, ["pagerank", "personal", "margin"], ["x", "y"], "x", 3, 4, 0.15, 7)
+    frames = spark.createDataFrame(ranked, "model string, query_id string, doc string, rank int"), spark.createDataFrame(docs, "doc string, node int")
+    got = [tuple(r) for r in expansion.method_runs(*frames, grid, -99).collect()]
+    key = lambda r: (r[0], r[1], r[4])
+    real, want = sorted((r for r in got if r[2] != -99), key=key), sorted(plain_runs(ranked, docs, grid), key=key)
+    assert len(want) > 150 and real == want
+    dummies = [r for r in got if r[2] == -99]
+    assert len(dummies) == 3 * 24 and {r[2:] for r in dummies} == {(-99, 0.0, 1, None)} and {r[1] for r in dummies} == {"lone", "gone", None}
+
+
+def test_walks_of_the_grid_write_no_table_a_round(spark, monkeypatch):
+    from helpers import SMALL
+
+    from tessellum import storage
+    from tessellum.plans import graphs
+
+    stored, store = [], storage.store
+    monkeypatch.setattr(storage, "store", lambda df, name="table": stored.append(name) or store(df, name))
+    assert graphs.graph_method_runs(spark, SMALL).count() > 0
+    assert len(stored) <= 2
