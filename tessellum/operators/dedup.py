@@ -18,20 +18,22 @@ def similar_sets(sets: DataFrame, id_col: str, items: str, threshold: float) ->
 
     Prefix filter: with its members ordered rarest first, a set shares one of its first
     ``n - ceil(t n) + 1`` members with any set that overlaps enough.  Equal sets must be made
-    one before (see ``class_sets``), so frequent members stay out of the prefixes.
+    one before (see ``class_sets``), so frequent members stay out of the prefixes.  Sets travel
+    as numbers and members as hashes; equal hashes only add candidates.
     """
-    rows = materialize(sets.select(F.col(id_col).alias("id"), F.col(items).alias("set")).where(F.size("set") > 0), "sets")
-    member = rows.select("id", F.explode("set").alias("m"))
+    rows = materialize(sets.select(F.col(id_col).alias("id"), F.col(items).alias("set")).where(F.size("set") > 0).withColumn("no", F.monotonically_increasing_id()), "sets")
+    member = rows.select("no", F.explode(F.transform("set", lambda x: F.xxhash64(x))).alias("m"))
     df = member.groupBy("m").agg(F.count("*").alias("df"))
-    ordered = member.join(df, "m").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "m"))).alias("o"))
+    ordered = member.join(df, "m").groupBy("no").agg(F.array_sort(F.collect_list(F.struct("df", "m"))).alias("o"))
     n = F.size("o")
-    prefix = ordered.select("id", n.alias("n"), F.explode(F.slice("o", 1, n - F.ceil(threshold * n).cast("int") + 1)).alias("p")).select("id", "n", F.col("p.m").alias("m"))
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "m"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "m")
-    near = a.join(b, "m").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
-    left, right = rows.select(F.col("id").alias("a"), F.col("set").alias("sa")), rows.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    sim = both / (F.size("sa") + F.size("sb") - both)
-    return near.join(left, "a").join(right, "b").select("a", "b", sim.alias("similarity")).where(F.col("similarity") > threshold)
+    prefix = ordered.select("no", n.alias("n"), F.explode(F.slice("o", 1, n - F.ceil(threshold * n).cast("int") + 1)).alias("p")).select("no", "n", F.col("p.m").alias("m"))
+    prefix = materialize(prefix, "prefixes")  # joined with itself
+    a, b = prefix.select(F.col("no").alias("x"), F.col("n").alias("nx"), "m"), prefix.select(F.col("no").alias("y"), F.col("n").alias("ny"), "m")
+    near = a.join(b, "m").where((F.col("x") < F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))).select("x", "y").distinct()
+    left, right = rows.select(F.col("no").alias("x"), F.col("id").alias("ix"), F.col("set").alias("sx")), rows.select(F.col("no").alias("y"), F.col("id").alias("iy"), F.col("set").alias("sy"))
+    both = F.size(F.array_intersect("sx", "sy"))
+    sim = both / (F.size("sx") + F.size("sy") - both)
+    return near.join(left, "x").join(right, "y").select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"), sim.alias("similarity")).where(F.col("similarity") > threshold)
 
 
 def keyed_sets(sets: DataFrame, id_col: str, items: str) -> DataFrame:

@@ -212,3 +212,12 @@ def test_walks_of_the_grid_write_no_table_a_round(spark, monkeypatch):
     monkeypatch.setattr(storage, "store", lambda df, name="table": stored.append(name) or store(df, name))
     assert graphs.graph_method_runs(spark, SMALL).count() > 0
     assert len(stored) <= 2
+
+
+def test_similar_sets_orders_members_once(spark):
+    """The prefixes are stored before they meet themselves, so the plan of the pairs explodes no set; ids need not follow the rows."""
+    data = [(f"s{i:02d}", [f"g{k}" for k in range(i % 7, i % 7 + 5)] + ["common"]) for i in range(30, 0, -1)]
+    sets = dedup.class_sets(dedup.keyed_sets(spark.createDataFrame(data, "id string, items array<string>"), "id", "items"))
+    got = dedup.similar_sets(sets, "id", "set", 0.5)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got) == rows(dedup.all_pairs_above(sets, "id", "set", 0.5)) and got.count() == 6
